@@ -39,7 +39,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def combine(a: np.ndarray, b: np.ndarray, seed: int = 0) -> np.ndarray:
     """Name of the ordered pair (a, b); differs from the name of (b, a)."""
-    return mix(a * np.uint64(0xD6E8FEB86659FD93) + mix(b + _GOLD * np.uint64(seed + 1)))
+    salt = np.uint64((0x9E3779B97F4A7C15 * (seed + 1)) & 0xFFFFFFFFFFFFFFFF)
+    return mix(a * np.uint64(0xD6E8FEB86659FD93) + mix(b + salt))
 
 
 class Words:
