@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules, sharding, substrings, url_filters
+from . import classifier, licenses, quality_rules, sharding, substrings, url_filters
 from .shared import table
 
 
@@ -28,11 +28,22 @@ def op10_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), [1.0] * 16)
 
 
+def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return classifier.judge(docs, classifier.fit(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op3_license_scans,
         op4_recompression,
         op6_quality_rules,
+        op7_quality_classifier,
         op8_url_filters,
         op10_rendezvous_sharding,
     )

@@ -18,6 +18,9 @@ SLICE_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: True where a lower-cased byte is no part of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``.
+NOT_PLAIN = np.ones(256, dtype=bool)
+NOT_PLAIN[48:58] = NOT_PLAIN[97:123] = NOT_PLAIN[128:] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -46,15 +49,16 @@ def combine(a: np.ndarray, b: np.ndarray, seed: int = 0) -> np.ndarray:
 class Words:
     """The words of some texts: ``data[start[i]:end[i]]`` is word i, of text ``doc[i]``.
 
-    ``first[d]:first[d + 1]`` are the words of text d.
+    ``first[d]:first[d + 1]`` are the words of text d.  ``lower`` lower-cases A-Z first;
+    ``apart`` marks the bytes that stand between words.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, apart: np.ndarray = _SPACE):
         self.raw = data
         data = _LOWER[data] if lower else data
         self.data = data
         self.n = len(offsets) - 1
-        space = _SPACE[data]
+        space = apart[data]
         word = ~space
         edge = np.empty(len(data) + 1, dtype=bool)
         edge[0] = len(data) > 0 and word[0]
