@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classifier, licenses, quality_rules, sharding, substrings, url_filters
+from . import classifier, licenses, near_duplicates, quality_rules, sharding, substrings, url_filters
 from .shared import table
 
 
@@ -37,11 +37,16 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.judge(docs, classifier.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_bottom_k_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op3_license_scans,
         op4_recompression,
+        op5_bottom_k_near_duplicates,
         op6_quality_rules,
         op7_quality_classifier,
         op8_url_filters,
