@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import classifier, licenses, near_duplicates, quality_rules, sharding, substrings, url_filters
+from . import classifier, licenses, near_duplicates, pieces, quality_rules, sharding, substrings, url_filters
 from .shared import table
 
 
@@ -41,9 +42,16 @@ def op5_bottom_k_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.groups(table(spark, sf_dir, "documents"))
 
 
+def op1_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest form of encoding and decoding: the three best scores stand in columns."""
+    found = pieces.encode_digest(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_pieces", "score", F.get("scores", F.lit(1)).alias("second_score"), F.get("scores", F.lit(2)).alias("third_score"), "ids_sha256", "round_trip")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_sentencepiece_nbest,
         op3_license_scans,
         op4_recompression,
         op5_bottom_k_near_duplicates,
