@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, licenses, near_duplicates, pieces, quality_rules, sharding, substrings, url_filters
+from . import classifier, decontaminate, licenses, near_duplicates, pieces, quality_rules, sharding, substrings, url_filters
 from .shared import table
 
 
@@ -48,10 +48,15 @@ def op1_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_pieces", "score", F.get("scores", F.lit(1)).alias("second_score"), F.get("scores", F.lit(2)).alias("third_score"), "ids_sha256", "round_trip")
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_sentencepiece_nbest,
+        op2_benchmark_decontamination,
         op3_license_scans,
         op4_recompression,
         op5_bottom_k_near_duplicates,
