@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, decontaminate, licenses, near_duplicates, pieces, quality_rules, sharding, substrings, url_filters
+from . import classifier, decontaminate, licenses, near_duplicates, pieces, quality_rules, sharding, substrings, url_filters, warc
 from .shared import table
 
 
@@ -52,6 +52,10 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_quality_rules,
         op7_quality_classifier,
         op8_url_filters,
+        op9_warc,
         op10_rendezvous_sharding,
     )
 }

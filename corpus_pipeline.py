@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chainsurf.llm import quality_rules
+from chainsurf.llm import decontaminate, near_duplicates, pieces, quality_rules, substrings
 from chainsurf.llm.shared import stored, table
 
 
@@ -13,9 +13,35 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality_rules.keep(docs)
 
 
-STAGES = [("quality rules", good_quality)]
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near duplicates (five-word shingles, similarity 0.8 or more) the smallest id stays."""
+    return near_duplicates.one_of_each(docs)
 
-#: Rank-free iterative stages (EM, components, lattice search): SQL can't express them.
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that an earlier document holds are cut out of the texts."""
+    return substrings.remove_repeats(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_pieces, score, scores, ids_sha256, round_trip) of the texts that are left."""
+    return pieces.encode_digest(docs)
+
+
+STAGES = [
+    ("quality rules", good_quality),
+    ("near duplicates", one_of_each_group),
+    ("substring dedup", without_repeats),
+    ("benchmark decontamination", without_benchmark),
+    ("sentencepiece", encoded),
+]
+
+#: None: expectation maximisation, components and lattice search can't be put in SQL.
 ORACLE_SQL = None
 
 
