@@ -1,5 +1,110 @@
-"""SQL twins of the queries, for an independent engine."""
+"""SQL twins of the queries, for an independent engine.
+
+The classifier, the piece lattice, decontamination and the pipeline have none: training,
+lattice search and item-sized windows are tested against brute force instead.  So is
+sharding, as that engine has no CRC-32.
+"""
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+from . import licenses, quality_rules, url_filters
+
+_PLAIN = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+_WORD = r"'[^\x20\x09-\x0D]+'"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _licenses() -> str:
+    phrases = licenses.PHRASES.items()
+    at = [f"list_filter(range(n), lambda i: i + {len(p.split())} <= n AND {' AND '.join(f'w[i + {j + 1}] = {x!r}' for j, x in enumerate(p.split()))})" for p, _ in phrases]
+    base = ", ".join(f"CASE WHEN len(p{i}) > 0 THEN '{label}' END" for i, (_, label) in enumerate(phrases))
+    more = ", ".join(f"CASE WHEN regexp_matches(s, '{licenses.pattern(t)}') THEN '{label}' END" for t, label in licenses.TEMPLATES)
+    every = "flatten([" + ", ".join(f"p{i}" for i in range(len(at))) + "])"
+    join = lambda x: f"array_to_string(list_sort(list_distinct(list_filter({x}, lambda v: v IS NOT NULL))), ',')"
+    return f"""WITH a AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_PLAIN}) AS w FROM documents),
+b AS (SELECT doc_id, w, CAST(len(w) AS BIGINT) AS n, ' ' || array_to_string(w, ' ') || ' ' AS s FROM a),
+c AS (SELECT *, {", ".join(f"{x} AS p{i}" for i, x in enumerate(at))} FROM b),
+d AS (SELECT doc_id, n, {every} AS places, [{base}] AS base, [{more}] AS more FROM c)
+SELECT doc_id, n AS n_words, CAST(len(places) AS BIGINT) AS n_base, list_min(places) AS first_word, list_max(places) AS last_word,
+  {join("base")} AS base_labels, {join("list_concat(base, more)")} AS labels,
+  CAST(CASE WHEN len(list_filter(more, lambda v: v IS NOT NULL)) > 0 THEN 1.0 WHEN len(places) > 0 THEN 0.5 ELSE 0.0 END AS DOUBLE) AS score FROM d"""
+
+
+_SUBSTRINGS = f"""WITH a AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_WORD}) AS w FROM documents),
+b AS (SELECT doc_id, w, CAST(len(w) AS BIGINT) AS n FROM a),
+wins AS (SELECT doc_id, i, md5(array_to_string(w[i + 1:i + 50], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(n - 49)) AS i FROM b WHERE n >= 50)),
+firsts AS (SELECT h, min(doc_id) AS d FROM wins GROUP BY h),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM wins JOIN firsts USING (h) WHERE doc_id > d),
+per AS (SELECT doc_id, list(i) AS g, count(*) AS n_removed FROM gone GROUP BY doc_id)
+SELECT doc_id, n AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(array_to_string(CASE WHEN g IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(g, i - 1)) END, ' '), '')) AS kept_sha256
+FROM b LEFT JOIN per USING (doc_id)"""
+
+_NEAR = f"""WITH RECURSIVE a AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_WORD}) AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ') ELSE array_to_string(w[i + 1:i + 3], ' ') END AS g FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - 2, least(len(w), 1)))) AS i FROM a))),
+z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT x.doc_id AS x, y.doc_id AS y, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM common JOIN z p ON p.doc_id = x JOIN z q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)),
+both_ways AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reach AS (SELECT doc_id, doc_id AS r FROM a UNION SELECT reach.doc_id, both_ways.y FROM reach JOIN both_ways ON both_ways.x = reach.r)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, c AS component_id, doc_id = c AS kept FROM (SELECT doc_id, min(r) AS c FROM reach GROUP BY doc_id) LEFT JOIN z USING (doc_id)"""
+
+
+def _quality() -> str:
+    """The same counts and votes; expectation maximisation as one table of parameters per round."""
+    rules = list(quality_rules.RULES)
+    chars = lambda x: f"length(t) - length(translate(t, '{x}', ''))"
+    votes = ", ".join(f"CASE WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END AS vote_{k}" for k, (bad, good) in quality_rules.RULES.items())
+    cells = [(k, v) for k in rules for v in (-1, 0, 1)]
+    name = {-1: "m", 0: "z", 1: "p"}
+    columns = ["good", *[f"{k}_{name[v]}_{y}" for k, v in cells for y in ("bad", "good")]]
+    prior, w = quality_rules.PRIOR, quality_rules.PRIOR_WEIGHT
+    first = [str(quality_rules.PRIOR_GOOD), *[str(prior[y][v + 1]) for k, v in cells for y in ("bad", "good")]]
+    odds = "ln(good / (1 - good)) + " + " + ".join("CASE vote_" + k + " " + " ".join(f"WHEN {v} THEN ln({k}_{name[v]}_good / {k}_{name[v]}_bad)" for v in (-1, 0, 1)) + " END" for k in rules)
+    q = f"1 / (1 + exp(-({odds})))"
+    step = [f"(sum(n * q) + {w} * sum(n) * {quality_rules.PRIOR_GOOD}) / (sum(n) * (1 + {w}))"]
+    for k, v in cells:
+        step.append(f"(coalesce(sum(n * (1 - q)) FILTER (WHERE vote_{k} = {v}), 0) + {w} * sum(n) * {prior['bad'][v + 1]}) / (sum(n * (1 - q)) + {w} * sum(n))")
+        step.append(f"(coalesce(sum(n * q) FILTER (WHERE vote_{k} = {v}), 0) + {w} * sum(n) * {prior['good'][v + 1]}) / (sum(n * q) + {w} * sum(n))")
+    rounds = [f"p0 AS (SELECT {', '.join(f'CAST({x} AS DOUBLE) AS {c}' for x, c in zip(first, columns, strict=True))})"]
+    for i in range(quality_rules.ROUNDS):
+        rounds.append(f"q{i} AS MATERIALIZED (SELECT pat.*, {q} AS q FROM pat, p{i})")
+        rounds.append(f"p{i + 1} AS MATERIALIZED (SELECT {', '.join(f'{x} AS {c}' for x, c in zip(step, columns, strict=True))} FROM q{i})")
+    cols = ", ".join(f"vote_{k}" for k in rules)
+    return f"""WITH a AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+b AS (SELECT doc_id, t, regexp_extract_all(t, {_WORD}) AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM a),
+tri AS (SELECT doc_id, i, w[i + 1:i + 3] AS g FROM (SELECT doc_id, w, unnest(range(len(w) - 2)) AS i FROM b WHERE len(w) >= 3)),
+again AS (SELECT doc_id, i FROM tri QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+rep AS (SELECT doc_id, count(*) AS r FROM (SELECT DISTINCT doc_id, unnest([i, i + 1, i + 2]) AS i FROM again) GROUP BY doc_id),
+c AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, length(array_to_string(w, '')) AS word_chars, {chars('#*$%&|<>')} AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(r, 0) AS n_repeat_words,
+  len(l) AS n_lines, {chars('ABCDEFGHIJKLMNOPQRSTUVWXYZ')} AS n_capitals, len(regexp_extract_all(t, '[#*$%&|<>]+')) AS n_symbol_runs, {chars('.')} AS n_stops FROM b LEFT JOIN rep USING (doc_id)),
+v AS MATERIALIZED (SELECT *, {votes} FROM c),
+pat AS MATERIALIZED (SELECT {cols}, count(*) AS n FROM v GROUP BY {cols}),
+{", ".join(rounds)}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND {q} >= 0.5 AS kept FROM v, p{quality_rules.ROUNDS}"""
+
+
+def _urls() -> str:
+    rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in url_filters.RULES)
+    blocked = ", ".join(f"'{h}'" for h in url_filters.BLOCKED_HOSTS)
+    return f"""WITH rules(verdict, host, path) AS (VALUES {rules}),
+a AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+b AS (SELECT page_id, translate(regexp_extract(rest, '(?s)^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM a),
+c AS (SELECT b.*, r.host || r.path AS rule, r.verdict FROM b LEFT JOIN rules r ON (b.host = r.host OR ends_with(b.host, '.' || r.host)) AND starts_with(b.path, r.path))
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN len(list_filter([{blocked}], lambda x: host = x OR ends_with(host, '.' || x))) > 0 THEN 'block' ELSE 'allow' END) AS verdict FROM c QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC NULLS LAST) = 1"""
+
+
+_WARC = """WITH a AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+b AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS x, max(page_id) OVER (PARTITION BY h) AS top FROM a)
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST((CAST('0x' || substr(x, CAST(i // 4 * 5 + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - i % 4 * 5 AS BIGINT)) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id < top THEN top END AS refers_to FROM b"""
+
+ORACLES: dict[str, str] = {
+    "op3_license_scans": _licenses(),
+    "op4_recompression": _SUBSTRINGS,
+    "op5_bottom_k_near_duplicates": _NEAR,
+    "op6_quality_rules": _quality(),
+    "op8_url_filters": _urls(),
+    "op9_warc": _WARC,
+}

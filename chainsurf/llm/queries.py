@@ -22,7 +22,8 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(url_filters.RULES, "verdict string, host string, path string")
-    return url_filters.judge(table(spark, sf_dir, "pages"), rules)
+    hosts = spark.createDataFrame([(h,) for h in url_filters.BLOCKED_HOSTS], "host string")
+    return url_filters.judge(table(spark, sf_dir, "pages"), rules, blocked=hosts)
 
 
 def op10_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,6 +25,8 @@ RULES = [
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 ]
+#: Hosts, with all their subdomains, that the method itself blocks where no rule fits.
+BLOCKED_HOSTS = [f"{name}.example.{top}" for name in ("ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org")]
 
 
 def host_of(url: Column) -> Column:
@@ -56,19 +58,26 @@ def expressions(sites: DataFrame, lengths: list[int]) -> DataFrame:
     return out.select("host", "path", F.substring(digest, 1, 8).alias("prefix"), digest.alias("found"))
 
 
-def judge(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "url", default: str = "allow") -> DataFrame:
+def judge(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "url", default: str = "allow", blocked: DataFrame | None = None) -> DataFrame:
     """(key, host, path, rule, verdict) for each row of ``pages``.
 
+    ``blocked`` (host): a further list that blocks hosts where no rule fits, by the same
+    hashed expressions.
+
     The number of distinct rule-path lengths is read first (at most the longest path's
     length).  A third of all urls on one host is harmless: only distinct sites are expanded.
     """
     lengths = sorted(r[0] for r in rules.select(F.length("path")).distinct().collect())
+    known = hashed(rules).withColumn("listed", F.lit(False))
+    if blocked is not None:
+        known = known.unionByName(hashed(blocked.select(F.lit("block").alias("verdict"), "host", F.lit("").alias("path"))).withColumn("listed", F.lit(True)))
+        lengths = sorted({0, *lengths})
     split = pages.select(F.col(key), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     sites = split.select("host", "path").distinct()
-    won = F.max(F.struct(F.length("rule"), F.length("rule_host"), "rule_verdict", "rule"))
+    won = F.max(F.struct(~F.col("listed"), F.length("rule"), F.length("rule_host"), "rule_verdict", F.when(~F.col("listed"), F.col("rule")).alias("rule")))
     best = (
         expressions(sites, lengths)
-        .join(hashed(rules), "prefix")
+        .join(known, "prefix")
         .filter("found = digest")
         .groupBy("host", "path")
         .agg(won.alias("won"))
