@@ -196,7 +196,8 @@ def _candidates(nodes: DataFrame, percent: int) -> DataFrame:
     least = -(-percent // (100 - percent))  # smaller sets link with equal sets only
     listed = nodes.filter(f"n >= {least}").select("node", F.expr(f"transform(sequence(0, least(size(sketch), {LISTED}) - 2), i -> xxhash64(sketch[i], sketch[i + 1]))").alias("keys"))
     rows = listed.select("node", F.explode("keys").alias("key"))
-    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("least")).filter("c > 1")
+    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    shared = stored(shared, "near-keys")  # a table of its own: a hot key's side of the join can be split
     members = stored(rows.join(shared, "key"), "near-lists")
 
     short = members.filter(f"c <= {RARE}").select("key", "node")
@@ -209,8 +210,8 @@ def _candidates(nodes: DataFrame, percent: int) -> DataFrame:
     long_ = members.filter(f"c > {RARE}").select("key", "node")
     crowded = long_.groupBy("node").agg(F.count(F.lit(1)).alias("in_long")).join(nodes.select("node", "n"), "node")
     crowded = crowded.filter(f"least(n, {LISTED}) - 1 - in_long < {ENOUGH}").select("node")
-    inside = long_.join(crowded, "node")
-    heads = inside.groupBy("key").agg(F.min("node").alias("x"))
+    inside = stored(long_.join(crowded, "node"), "near-crowded")
+    heads = stored(inside.groupBy("key").agg(F.min("node").alias("x")), "near-heads")
     far = inside.join(heads, "key").filter("x < node").select("x", F.col("node").alias("y")).distinct()
     return stored(near.unionByName(far), "near-candidates")
 
