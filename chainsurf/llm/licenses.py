@@ -28,7 +28,7 @@ PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserv
 #: Templates and their labels, as public licence notices word them.
 TEMPLATES = [
     ("licensed under <<opt>> the <</opt>> cc by nc <<opt>> 4 0 <</opt>>", "cc-by-nc-4.0"),
-    ("licensed under <<opt>> the <</opt>> cc by <<opt>> 4 0 <</opt>> <<opt>> license <</opt>>", "cc-by-4.0"),
+    ("licensed under <<opt>> the <</opt>> cc by 4 0", "cc-by-4.0"),
     ("licensed under <<opt>> the <</opt>> apache license <<opt>> version <</opt>> 2 0", "apache-2.0"),
     ("released under <<opt>> the <</opt>> mit license", "mit"),
     ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "mit"),
