@@ -17,7 +17,7 @@ _LEGACY = StructType([f for f in CHAIN.fields if f.name != "ticker"])
 
 def read_chain(spark: SparkSession, root: str) -> DataFrame:
     """The chain store with folders ``ticker=.../year=...``; the schema is fixed, so ``007`` stays text."""
-    return spark.read.schema(PARTITIONED).parquet(root)
+    return spark.read.schema(PARTITIONED).parquet(root).select(*PARTITIONED.names)
 
 
 def read_chain_files(spark: SparkSession, root: str) -> DataFrame:
@@ -60,7 +60,7 @@ def read_range(chain: DataFrame, ticker: str, start, end) -> DataFrame:
 
 
 def read_ohlc(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(OHLC).parquet(path)
+    return spark.read.schema(OHLC).parquet(path).select(*OHLC.names)
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, year_bounds: list[tuple[date, date]] | None = None, **properties) -> DataFrame:
