@@ -117,13 +117,12 @@ def ingest_history(chain, ohlc):
 
 @query(
     """, cal AS (SELECT DISTINCT trade_date AS day FROM ohlc WHERE isodow(trade_date) < 6), clean AS (""" + CLEAN_SQL + """),
-stamped AS (SELECT c.*, coalesce((SELECT max(day) FROM cal WHERE day BETWEEN c.trade_date - 10 AND c.trade_date), c.trade_date) AS on_day FROM (SELECT * FROM clean WHERE trade_date < DATE '1997-01-01') c)
-SELECT ticker, on_day AS trade_date, expiration, strike, option_type, CAST(sum(open_interest) AS BIGINT) AS open_interest FROM stamped GROUP BY ALL"""
+last AS (SELECT d.trade_date, coalesce(max(day), d.trade_date) AS on_day FROM (SELECT DISTINCT trade_date FROM clean) d LEFT JOIN cal ON day BETWEEN d.trade_date - 10 AND d.trade_date GROUP BY d.trade_date)
+SELECT ticker, on_day AS trade_date, expiration, strike, option_type, CAST(sum(open_interest) AS BIGINT) AS open_interest FROM clean JOIN last USING (trade_date) GROUP BY ALL"""
 )
 def ingest_snapshot(chain, ohlc):
     days = ohlc.select("trade_date").distinct().filter(F.weekday("trade_date") < 5)
-    early = chain.filter("trade_date < DATE '1997-01-01'")
-    return payloads.ingest_snapshot(_landed(early).withColumnRenamed("requested_date", "taken_on"), days)
+    return payloads.ingest_snapshot(_landed(chain).withColumnRenamed("requested_date", "taken_on"), days)
 
 
 @query("SELECT ticker, trade_date, expiration, strike, option_type, CAST(3 * open_interest AS BIGINT) AS open_interest FROM chain")
@@ -153,6 +152,11 @@ def finite_or_null_(chain, ohlc):
     return ohlc.select(*DAY_KEY, finite_or_null(bad).alias("close"))
 
 
+@query("SELECT ticker, CAST(year(trade_date) AS INTEGER) AS year, trade_date, expiration, strike, option_type, open_interest FROM chain WHERE ticker = 'R' AND trade_date >= DATE '1997-06-01'")
+def read_range(chain, ohlc):
+    return store.read_range(chain.withColumn("year", F.year("trade_date")), "r", "1997-06-01", None)
+
+
 # ---- merges ------------------------------------------------------------------------------
 
 
@@ -163,6 +167,12 @@ def merge_keep_last(chain, ohlc):
     return merge.merge_keep_last(merge.in_order(chain, first, second), merge.CONTRACT_KEY)
 
 
+@query("SELECT * REPLACE (CASE WHEN strike > 100 THEN NULL ELSE strike END AS strike) FROM chain")
+def coerce_chain(chain, ohlc):
+    loose = chain.withColumn("strike", F.when(F.col("strike") > 100, "n/a").otherwise(F.col("strike").cast("string")))
+    return merge.coerce_chain(loose.withColumn("trade_date", F.col("trade_date").cast("string")).withColumn("extra", F.lit(1)))
+
+
 @query("SELECT * REPLACE (CASE WHEN volume > 1 THEN close + 1 ELSE close END AS close) FROM ohlc")
 def upsert_ohlc(chain, ohlc):
     later = ohlc.filter("volume > 1").withColumn("close", F.col("close") + 1)
@@ -194,10 +204,11 @@ def reconcile_counts(chain, ohlc):
 HOLIDAYS = "SELECT DISTINCT trade_date FROM ohlc WHERE ticker = 'A' AND volume % 4 = 0"
 
 
-@query(f", hol AS ({HOLIDAYS}) SELECT CAST(d AS DATE) AS trade_date FROM generate_series(TIMESTAMP '1996-01-01', TIMESTAMP '2000-12-31', INTERVAL 1 DAY) AS t(d) WHERE isodow(d) < 6 AND CAST(d AS DATE) NOT IN (SELECT trade_date FROM hol)")
+@query(f", hol AS ({HOLIDAYS}) SELECT CAST(d AS DATE) AS trade_date FROM (SELECT unnest(generate_series(CAST(min(trade_date) AS TIMESTAMP), CAST(max(trade_date) AS TIMESTAMP), INTERVAL 1 DAY)) AS d FROM chain) WHERE isodow(d) < 6 AND CAST(d AS DATE) NOT IN (SELECT trade_date FROM hol)")
 def trading_days(chain, ohlc):
     holidays = ohlc.filter("ticker = 'A' AND volume % 4 = 0").select(F.col("trade_date").alias("date")).distinct()
-    return calendar.trading_days(ohlc.sparkSession, "1996-01-01", "2000-12-31", holidays)
+    start, end = chain.agg(F.min("trade_date"), F.max("trade_date")).first()
+    return calendar.trading_days(ohlc.sparkSession, start, end, holidays)
 
 
 @query(", cal AS (SELECT DISTINCT trade_date AS day FROM ohlc WHERE volume > 1), d AS (SELECT DISTINCT trade_date FROM chain) SELECT trade_date, coalesce(max(day), trade_date) AS last_trading_day FROM d LEFT JOIN cal ON day BETWEEN trade_date - 10 AND trade_date GROUP BY trade_date")
@@ -474,6 +485,11 @@ def pin_candidates(chain, ohlc):
     return views.pin_candidates(views.build_surface(chain, ohlc))
 
 
+@query(SURFACE_SQL + " SELECT s.* FROM surface s JOIN (SELECT ticker, trade_date, min(expiration) AS expiration FROM surface WHERE dte >= 0 GROUP BY ticker, trade_date) f USING (ticker, trade_date, expiration)")
+def front_rows(chain, ohlc):
+    return views.front_rows(views.build_surface(chain, ohlc))
+
+
 # ---- quality -----------------------------------------------------------------------------
 
 
