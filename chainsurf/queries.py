@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +13,7 @@ from . import adapter
 from .adapter import CHAIN_SQL, CLEAN_SQL, OHLC_SQL
 from .functions import days_to_expiry, finite_or_null, moneyness, parse_ymd, third_friday
 from .operators import asof, calendar, day_features, merge, ohlc_features, quality, views
+from .plans import jobs
 from .plans.features import daily_features
 from .schemas import DAY_KEY, FEATURE_COLUMNS, FEATURES, SPOTS
 from .sources import payloads, store
@@ -36,6 +39,12 @@ def rounded(df: DataFrame, *prefixes: str) -> DataFrame:
     return df.select(*[(F.round(c, 6) + 0.0).alias(c) if c.startswith(prefixes) else F.col(c) for c in df.columns])
 
 
+def new_root(spark: SparkSession, what: str) -> str:
+    """A fresh path for a store, in the folder that the cluster shares; a local one only where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="spark-")
+    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
 # ---- sources -----------------------------------------------------------------------------
 
 
@@ -189,6 +198,24 @@ def range_replace(chain, ohlc):
     return merge.range_replaced(old, new, FROM, TO)
 
 
+@query("SELECT ticker, trade_date, expiration, strike, option_type, CASE WHEN strike > 100 THEN open_interest * 2 ELSE open_interest END AS open_interest FROM chain WHERE option_type = 'C' OR strike > 100")
+def upsert_chain(chain, ohlc):
+    """Two batches through the partitioned store."""
+    spark = chain.sparkSession
+    root = new_root(spark, "chain")
+    merge.upsert_chain(chain.filter("option_type = 'C'"), root)
+    merge.upsert_chain(chain.filter("strike > 100").withColumn("open_interest", F.col("open_interest") * 2), root)
+    return store.read_chain(spark, root).drop("year")
+
+
+@query("SELECT ticker, CAST(year(trade_date) AS INTEGER) AS year, count(*) AS n_source, count(*) AS n_stored, true AS matches FROM chain GROUP BY ALL")
+def export_by_year(chain, ohlc):
+    """A raw table moved into the store, then both counted."""
+    root = new_root(chain.sparkSession, "export")
+    merge.export_by_year(chain, root)
+    return quality.reconcile_counts(chain, store.read_chain(chain.sparkSession, root))
+
+
 @query("SELECT ticker, CAST(year(trade_date) AS INTEGER) AS year, count(*) AS n FROM chain GROUP BY ALL")
 def year_counts(chain, ohlc):
     return quality.year_counts(chain)
@@ -427,6 +454,21 @@ def daily_features_range(chain, ohlc):
     return rounded(daily_features(chain, ohlc, FROM, TO), "zscore_", "rv_")
 
 
+_KEPT = ["total_oi", "call_oi", "spot_pc", "spot_co", "max_oi_strike_call", "d1_total_oi_change", "d5_total_oi_change"]
+
+
+@query(_days(_KEPT))
+def rebuild_jobs(chain, ohlc):
+    """A full rebuild of the feature store, then one of a range: these columns are the same in both."""
+    spark = chain.sparkSession
+    root = new_root(spark, "store")
+    merge.upsert_chain(chain, f"{root}/chain")
+    merge.upsert_ohlc(ohlc, f"{root}/ohlc")
+    jobs.rebuild(spark, root)
+    jobs.rebuild(spark, root, FROM, TO)
+    return spark.read.schema(FEATURES).parquet(f"{root}/features").select(*DAY_KEY, *_KEPT)
+
+
 # ---- views -------------------------------------------------------------------------------
 
 SURFACE_SQL = ", surface AS (SELECT c.*, CAST(expiration - c.trade_date AS SMALLINT) AS dte, o.close AS spot_close, CASE WHEN o.close > 0 THEN strike / o.close - 1 END AS moneyness FROM chain c LEFT JOIN ohlc o ON o.ticker = c.ticker AND o.trade_date = c.trade_date), latest AS (SELECT * FROM surface s WHERE trade_date = (SELECT max(trade_date) FROM surface x WHERE x.ticker = s.ticker))"
