@@ -7,7 +7,7 @@
    (two neighbours in the union's order are both shared with probability 0.72); sets
    small enough to be listed whole always have one.
 3. Lists of at most ``RARE`` nodes generate pairs and their overlaps; the union sketch
-   estimates the similarity, and pairs clearly below the threshold go.
+   estimates the similarity, and pairs ``DEVIATIONS`` below the threshold go.
 4. Longer lists are never paired.  A node with ``ENOUGH`` keys outside them meets its
    partners in short lists; only crowded nodes, with fewer, stay in long lists, and are
    put into one group with them.
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .shared import maybe_present, presence, stored
 from .tokens import Words, combine, mix, slices
 
-SKETCH, LISTED, RARE, ENOUGH, OVERLAPS = 64, 40, 40, 20, 2
+SKETCH, LISTED, RARE, ENOUGH, OVERLAPS, DEVIATIONS = 64, 40, 40, 30, 2, 6
 BLOCK, BLOCK_SHINGLES, COLUMNS = 192, 1_500_000, 8192
 
 
@@ -117,7 +117,7 @@ def _estimates(percent: int):
                 new = np.concatenate([[True], ~again])
                 k = min(SKETCH, int(new.sum()))
                 shared = int(again[: np.flatnonzero(new)[k] - 1 if k < new.sum() else None].sum())
-                keep[i] = shared >= t * k - 4 * (t * (1 - t) * k) ** 0.5 - 1
+                keep[i] = shared >= t * k - DEVIATIONS * (t * (1 - t) * k) ** 0.5 - 1
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], ["x", "y"])
 
     return run
