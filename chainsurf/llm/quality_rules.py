@@ -146,11 +146,10 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: f
 
 def keep(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose text is judged good, with their own columns."""
-    taken = "_".join(["q", *docs.columns])  # a name that no column has
-    one = docs.select(key, text)
-    verdicts = votes(measure(one, text).drop(text))
+    row = F.struct(*docs.columns).alias("_row")  # under one name, so that no column clashes with a count
+    counted = votes(measure(docs.select(row, F.col(text).alias("_t")), "_t").drop("_t"))
+    counted = stored(counted, "quality-votes")  # filters on the counts would otherwise compute them again for each use
     cols = [f"vote_{k}" for k in RULES]
-    patterns = stored(verdicts.groupBy(*cols).agg(F.count(F.lit(1)).alias("n")).coalesce(1), "quality-patterns")
-    p = fit(patterns)
-    judged = votes(measure(docs.select(F.struct(*docs.columns).alias(taken), F.col(text).alias("_t")), "_t"))
-    return judged.filter(f"NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND {posterior_sql(p)} >= {threshold}").select(f"{taken}.*")
+    patterns = stored(counted.groupBy(*cols).agg(F.count(F.lit(1)).alias("n")).coalesce(1), "quality-patterns")
+    good = f"NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND {posterior_sql(fit(patterns))} >= {threshold}"
+    return counted.filter(good).select("_row.*")
