@@ -252,6 +252,7 @@ def _found(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     known = rows.filter("doc_id IS NOT NULL")
     symbols = known.mapInArrow(_symbols, "symbol long, doc_id long, row long, packed long")
     shared = symbols.groupBy("symbol").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("symbol")
+    shared = stored(shared, "substring-shared")  # a table of its own: a hot symbol's side of the join can be split
     hits = symbols.select("symbol", "row", "packed").join(shared, "symbol").groupBy("row").agg(F.collect_set("packed").alias("hits"))
     live = base.filter(f"NOT copy AND n_words >= {WINDOW} AND doc_id IS NOT NULL").select("row", "doc_id", "open")
     ranges = stored(live.join(hits, "row", "left").mapInArrow(_ranges, "row long, doc_id long, ranges array<long>").dropDuplicates(["row"]), "substring-ranges")
@@ -259,6 +260,7 @@ def _found(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     near = maybe_present(known.select("row", "text"), "row", presence(ranges.select("row")))
     windows = ranges.join(near, "row").select("row", "doc_id", "ranges", "text").mapInArrow(_windows, "h1 long, h2 long, doc_id long, row long")
     first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").drop("most")
+    first = stored(first, "substring-first")
     later = windows.join(first, ["h1", "h2"]).filter("doc_id > least").groupBy("row").agg(F.collect_set("h1").alias("names"))
     later = stored(later, "substring-repeats")
 
