@@ -6,19 +6,20 @@ a piece falls back to its UTF-8 bytes, at ten below the lowest score.  A space b
 to the piece after it, as in the model; pieces of several spaces are not used.  Hence
 no edge crosses the start of a space-led word or a line end, and a text's lattice is a
 chain of word lattices: its best path joins the words' best paths, and its N best
-differ from it only in the words whose second path loses least.
+differ from it only in the N - 1 words whose second path loses least.
 
 Word lattices of a slice are solved together: forward and backward Viterbi scores give
 each word's best path and the loss of its second (the best path through any edge off
-the best one).  ``nbest`` then lists a word's N best by backward A-star search, for
-which the forward scores are exact heuristics.
+the best one).  ``nbest`` then lists the N best of those few words: from the last node
+back, each node keeps its N best ends.  Their ids are put into the best path, which
+gives all N segmentations of the text.
 
 Decoding joins the pieces' bytes and drops the leading space; it gives the very text,
 also for texts that hold the mark U+2581 (encoded as bytes) or control characters.
 
 Defined cases: null and empty texts have no pieces, score 0 and no second path; equal
-scores are ordered by their ids; repeated rows each get a result; an empty table gives
-an empty result; extra columns are ignored.
+scores are ordered by the ids of the whole text; repeated rows each get a result; an
+empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 OWN_MARK = "\ud800"  # stands for the mark as a text's own character; no valid text holds it
 LEAST = -1e8  # a score below this marks a piece that merges never make; it counts as the lowest above
-CACHED, NONE, CELLS = 500_000, -(1 << 60), 1 << 21
+CACHED, LISTS, NONE, CELLS = 500_000, 100_000, -(1 << 60), 1 << 21
 
 _CUT = np.zeros(256, bool)
 _CUT[[10, 32]] = True
@@ -54,6 +55,12 @@ def _fallback(char: str) -> bytes:
     return (MARK if char == OWN_MARK else char).encode()
 
 
+def _first_byte(code: np.ndarray) -> np.ndarray:
+    """The first UTF-8 byte of each character's fallback."""
+    c = np.where(code == ord(OWN_MARK), ord(MARK), code).astype(np.int64)
+    return np.select([c < 0x80, c < 0x800, c < 0x10000], [c, 0xC0 | c >> 6, 0xE0 | c >> 12], 0xF0 | c >> 18)
+
+
 class Pieces:
     """The vocabulary as plain tables: made on the driver, shipped to the tasks."""
 
@@ -123,7 +130,7 @@ class Pieces:
         col = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size) + pad[row]
         code = np.zeros((m, width), np.uint64)
         code[row, col] = flat
-        edges, r, c = [], row, col
+        edges, r, c, lead = [], row, col, None
         h = np.zeros(len(r), np.uint64)
         for k in range(1, min(self.longest, width) + 1):  # edges of k characters, from starts that still are a prefix
             inside = c + k <= width
@@ -139,36 +146,37 @@ class Pieces:
                 lone[row, col] = True
                 lone &= score == NONE
                 score[lone] = self.unknown
+                lead = np.where(lone, np.array(self.byte_ids)[_first_byte(code)], piece)
             edges.append((score, piece))
             r, c, h = r[alive], c[alive], h[alive]
             if not len(r):
                 break
         f, b = np.full((m, width + 1), NONE), np.full((m, width + 1), NONE)
-        back = np.zeros((m, width + 1), np.int64)
+        step = np.zeros((m, width), np.int64)
         f[np.arange(m), pad] = 0
         b[:, width] = 0
         for e in range(1, width + 1):
             for k in range(1, min(len(edges), e) + 1):
-                v = f[:, e - k] + edges[k - 1][0][:, e - k]
-                better = (v > f[:, e]) & (pad <= e - k)
-                f[better, e] = v[better]
-                back[better, e] = k
-        for s in range(width - 1, -1, -1):
+                f[:, e] = np.maximum(f[:, e], f[:, e - k] + edges[k - 1][0][:, e - k])
+        for s in range(width - 1, -1, -1):  # edges from one node have different first ids, so the least one gives the least ids of equal scores
+            least = np.zeros(m, np.int64)
             for k in range(1, min(len(edges), width - s) + 1):
-                b[:, s] = np.maximum(b[:, s], b[:, s + k] + edges[k - 1][0][:, s])
+                v, i = b[:, s + k] + edges[k - 1][0][:, s], (lead if k == 1 else edges[k - 1][1])[:, s]
+                better = (v > b[:, s]) | ((v == b[:, s]) & (i < least) & (v > NONE))
+                b[better, s], step[better, s], least[better] = v[better], k, i[better]
         best = f[:, width]
         paths: list[list[int]] = [[] for _ in range(m)]
         used = [np.zeros((m, width), bool) for _ in edges]
-        e = np.full(m, width)
-        live = np.flatnonzero(e > pad)
+        at = pad.copy()
+        live = np.flatnonzero(at < width)
         while len(live):
-            k = back[live, e[live]]
-            s = e[live] - k
+            s = at[live]
+            k = step[live, s]
             for i, kk, ss in zip(live.tolist(), k.tolist(), s.tolist(), strict=True):
                 paths[i].append((kk, ss))
                 used[kk - 1][i, ss] = True
-            e[live] = s
-            live = live[s > pad[live]]
+            at[live] = s + k
+            live = live[s + k < width]
         loss = np.full(m, 1 << 60)
         for k, (score, _) in enumerate(edges, 1):
             n = width - k + 1
@@ -178,36 +186,33 @@ class Pieces:
         out = []
         for i, path in enumerate(paths):
             ids: list[int] = []
-            for k, s in reversed(path):
+            for k, s in path:
                 piece = edges[k - 1][1][i, s]
                 ids += [int(piece)] if piece >= 0 else [self.byte_ids[x] for x in _fallback(chr(int(code[i, s])))]
             out.append((ids, int(best[i]), int(loss[i]) if loss[i] < 1 << 60 else -1))
         return out
 
     def nbest(self, word: str, n: int) -> list[tuple[int, list[int]]]:
-        """The n best segmentations (score, ids) of a word or text with marks, best first, by backward A-star."""
+        """The n best segmentations (score, ids) of a word or text with marks, best first, equal scores by their ids."""
         size = len(word)
-        into: list[list[tuple[int, int, tuple[int, ...]]]] = [[] for _ in range(size + 1)]
-        f = [0] + [NONE] * size
-        for e in range(1, size + 1):
-            for s in range(max(0, e - self.longest), e):
+        ends: list[list[tuple[int, int, int, int]]] = [[] for _ in range(size)] + [[(0, 0, 0, 0)]]
+        for s in range(size - 1, -1, -1):  # (loss to the end, first id, next node, rank there); edges from one node have different first ids
+            some = []
+            for e in range(s + 1, min(size, s + self.longest) + 1):
                 found = self.texts.get(word[s:e])
-                if found:
-                    into[e].append((s, int(found[1]), (found[0],)))
-            if not any(s == e - 1 for s, *_ in into[e]):
-                into[e].append((e - 1, self.unknown, tuple(self.byte_ids[x] for x in _fallback(word[e - 1]))))
-            f[e] = max(f[s] + v for s, v, _ in into[e])
-        # a partial path from node e to the end has priority g + f[e]: no path through it scores more, one scores as much
-        heap: list = [(-f[size], (), size, 0)]
-        out: list = []
-        while heap and (len(out) < n or -heap[0][0] == out[-1][0]):
-            _, ids, e, g = heapq.heappop(heap)
-            if e == 0:
-                out.append((g, list(ids)))
-                continue
-            for s, v, piece in into[e]:
-                heapq.heappush(heap, (-(g + v + f[s]), piece + ids, s, g + v))
-        return sorted(out, key=lambda x: (-x[0], x[1]))[:n]
+                if found or e == s + 1:
+                    i, v = found or (self.byte_ids[_fallback(word[s])[0]], self.unknown)
+                    some += [(x[0] - int(v), i, e, rank) for rank, x in enumerate(ends[e])]
+            ends[s] = sorted(some)[:n]
+        out = []
+        for first in ends[0][:n]:
+            ids: list[int] = []
+            s, (_, i, e, rank) = 0, first
+            while s < size:
+                ids += [i] if word[s:e] in self.texts else [self.byte_ids[x] for x in _fallback(word[s])]
+                s, (_, i, e, rank) = e, ends[e][rank]
+            out.append((-first[0], ids))
+        return out
 
     def decode(self, ids) -> str:
         return b"".join(self.spelled[i] for i in ids)[1:].decode("utf-8", "surrogatepass")
@@ -222,6 +227,7 @@ class Encoder:
 
     def reset(self) -> None:
         self.known: dict[int, int] = {}
+        self.lists: dict[tuple[int, int], tuple[list[tuple[int, int, bytes]], bool, bool]] = {}
         self.ids = np.zeros(0, np.int32)
         self.start = self.size = self.score = self.loss = np.zeros(0, np.int64)
 
@@ -236,8 +242,23 @@ class Encoder:
         self.score = np.concatenate([self.score, np.array([x[1] for x in solved], np.int64)])
         self.loss = np.concatenate([self.loss, np.array([x[2] for x in solved], np.int64)])
 
+    def _list(self, key: int, word: str, n: int) -> tuple[list[tuple[int, int, bytes]], bool, bool]:
+        """A word's n best as (loss, rank by ids, ids), whether the second has the greater ids, and whether all spell the same."""
+        if (key, n) not in self.lists:
+            if len(self.lists) > LISTS:
+                self.lists.clear()
+            found = self.pieces.nbest(word, n)
+            rank = {i: r for r, i in enumerate(sorted(range(len(found)), key=lambda i: found[i][1]))}
+            same = len({b"".join(self.pieces.spelled[i] for i in ids) for _, ids in found}) == 1
+            self.lists[key, n] = [(found[0][0] - s, rank[i], np.array(ids, "<i4").tobytes()) for i, (s, ids) in enumerate(found)], found[1][1] > found[0][1], same
+        return self.lists[key, n]
+
     def encode(self, data: np.ndarray, offsets: np.ndarray, n: int):
-        """(ids, pieces per text, score, losses of the 2nd..n-th segmentation) of the texts of a slice."""
+        """(ids, pieces per text, score, others, alike) of the texts of a slice.
+
+        ``others`` holds the 2nd..n-th segmentation of each text: its loss, and what to put
+        into the best path's ids as (from, to, ids).  ``alike`` says that all spell the same.
+        """
         words = Words(data, offsets, apart=_CUT)
         begins = np.zeros(len(data) + 1, bool)
         begins[words.start] = True
@@ -285,23 +306,33 @@ class Encoder:
         per = np.bincount(doc, weights=size, minlength=words.n).astype(np.int64)
         score = np.zeros(words.n, np.int64)
         np.add.at(score, doc, self.score[unit])
-        losses: list[list[int]] = [[] for _ in range(words.n)]
+        others: list[list[tuple[int, list[tuple[int, int, bytes]]]]] = [[] for _ in range(words.n)]
+        alike = np.ones(words.n, bool)
         if n > 1:
-            can = np.flatnonzero(self.loss[unit] >= 0)
-            can = can[np.lexsort((self.loss[unit[can]], doc[can]))]
+            loss, begin = self.loss[unit], np.cumsum(size) - size
+            can = np.flatnonzero(loss >= 0)
+            can = can[np.lexsort((loss[can], doc[can]))]
+            head = np.searchsorted(doc[can], doc[can])
+            last = np.minimum(head + n - 2, np.searchsorted(doc[can], doc[can], side="right") - 1)
+            can = can[loss[can] <= loss[can[last]]]  # with all that lose as much as the last one needed
+            kinds, kind = np.unique(inverse[can], return_inverse=True)
+            up = np.array([self._list(listed[u], spell(u), n)[1] for u in kinds.tolist()], bool)[kind] if len(can) else np.zeros(0, bool)
+            # of equal losses, lesser ids first: an early place for a word that they make less, a late one for others
+            can = can[np.lexsort((np.where(up, -can, can), up, loss[can], doc[can]))]
             rank = np.arange(len(can)) - np.searchsorted(doc[can], doc[can])
-            can = can[rank < n - 1]
+            can = np.sort(can[rank < n - 1])
+            can = can[np.argsort(doc[can], kind="stable")]
             for d, units in zip(*self._by_doc(doc[can], can), strict=True):
-                sums = [0]
+                sums: list[tuple[int, tuple[int, ...], tuple[int, ...]]] = [(0, (), ())]
+                each = []
                 for u in units:
-                    top = self.score[unit[u]]
-                    if n == 2:
-                        each = [0, int(self.loss[unit[u]])]
-                    else:
-                        each = [int(top - s) for s, _ in self.pieces.nbest(spell(int(inverse[u])), n)]
-                    sums = heapq.nsmallest(n, (a + b for a in sums for b in each))
-                losses[d] = sums[1:]
-        return flat, per, score, losses
+                    ranked, _, same = self._list(listed[inverse[u]], spell(int(inverse[u])), n)
+                    each.append(ranked)
+                    alike[d] &= same
+                    sums = heapq.nsmallest(n, ((a + x, (*r, y), (*c, i)) for a, r, c in sums for i, (x, y, _) in enumerate(ranked)))
+                at = [(int(begin[u]), int(begin[u] + size[u])) for u in units]
+                others[d] = [(a, [(*at[j], each[j][i][2]) for j, i in enumerate(c) if i]) for a, _, c in sums[1:]]
+        return flat, per, score, others, alike
 
     @staticmethod
     def _by_doc(doc: np.ndarray, units: np.ndarray):
@@ -327,6 +358,19 @@ def _encoder(shared) -> Encoder:
     return _ENCODERS[0]
 
 
+def _put(ids: memoryview, a: int, b: int, new) -> bytes:
+    """The ids from a to b with some stretches replaced, as little-endian 32-bit integers."""
+    out = []
+    for x, y, other in new:
+        out += [ids[4 * a:4 * x], other]
+        a = y
+    return b"".join([*out, ids[4 * a:4 * b]])
+
+
+def _ends(sizes: list[int]) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+
+
 def _run(shared, n: int, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -334,12 +378,16 @@ def _run(shared, n: int, digest: bool):
         encoder = _encoder(shared)
         for batch in batches:
             for at, to, data, offsets in slices(batch.column(1)):
-                flat, per, score, losses = encoder.encode(data, offsets, n)
+                flat, per, score, others, alike = encoder.encode(data, offsets, n)
                 ends = np.concatenate([[0], np.cumsum(per)])
                 first = [batch.column(0).slice(at, to - at), pa.array(per), pa.array(score.astype(float))]
-                scores = pa.array([[float(s - x) for x in [0, *more]] for s, more in zip(score, losses, strict=True)], pa.list_(pa.float64()))
+                scores = pa.array([[float(s - x) for x in [0, *(loss for loss, _ in more)]] for s, more in zip(score, others, strict=True)], pa.list_(pa.float64()))
+                ids = memoryview(flat.astype("<i4").tobytes())
+                every = [[_put(ids, a, b, ()), *(_put(ids, a, b, new) for _, new in more)] for a, b, more in zip(ends[:-1].tolist(), ends[1:].tolist(), others, strict=True)]
                 if not digest:
-                    yield pa.RecordBatch.from_arrays([*first, scores, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))], ["k", "n_pieces", "score", "scores", "ids"])
+                    inner = pa.ListArray.from_arrays(pa.array(_ends([len(x) // 4 for row in every for x in row])), pa.array(np.frombuffer(b"".join(x for row in every for x in row), "<i4")))
+                    nbest = pa.ListArray.from_arrays(pa.array(_ends([len(row) for row in every])), inner)
+                    yield pa.RecordBatch.from_arrays([*first, scores, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat)), nbest], ["k", "n_pieces", "score", "scores", "ids", "nbest_ids"])
                     continue
                 text, size = encoder.spelled(flat, per)
                 lead = np.cumsum(size) - size
@@ -347,30 +395,32 @@ def _run(shared, n: int, digest: bool):
                 body = np.ones(len(text), bool)
                 body[lead[filled]] = False
                 whole = np.array_equal(size - filled, np.diff(offsets)) and np.array_equal(text[body], data)
-                back = [whole or text[a + f:a + s].tobytes() == data[x:y].tobytes() for a, s, f, x, y in zip(lead, size, filled, offsets[:-1], offsets[1:], strict=True)]
-                ids = flat.astype("<i4")
-                sums = [hashlib.sha256(ids[a:b].tobytes()).hexdigest() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([*first, scores, pa.array(sums, pa.string()), pa.array(back, pa.bool_())], ["k", "n_pieces", "score", "scores", "ids_sha256", "round_trip"])
+                back = [same and (whole or text[a + f:a + s].tobytes() == data[x:y].tobytes()) for a, s, f, x, y, same in zip(lead, size, filled, offsets[:-1], offsets[1:], alike.tolist(), strict=True)]
+                sums = [[hashlib.sha256(x).hexdigest() for x in row] for row in every]
+                yield pa.RecordBatch.from_arrays([*first, scores, pa.array([x[0] for x in sums], pa.string()), pa.array(sums, pa.list_(pa.string())), pa.array(back, pa.bool_())], ["k", "n_pieces", "score", "scores", "ids_sha256", "nbest_sha256", "round_trip"])
 
     return run
 
 
 def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, model: str = MODEL) -> DataFrame:
-    """(key, n_pieces, score, scores of the n best, ids array<int>) for each row of ``docs``."""
+    """(key, n_pieces, score, scores of the n best, ids array<int>, nbest_ids array<array<int>>) for each row of ``docs``.
+
+    ``nbest_ids`` holds the n best segmentations in the order of ``scores``; ``ids`` is the first.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(Pieces.load(model))
     rows = docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("_text"))
-    return rows.mapInArrow(_run(shared, n, False), "k long, n_pieces long, score double, scores array<double>, ids array<int>").withColumnRenamed("k", key)
+    return rows.mapInArrow(_run(shared, n, False), "k long, n_pieces long, score double, scores array<double>, ids array<int>, nbest_ids array<array<int>>").withColumnRenamed("k", key)
 
 
 def encode_digest(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, model: str = MODEL) -> DataFrame:
-    """(key, n_pieces, score, scores, ids_sha256, round_trip): ``encode``, then ``decode`` in the same task.
+    """(key, n_pieces, score, scores, ids_sha256, nbest_sha256, round_trip): ``encode``, then ``decode`` in the same task.
 
-    ids_sha256 is over the ids as little-endian 32-bit integers; round_trip says that
-    decoding gives the very text.
+    ids_sha256 is over the ids as little-endian 32-bit integers, nbest_sha256 has one for
+    each of the n best segmentations; round_trip says that decoding each gives the very text.
     """
     shared = docs.sparkSession.sparkContext.broadcast(Pieces.load(model))
     rows = docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("_text"))
-    return rows.mapInArrow(_run(shared, n, True), "k long, n_pieces long, score double, scores array<double>, ids_sha256 string, round_trip boolean").withColumnRenamed("k", key)
+    return rows.mapInArrow(_run(shared, n, True), "k long, n_pieces long, score double, scores array<double>, ids_sha256 string, nbest_sha256 array<string>, round_trip boolean").withColumnRenamed("k", key)
 
 
 def decode(encoded: DataFrame, ids: str = "ids", out: str = "text", model: str = MODEL) -> DataFrame:

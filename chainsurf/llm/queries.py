@@ -44,9 +44,9 @@ def op5_bottom_k_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The digest form of encoding and decoding: the three best scores stand in columns."""
+    """The digest form of encoding and decoding: scores and digests of the three best segmentations stand in columns."""
     found = pieces.encode_digest(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_pieces", "score", F.get("scores", F.lit(1)).alias("second_score"), F.get("scores", F.lit(2)).alias("third_score"), "ids_sha256", "round_trip")
+    return found.select("doc_id", "n_pieces", "score", F.get("scores", F.lit(1)).alias("second_score"), F.get("scores", F.lit(2)).alias("third_score"), "ids_sha256", F.get("nbest_sha256", F.lit(1)).alias("second_sha256"), F.get("nbest_sha256", F.lit(2)).alias("third_sha256"), "round_trip")
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,3 +57,18 @@ def test_texts(spark, model):
 
 def test_empty_table(spark):
     assert pieces.encode_digest(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_all_n_segmentations(spark, model):
+    r = random.Random(3)
+    texts = [t for t in TEXTS if not t or len(t) < 60] + [" ".join(r.choice(["the", "an", "xxx", "tha", "=======", "é\x01", "on"]) for _ in range(r.randrange(1, 7))) for _ in range(80)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    again = {x.doc_id: x for x in pieces.encode_digest(docs, n=4).collect()}
+    for x in pieces.encode(docs, n=4).collect():
+        t = texts[x.doc_id] or ""
+        whole = pieces.MARK + t.replace(pieces.MARK, pieces.OWN_MARK).replace(" ", pieces.MARK) if t else ""
+        assert list(zip(x.scores, x.nbest_ids)) == model.nbest(whole, 4)
+        if len(whole) < 12 and pieces.OWN_MARK not in whole:
+            assert list(zip(x.scores, x.nbest_ids)) == sorted(every(model, whole), key=lambda y: (-y[0], y[1]))[:4]
+        assert x.ids == x.nbest_ids[0] and all(model.decode(ids) == t for ids in x.nbest_ids)
+        assert again[x.doc_id].round_trip and again[x.doc_id].nbest_sha256 == [hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest() for ids in x.nbest_ids]
