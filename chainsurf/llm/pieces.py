@@ -3,10 +3,12 @@
 The lattice of a text has its character positions as nodes and the vocabulary's pieces
 as edges; a segmentation's score is the sum of its pieces' scores.  A character without
 a piece falls back to its UTF-8 bytes, at ten below the lowest score.  A space belongs
-to the piece after it, as in the model; pieces of several spaces are not used.  Hence
-no edge crosses the start of a space-led word or a line end, and a text's lattice is a
-chain of word lattices: its best path joins the words' best paths, and its N best
-differ from it only in the N - 1 words whose second path loses least.
+to the piece after it, as in the model, or to a piece of several spaces.  Hence no edge
+crosses the start of a run of spaces or a line end, and a text's lattice is a chain of
+word lattices, each a word with the whole run of spaces before it (or a run before a
+line end): its best path joins the words' best paths, and its N best differ from it only
+in the N - 1 words whose second path loses least.  A model with pieces that cross these
+places is refused.
 
 Word lattices of a slice are solved together: forward and backward Viterbi scores give
 each word's best path and the loss of its second (the best path through any edge off
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .tokens import Words, slices
+from .tokens import Words, mix, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -98,13 +100,15 @@ class Pieces:
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         n = sp.get_piece_size()
-        texts = {p: (i, sp.get_score(i)) for i in range(n) if not (sp.is_control(i) or sp.is_byte(i) or sp.is_unknown(i) or sp.is_unused(i)) and MARK not in (p := sp.id_to_piece(i))[1:]}
+        texts = {sp.id_to_piece(i): (i, sp.get_score(i)) for i in range(n) if not (sp.is_control(i) or sp.is_byte(i) or sp.is_unknown(i) or sp.is_unused(i))}
+        if crossing := [p for p in texts if MARK in p.lstrip(MARK) or "\n" in p[:-1] or "\n" in p[1:]]:
+            raise ValueError(f"{len(crossing)} pieces cross the start of a word or a line end, such as {crossing[0]!r}")
         least = min(s for _, s in texts.values() if s > LEAST)
         texts = {p: (i, max(s, least)) for p, (i, s) in texts.items()}
         return cls(texts, [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
 
     def solve(self, words: list[str]) -> list[tuple[list[int], int, int]]:
-        """(best ids, its score, loss of the second path or -1) of each word lattice; words begin with MARK or not."""
+        """(best ids, its score, loss of the second path or -1) of each word lattice; words begin with marks or not."""
         out: list = [None] * len(words)
         order = sorted(range(len(words)), key=lambda i: len(words[i]))
         at = 0
@@ -260,27 +264,25 @@ class Encoder:
         into the best path's ids as (from, to, ids).  ``alike`` says that all spell the same.
         """
         words = Words(data, offsets, apart=_CUT)
-        begins = np.zeros(len(data) + 1, bool)
-        begins[words.start] = True
         own = np.repeat(np.arange(words.n), np.diff(offsets))
-        first = np.zeros(len(data), bool)
-        first[offsets[:-1][np.diff(offsets) > 0]] = True
-        after_space = np.zeros(len(words.start), bool)
+        solid = np.concatenate([[0], np.maximum.accumulate(np.where(data != 32, np.arange(1, len(data) + 1), 0))])
+
+        def spaces(at: np.ndarray, d: np.ndarray) -> np.ndarray:
+            """Spaces just before a place of text d, with the one that stands before each text."""
+            begin = np.maximum(solid[at], offsets[d])
+            return at - begin + (begin == offsets[d])
+
         w = words.start
-        after_space[w > 0] = data[w[w > 0] - 1] == 32
-        led = first[w] | after_space  # a space, or the one that stands before each text
-        cut = np.flatnonzero(_CUT[data])
-        same = np.zeros(len(cut), bool)
-        ok = cut + 1 < len(data)
-        same[ok] = begins[cut[ok] + 1] & ~first[cut[ok] + 1]
-        alone = cut[~((data[cut] == 32) & same)]  # spaces that lead no word, and line ends
-        extra = cut[first[cut]]  # texts that start with one: the space before the text stands alone
-        key = words.hashes() ^ np.where(led, np.uint64(0), np.uint64(0xABCDEF12345))
-        key_alone = data[alone].astype(np.uint64)
-        keys = np.concatenate([np.full(len(extra), 32, np.uint64), key, key_alone])
-        place = np.concatenate([extra * 2 - 1, w * 2, alone * 2])
-        ref = np.concatenate([np.full(len(extra), -1), np.arange(len(w)), np.full(len(alone), -1)])
-        doc = np.concatenate([own[extra], words.doc, own[alone]])
+        line = np.flatnonzero(data == 10)
+        full = np.flatnonzero(np.diff(offsets) > 0)
+        many, before, tail = spaces(w, words.doc), spaces(line, own[line]), spaces(offsets[full + 1], full)
+        led, ended = before > 0, tail > 0  # runs of spaces that end with a line or the text
+        key = words.hashes() ^ mix(many)
+        runs = np.concatenate([tail[ended], before[led]])
+        keys = np.concatenate([runs.astype(np.uint64) << np.uint64(8), key, np.full(len(line), 10, np.uint64)])
+        place = np.concatenate([offsets[full[ended] + 1] * 2 - 1, line[led] * 2 - 1, w * 2, line * 2])
+        ref = np.concatenate([np.full(len(runs), -1), np.arange(len(w)), np.full(len(line), -1)])
+        doc = np.concatenate([full[ended], own[line[led]], words.doc, own[line]])
         order = np.argsort(place, kind="stable")
         keys, ref, doc = keys[order], ref[order], doc[order]
         unique, index, inverse = np.unique(keys, return_index=True, return_inverse=True)
@@ -288,9 +290,9 @@ class Encoder:
         def spell(u: int) -> str:
             r = ref[index[u]]
             if r < 0:
-                return MARK if unique[u] == 32 else "\n"
+                return MARK * (int(unique[u]) >> 8) or "\n"
             text = data[words.start[r]:words.end[r]].tobytes().decode("utf-8", "surrogatepass").replace(MARK, OWN_MARK)
-            return MARK + text if led[r] else text
+            return MARK * int(many[r]) + text
 
         if len(self.known) > CACHED:
             self.reset()

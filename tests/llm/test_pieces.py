@@ -72,3 +72,27 @@ def test_all_n_segmentations(spark, model):
             assert list(zip(x.scores, x.nbest_ids)) == sorted(every(model, whole), key=lambda y: (-y[0], y[1]))[:4]
         assert x.ids == x.nbest_ids[0] and all(model.decode(ids) == t for ids in x.nbest_ids)
         assert again[x.doc_id].round_trip and again[x.doc_id].nbest_sha256 == [hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest() for ids in x.nbest_ids]
+
+
+def test_runs_of_spaces_over_the_full_vocabulary(spark, model):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    ids = [i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_byte(i) or sp.is_unknown(i))]
+    least = min(sp.get_score(i) for i in ids if sp.get_score(i) > pieces.LEAST)
+    full = pieces.Pieces({sp.id_to_piece(i): (i, max(sp.get_score(i), least)) for i in ids}, model.byte_ids)
+    assert "▁▁▁▁" in full.texts
+    r = random.Random(5)
+    texts = ["x    return", "a  b", "  a", "   ", "\n  ", "a  ", " \n\n   b", "    ", "", "  a \n", "def f:\n" + " " * 37 + "x  =  1" + " " * 21, "\n", " "]
+    texts += ["".join(r.choice(["a", "re", " ", "  ", "    ", "\n"]) for _ in range(r.randrange(1, 9))) for _ in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    got = {x.doc_id: x for x in pieces.encode(docs, n=4).collect()}
+    again = {x.doc_id: x for x in pieces.encode_digest(docs, n=4).collect()}
+    for i, t in enumerate(texts):
+        whole = (pieces.MARK + t).replace(" ", pieces.MARK) if t else ""
+        found = list(zip(got[i].scores, got[i].nbest_ids))
+        assert found == full.nbest(whole, 4)
+        if len(whole) < 13:
+            assert found == sorted(every(full, whole), key=lambda y: (-y[0], y[1]))[:4]
+        assert again[i].round_trip and again[i].scores == got[i].scores
+    assert got[0].score == -33047 and [sp.id_to_piece(i) for i in got[0].ids] == ["▁x", "▁▁▁▁", "re", "turn"]
