@@ -64,11 +64,22 @@ def _first_byte(code: np.ndarray) -> np.ndarray:
 
 
 class Pieces:
-    """The vocabulary as plain tables: made on the driver, shipped to the tasks."""
+    """The vocabulary as plain tables: made on the driver, shipped to the tasks.
+
+    Scores are whole multiples of 1 / ``scale``, so that sums and ties are exact; ``scale`` is
+    1 for the given model and the least power of two for one with log probabilities.
+    """
 
     def __init__(self, texts: dict[str, tuple[int, float]], byte_ids: list[int]):
+        given = np.array([s for _, s in texts.values()], float)
+        self.scale = 1
+        while (given * self.scale % 1).any():
+            self.scale *= 2
+            if np.abs(given).max() * self.scale >= 1 << 36:
+                raise ValueError("the scores are no multiples of a power of two that leaves room for their sums")
+        texts = {t: (i, int(s * self.scale)) for t, (i, s) in texts.items()}
         self.texts, self.byte_ids = texts, byte_ids
-        self.unknown = int(min(s for _, s in texts.values())) - 10
+        self.unknown = min(s for _, s in texts.values()) - 10 * self.scale
         self.longest = max(map(len, texts))
         top = max([i for i, _ in texts.values()] + byte_ids) + 1
         spelled: list[bytes] = [b""] * top
@@ -92,7 +103,7 @@ class Pieces:
                 h = _next(h, codes[:, j])
             order = np.argsort(h)
             found = [texts.get(group[x], (-1, NONE)) for x in order]
-            self.tables.append((h[order], np.array([x[0] for x in found], np.int64), np.array([int(x[1]) for x in found], np.int64)))
+            self.tables.append((h[order], np.array([x[0] for x in found], np.int64), np.array([x[1] for x in found], np.int64)))
 
     @classmethod
     def load(cls, path: str = MODEL) -> Pieces:
@@ -108,7 +119,7 @@ class Pieces:
         return cls(texts, [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
 
     def solve(self, words: list[str]) -> list[tuple[list[int], int, int]]:
-        """(best ids, its score, loss of the second path or -1) of each word lattice; words begin with marks or not."""
+        """(best ids, its score, loss of the second path or -1), times ``scale``, of each word lattice; words begin with marks or not."""
         out: list = [None] * len(words)
         order = sorted(range(len(words)), key=lambda i: len(words[i]))
         at = 0
@@ -197,7 +208,7 @@ class Pieces:
         return out
 
     def nbest(self, word: str, n: int) -> list[tuple[int, list[int]]]:
-        """The n best segmentations (score, ids) of a word or text with marks, best first, equal scores by their ids."""
+        """The n best segmentations (score, ids) of a word or text with marks, best first, equal scores by their ids.  Scores are times ``scale``."""
         size = len(word)
         ends: list[list[tuple[int, int, int, int]]] = [[] for _ in range(size)] + [[(0, 0, 0, 0)]]
         for s in range(size - 1, -1, -1):  # (loss to the end, first id, next node, rank there); edges from one node have different first ids
@@ -206,7 +217,7 @@ class Pieces:
                 found = self.texts.get(word[s:e])
                 if found or e == s + 1:
                     i, v = found or (self.byte_ids[_fallback(word[s])[0]], self.unknown)
-                    some += [(x[0] - int(v), i, e, rank) for rank, x in enumerate(ends[e])]
+                    some += [(x[0] - v, i, e, rank) for rank, x in enumerate(ends[e])]
             ends[s] = sorted(some)[:n]
         out = []
         for first in ends[0][:n]:
@@ -378,12 +389,13 @@ def _run(shared, n: int, digest: bool):
         import hashlib
 
         encoder = _encoder(shared)
+        scale = encoder.pieces.scale
         for batch in batches:
             for at, to, data, offsets in slices(batch.column(1)):
                 flat, per, score, others, alike = encoder.encode(data, offsets, n)
                 ends = np.concatenate([[0], np.cumsum(per)])
-                first = [batch.column(0).slice(at, to - at), pa.array(per), pa.array(score.astype(float))]
-                scores = pa.array([[float(s - x) for x in [0, *(loss for loss, _ in more)]] for s, more in zip(score, others, strict=True)], pa.list_(pa.float64()))
+                first = [batch.column(0).slice(at, to - at), pa.array(per), pa.array(score / scale)]
+                scores = pa.array([[(s - x) / scale for x in [0, *(loss for loss, _ in more)]] for s, more in zip(score, others, strict=True)], pa.list_(pa.float64()))
                 ids = memoryview(flat.astype("<i4").tobytes())
                 every = [[_put(ids, a, b, ()), *(_put(ids, a, b, new) for _, new in more)] for a, b, more in zip(ends[:-1].tolist(), ends[1:].tolist(), others, strict=True)]
                 if not digest:

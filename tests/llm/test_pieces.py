@@ -96,3 +96,23 @@ def test_runs_of_spaces_over_the_full_vocabulary(spark, model):
             assert found == sorted(every(full, whole), key=lambda y: (-y[0], y[1]))[:4]
         assert again[i].round_trip and again[i].scores == got[i].scores
     assert got[0].score == -33047 and [sp.id_to_piece(i) for i in got[0].ids] == ["▁x", "▁▁▁▁", "re", "turn"]
+
+
+def test_scores_that_are_not_whole(spark, tmp_path):
+    import sentencepiece
+
+    r = random.Random(6)
+    vocab = ["".join(r.choice("aeinorst") for _ in range(r.randrange(2, 8))) for _ in range(200)]
+    lines = [" ".join(r.choice(vocab) for _ in range(8)) for _ in range(400)]
+    path = str(tmp_path / "unigram")
+    sentencepiece.SentencePieceTrainer.train(sentence_iterator=iter(lines), model_prefix=path, vocab_size=420, model_type="unigram", byte_fallback=True, minloglevel=2)
+    sp = sentencepiece.SentencePieceProcessor(model_file=path + ".model")
+    docs = spark.createDataFrame(list(enumerate(lines[:60])), "doc_id long, text string")
+    got = {x.doc_id: x for x in pieces.encode(docs, model=path + ".model").collect()}
+    for i, t in enumerate(lines[:60]):
+        exact = [sum(sp.get_score(j) for j in ids) for ids in got[i].nbest_ids]
+        theirs = sum(sp.get_score(j) for j in sp.encode(t))  # their sums are single floats, so near ties may differ
+        assert theirs - 1e-9 <= exact[0] <= theirs + 1e-3
+        assert got[i].scores == pytest.approx(exact, abs=1e-9) and exact == sorted(exact, reverse=True)
+    by_score = pieces.Pieces({pieces.MARK: (256, -1.0), "a": (257, -2.75), "b": (258, -2.75), "ab": (259, -5.625)}, list(range(256)))
+    assert by_score.nbest("ab", 2) == [(-44, [257, 258]), (-45, [259])] and by_score.scale == 8
