@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .shared import maybe_present, presence, stored
 from .tokens import Words, combine, mix, slices
 
-SKETCH, LISTED, RARE, ENOUGH, OVERLAPS, DEVIATIONS = 64, 40, 40, 30, 2, 6
+SKETCH, LISTED, RARE, ENOUGH, OVERLAPS, DEVIATIONS = 64, 64, 40, 54, 2, 6
 BLOCK, BLOCK_SHINGLES, COLUMNS = 192, 1_500_000, 8192
 
 

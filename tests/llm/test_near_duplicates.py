@@ -69,3 +69,13 @@ def test_edges(spark):
     got = near_duplicates.groups(docs).collect()
     assert sorted((str(x.doc_id), str(x.component_id), x.kept) for x in got) == [("1", "1", True), ("3", "1", False), ("3", "1", False), ("None", "1", False), ("None", "None", True)]
     assert near_duplicates.one_of_each(docs).columns == docs.columns
+
+
+def test_copy_with_few_keys_of_a_large_family_is_met(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "RARE", 3)
+    root = list(range(1, 65))  # of 320 shingles; the copy lacks 26 of the first 60, and 0.8 of all are left
+    copy = list(range(1, 9)) + list(range(10, 61, 2)) + list(range(61, 91))
+    rows = [(i, 320, root) for i in range(1, 7)] + [(9, 256, copy)]
+    nodes = spark.createDataFrame(rows, "node long, n long, sketch array<long>")
+    edges = near_duplicates._candidates(nodes, 80).collect()
+    assert 9 in {x.y for x in edges} | {x.x for x in edges}
