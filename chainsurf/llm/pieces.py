@@ -398,11 +398,6 @@ def _run(shared, n: int, digest: bool):
                 scores = pa.array([[(s - x) / scale for x in [0, *(loss for loss, _ in more)]] for s, more in zip(score, others, strict=True)], pa.list_(pa.float64()))
                 ids = memoryview(flat.astype("<i4").tobytes())
                 every = [[_put(ids, a, b, ()), *(_put(ids, a, b, new) for _, new in more)] for a, b, more in zip(ends[:-1].tolist(), ends[1:].tolist(), others, strict=True)]
-                if not digest:
-                    inner = pa.ListArray.from_arrays(pa.array(_ends([len(x) // 4 for row in every for x in row])), pa.array(np.frombuffer(b"".join(x for row in every for x in row), "<i4")))
-                    nbest = pa.ListArray.from_arrays(pa.array(_ends([len(row) for row in every])), inner)
-                    yield pa.RecordBatch.from_arrays([*first, scores, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat)), nbest], ["k", "n_pieces", "score", "scores", "ids", "nbest_ids"])
-                    continue
                 text, size = encoder.spelled(flat, per)
                 lead = np.cumsum(size) - size
                 filled = size > 0
@@ -410,6 +405,11 @@ def _run(shared, n: int, digest: bool):
                 body[lead[filled]] = False
                 whole = np.array_equal(size - filled, np.diff(offsets)) and np.array_equal(text[body], data)
                 back = [same and (whole or text[a + f:a + s].tobytes() == data[x:y].tobytes()) for a, s, f, x, y, same in zip(lead, size, filled, offsets[:-1], offsets[1:], alike.tolist(), strict=True)]
+                if not digest:
+                    inner = pa.ListArray.from_arrays(pa.array(_ends([len(x) // 4 for row in every for x in row])), pa.array(np.frombuffer(b"".join(x for row in every for x in row), "<i4")))
+                    nbest = pa.ListArray.from_arrays(pa.array(_ends([len(row) for row in every])), inner)
+                    yield pa.RecordBatch.from_arrays([*first, scores, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat)), nbest, pa.array(back, pa.bool_())], ["k", "n_pieces", "score", "scores", "ids", "nbest_ids", "round_trip"])
+                    continue
                 sums = [[hashlib.sha256(x).hexdigest() for x in row] for row in every]
                 yield pa.RecordBatch.from_arrays([*first, scores, pa.array([x[0] for x in sums], pa.string()), pa.array(sums, pa.list_(pa.string())), pa.array(back, pa.bool_())], ["k", "n_pieces", "score", "scores", "ids_sha256", "nbest_sha256", "round_trip"])
 
@@ -417,13 +417,14 @@ def _run(shared, n: int, digest: bool):
 
 
 def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, model: str = MODEL) -> DataFrame:
-    """(key, n_pieces, score, scores of the n best, ids array<int>, nbest_ids array<array<int>>) for each row of ``docs``.
+    """(key, n_pieces, score, scores of the n best, ids array<int>, nbest_ids array<array<int>>, round_trip) for each row of ``docs``.
 
     ``nbest_ids`` holds the n best segmentations in the order of ``scores``; ``ids`` is the first.
+    round_trip says that decoding each gives the very text.
     """
     shared = docs.sparkSession.sparkContext.broadcast(Pieces.load(model))
     rows = docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("_text"))
-    return rows.mapInArrow(_run(shared, n, False), "k long, n_pieces long, score double, scores array<double>, ids array<int>, nbest_ids array<array<int>>").withColumnRenamed("k", key)
+    return rows.mapInArrow(_run(shared, n, False), "k long, n_pieces long, score double, scores array<double>, ids array<int>, nbest_ids array<array<int>>, round_trip boolean").withColumnRenamed("k", key)
 
 
 def encode_digest(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, model: str = MODEL) -> DataFrame:

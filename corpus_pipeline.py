@@ -29,8 +29,8 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_pieces, score, scores, ids_sha256, round_trip) of the texts that are left."""
-    return pieces.encode_digest(docs)
+    """(doc_id, n_pieces, score, scores, ids, nbest_ids, round_trip) of the texts that are left."""
+    return pieces.encode(docs)
 
 
 STAGES = [

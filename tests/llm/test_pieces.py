@@ -116,3 +116,12 @@ def test_scores_that_are_not_whole(spark, tmp_path):
         assert got[i].scores == pytest.approx(exact, abs=1e-9) and exact == sorted(exact, reverse=True)
     by_score = pieces.Pieces({pieces.MARK: (256, -1.0), "a": (257, -2.75), "b": (258, -2.75), "ab": (259, -5.625)}, list(range(256)))
     assert by_score.nbest("ab", 2) == [(-44, [257, 258]), (-45, [259])] and by_score.scale == 8
+
+
+def test_pipeline_rows_rebuild_the_corpus(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    out = corpus_pipeline.encoded(spark, docs, "")
+    assert {x.doc_id: x.text for x in pieces.decode(out).collect()} == {i: t or "" for i, t in enumerate(TEXTS)}
+    assert all(x.round_trip for x in out.collect())
