@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import text_hash
 from .tokens import NOT_PLAIN, Words, combine, mix, slices
 
 SIZE, SIMILARITY, RADIUS, ITEMS = 5, (4, 5), 27, 20_000
@@ -153,7 +154,7 @@ def _find(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: Items = shared.value
         for batch in batches:
-            keys, out = batch.column(0), []
+            keys, hashes, out = batch.column(0), batch.column(2), []
             for at, _, data, offsets in slices(batch.column(1)):
                 words = Words(data, offsets, lower=True, apart=NOT_PLAIN)
                 names = words.hashes()
@@ -171,11 +172,11 @@ def _find(shared):
                         sizes.setdefault(d, set())
                 for d in sorted(sizes):
                     found_in = items.search(names[words.first[d]:words.first[d + 1]], sizes[d])
-                    out += [(keys[at + d].as_py(), items.ids[i], a / b, s, w) for i, (a, b, s, w) in sorted(found_in.items())]
+                    out += [(keys[at + d].as_py(), hashes[at + d].as_py(), items.ids[i], a / b, s, w) for i, (a, b, s, w) in sorted(found_in.items())]
             if out:
                 cols = list(zip(*out, strict=True))
-                types = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["k", "item_id", "similarity", "start", "words"])
+                types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["k", "h", "item_id", "similarity", "start", "words"])
 
     return run
 
@@ -186,7 +187,12 @@ def find(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "te
     ``start`` and ``words`` count the document's words.  Each block of at most ``block``
     items is one pass over the documents.
     """
-    rows = docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("_text"))
+    return _found(docs, items, key, text, item_key, item_text, block).drop("h").withColumnRenamed("k", key)
+
+
+def _found(docs: DataFrame, items: DataFrame, key: str, text: str, item_key: str, item_text: str, block: int = ITEMS) -> DataFrame:
+    """``find`` with the id as k and the hash of the text as h."""
+    rows = docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("_text"), text_hash(text).alias("h"))
     keyed = items.select(F.col(item_key).cast("bigint").alias("i"), F.col(item_text).alias("t"))
     blocks = max(1, -(-keyed.count() // max(1, block // 2)))
     out = None
@@ -196,14 +202,14 @@ def find(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "te
         if not held.ids:
             continue
         shared = docs.sparkSession.sparkContext.broadcast(held)
-        found = rows.mapInArrow(_find(shared), "k long, item_id long, similarity double, start long, words long")
+        found = rows.mapInArrow(_find(shared), "k long, h long, item_id long, similarity double, start long, words long")
         out = found if out is None else out.unionByName(found)
     if out is None:
-        out = docs.sparkSession.createDataFrame([], "k long, item_id long, similarity double, start long, words long")
-    return out.withColumnRenamed("k", key)
+        out = docs.sparkSession.createDataFrame([], "k long, h long, item_id long, similarity double, start long, words long")
+    return out
 
 
 def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """``docs`` without the documents that hold an item."""
-    hit = find(docs, items, key, text, item_key, item_text).select(F.col(key).alias("_hit")).distinct()
-    return docs.join(hit, docs[key] == hit["_hit"], "left_anti")
+    hit = _found(docs, items, key, text, item_key, item_text).select(F.col("k").alias("_hit"), F.col("h").alias("_hash")).distinct()
+    return docs.join(hit, docs[key].cast("bigint").eqNullSafe(hit["_hit"]) & (text_hash(text) == hit["_hash"]), "left_anti")

@@ -41,6 +41,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_hash(text: str):
+    """With the id, the name of a row by its content."""
+    return F.xxhash64(F.col(text).cast("string"))
+
+
 def presence(ids: DataFrame, words: int = 1 << 17) -> DataFrame:
     """A presence filter of fixed size over the one long column of ``ids``.
 

@@ -85,3 +85,13 @@ def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
     assert decontaminate.find(docs, none).count() == 0
     assert decontaminate.clean(docs, none).count() == 1
+
+
+def test_clean_goes_by_rows(spark):
+    item = " ".join(f"item{i}" for i in range(20))
+    rows = [(1, "before " + item + " after"), (1, "a clean text"), (None, item), (None, "clean too"), (2, "clean"), (3, item), (3, item), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(5, item)], "item_id long, text string")
+    got = decontaminate.clean(docs, items)
+    assert got.columns == docs.columns
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [rows[1], rows[3], rows[4], rows[7]]))
