@@ -14,12 +14,13 @@
 5. Groups are cut into blocks of bounded size by set size and salt; each pair of blocks
    whose sizes allow a link is one task group, which computes exact Jaccard
    similarities of full sets and returns links that span its linked nodes.
-6. Connected components over the links name each text's smallest document.
+6. Connected components over the links name each text's smallest document; of its rows
+   the one with the smallest text hash is kept, and of equal rows only one.
 
 Defined cases: texts without words and null texts are empty sets, linked with nothing;
 a text of fewer words than a shingle is one shingle; rows that repeat an id are judged
-by their own text; a null id never names a component that has another id, and such rows
-are not kept unless they stand alone; extra columns are ignored by ``groups`` and kept
+by their own text; a null id never names a component that has another id; exactly one
+row of each component is kept, also of null and of repeated ids; extra columns are ignored by ``groups`` and kept
 by ``one_of_each``; an empty table gives an empty result.
 """
 
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import maybe_present, presence, stored
+from .shared import maybe_present, presence, stored, text_hash
 from .tokens import Words, combine, mix, slices
 
 SKETCH, LISTED, RARE, ENOUGH, OVERLAPS, DEVIATIONS = 64, 64, 40, 54, 2, 6
@@ -86,7 +87,7 @@ def _sketches(size: int):
                 first = np.flatnonzero(np.arange(len(grams)) - begin[d] < SKETCH)
                 ends = np.concatenate([[0], np.cumsum(np.minimum(n, SKETCH))]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(grams[first].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(n), pa.array(name), lists], ["doc_id", "n", "node", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), batch.column(2).slice(at, to - at), pa.array(n), pa.array(name), lists], ["doc_id", "h", "n", "node", "sketch"])
 
     return run
 
@@ -187,8 +188,8 @@ def components(edges: DataFrame, what: str = "components") -> DataFrame:
 
 
 def _sketched(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("_text"))
-    return stored(rows.mapInArrow(_sketches(size), "doc_id long, n long, node long, sketch array<long>"), "near-sketches")
+    rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("_text"), text_hash(text).alias("h"))
+    return stored(rows.mapInArrow(_sketches(size), "doc_id long, h long, n long, node long, sketch array<long>"), "near-sketches")
 
 
 def _candidates(nodes: DataFrame, percent: int) -> DataFrame:
@@ -234,10 +235,10 @@ def _blocks(grouped: DataFrame, percent: int) -> DataFrame:
     return task.select("node", "least", "t.za", "t.ia", "t.zb", "t.ib", "t.side")
 
 
-def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, percent: int = 85) -> DataFrame:
-    """(key, n_shingles, component_id, kept) for each row of ``docs``."""
+def _judged(docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
+    """(doc_id, h, n, m, component_id, kept) of the m rows with the same id and text; kept goes for one of them, if n > 0."""
     sketched = _sketched(docs, key, text, size)
-    nodes = sketched.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    nodes = sketched.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("id"), F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "h")).alias("row"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     nodes = stored(nodes, "near-nodes")
     candidates = _candidates(nodes, percent)
     grouped = stored(components(candidates, "near-groups").join(nodes.select("node", "id", "n"), "node"), "near-grouped")
@@ -251,22 +252,33 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
         .applyInPandas(_links(percent), "x long, y long")
     )
     linked = components(stored(links, "near-links"), "near-components")
-    ids = nodes.select("node", "id").join(linked, "node", "left").select("node", "id", F.coalesce("least", "node").alias("part"))
-    part_ids = ids.groupBy("part").agg(F.min("id").alias("component_id"))
-    named = ids.join(part_ids, "part").select("node", "component_id")
+    ids = nodes.select("node", "id", "row").join(linked, "node", "left").select("node", "id", "row", F.coalesce("least", "node").alias("part"))
+    part_ids = ids.groupBy("part").agg(F.min("id").alias("component_id"), F.min("row").alias("row"))
+    named = ids.select("node", "part").join(part_ids, "part").select("node", "component_id", "row")
     return (
-        sketched.select("doc_id", "n", "node")
+        sketched.groupBy("doc_id", "h", "n", "node")
+        .agg(F.count(F.lit(1)).alias("m"))
         .join(named, "node", "left")
         .select(
-            F.col("doc_id").alias(key),
-            F.col("n").alias("n_shingles"),
+            "doc_id", "h", "n", "m",
             F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+            ((F.col("n") == 0) | (F.col("doc_id").eqNullSafe(F.col("row.doc_id")) & (F.col("h") == F.col("row.h")))).alias("kept"),
         )
-        .withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.col("component_id").isNull()))
-    )
+    )
+
+
+def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, percent: int = 85) -> DataFrame:
+    """(key, n_shingles, component_id, kept) for each row of ``docs``."""
+    judged = _judged(docs, key, text, size, percent)
+    each = judged.withColumn("i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("m"))))
+    return each.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), "component_id", (F.col("kept") & ((F.col("i") == 1) | (F.col("n") == 0))).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with the smallest document of each group; by default five-word shingles and 0.8."""
-    kept = groups(docs, key, text, size, percent).filter("kept").select(F.col(key).alias("_kept")).distinct()
-    return docs.join(kept, docs[key].eqNullSafe(kept["_kept"]), "left_semi")
+    """``docs`` with one row of each group, of its smallest document; by default five-word shingles and 0.8."""
+    kept = _judged(docs, key, text, size, percent).filter("kept AND n > 0")
+    names = ["_id", "_null", "_hash"]
+    row = {"_id": F.coalesce(F.col(key).cast("bigint"), F.lit(0)), "_null": F.col(key).cast("bigint").isNull(), "_hash": text_hash(text)}
+    kept = kept.select(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_null"), F.col("h").alias("_hash"))
+    one = docs.withColumns(row).join(kept, names, "left_semi").dropDuplicates(names).select(docs.columns)
+    return one.unionByName(docs.filter(~F.coalesce(F.col(text).rlike("[^\\x09-\\x0D\\x20]"), F.lit(False))))  # texts without words stand alone

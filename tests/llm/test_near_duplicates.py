@@ -79,3 +79,25 @@ def test_copy_with_few_keys_of_a_large_family_is_met(spark, monkeypatch):
     nodes = spark.createDataFrame(rows, "node long, n long, sketch array<long>")
     edges = near_duplicates._candidates(nodes, 80).collect()
     assert 9 in {x.y for x in edges} | {x.x for x in edges}
+
+
+def test_one_row_of_each_component(spark):
+    r = random.Random(9)
+    a, b, c = (" ".join(r.choice("abcdefghijklmnopqrstuvwxyz") * 3 + str(r.randrange(900)) for _ in range(60)) for _ in range(3))
+    rows = [
+        (1, a), (1, a), (1, a.upper()), (2, a + " more"),  # equal rows, an equal set and a near copy: one stays
+        (3, b), (4, c), (4, b + " tail"),  # an id with two texts: the copy of 3 goes
+        (None, "one alone " + " ".join(map(str, range(40)))), (None, a + " end"), (None, b + " end"),
+        (None, "x y z " + " ".join(map(str, range(100, 140)))), (None, "x y z " + " ".join(map(str, range(100, 140)))),
+        (None, None), (7, ""), (7, ""), (None, " \t\n"),
+    ]
+    docs = spark.createDataFrame([(k, t, "x") for k, t in rows], "doc_id long, text string, lang string").repartition(3)
+    out = near_duplicates.one_of_each(docs)
+    got = [(x.doc_id, x.text) for x in out.collect()]
+    assert out.columns == docs.columns
+    one = [t for k, t in got if k == 1]
+    assert len(one) == 1 and one[0] in (a, a.upper())
+    want = [(3, b), (4, c), rows[7], rows[10], rows[12], rows[13], rows[14], rows[15]]
+    assert sorted((x for x in got if x[0] != 1), key=str) == sorted(want, key=str)
+    flags = near_duplicates.groups(docs, size=5, percent=80).filter("kept").collect()
+    assert sorted(str(x.doc_id) for x in flags) == sorted(str(k) for k, _ in got)
