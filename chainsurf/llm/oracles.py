@@ -51,24 +51,25 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, c AS component_id, doc_id = c AS ke
 
 def _quality() -> str:
     """The same counts and votes; expectation maximisation as one table of parameters per round."""
-    rules = list(quality_rules.RULES)
+    rules, prior_texts, prior_good = quality_rules.RULES, quality_rules.PRIOR_TEXTS, quality_rules.PRIOR_GOOD
     chars = lambda x: f"length(t) - length(translate(t, '{x}', ''))"
-    votes = ", ".join(f"CASE WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END AS vote_{k}" for k, (bad, good) in quality_rules.RULES.items())
-    cells = [(k, v) for k in rules for v in (-1, 0, 1)]
+    votes = ", ".join(f"CASE WHEN {bad} THEN -1 WHEN {good or 'false'} THEN 1 ELSE 0 END AS vote_{k}" for k, (bad, good, _, _) in rules.items())
+    cells = [(k, v, on_bad, on_good) for k, (_, _, bad, good) in rules.items() for v, on_bad, on_good in zip((-1, 0, 1), bad, good)]
     name = {-1: "m", 0: "z", 1: "p"}
-    columns = ["good", *[f"{k}_{name[v]}_{y}" for k, v in cells for y in ("bad", "good")]]
-    prior, w = quality_rules.PRIOR, quality_rules.PRIOR_WEIGHT
-    first = [str(quality_rules.PRIOR_GOOD), *[str(prior[y][v + 1]) for k, v in cells for y in ("bad", "good")]]
-    odds = "ln(good / (1 - good)) + " + " + ".join("CASE vote_" + k + " " + " ".join(f"WHEN {v} THEN ln({k}_{name[v]}_good / {k}_{name[v]}_bad)" for v in (-1, 0, 1)) + " END" for k in rules)
+    columns = ["good", *[f"{k}_{name[v]}_{y}" for k, v, _, _ in cells for y in ("bad", "good")], "moved"]
+    first = [prior_good, *[x for c in cells for x in c[2:]], 1]
+    odds = "ln(good / (1 - good)) + " + " + ".join("CASE vote_" + k + " " + " ".join(f"WHEN {v} THEN ln({k}_{name[v]}_good / {k}_{name[v]}_bad)" for c, v, _, _ in cells if c == k) + " END" for k in rules)
     q = f"1 / (1 + exp(-({odds})))"
-    step = [f"(sum(n * q) + {w} * sum(n) * {quality_rules.PRIOR_GOOD}) / (sum(n) * (1 + {w}))"]
-    for k, v in cells:
-        step.append(f"(coalesce(sum(n * (1 - q)) FILTER (WHERE vote_{k} = {v}), 0) + {w} * sum(n) * {prior['bad'][v + 1]}) / (sum(n * (1 - q)) + {w} * sum(n))")
-        step.append(f"(coalesce(sum(n * q) FILTER (WHERE vote_{k} = {v}), 0) + {w} * sum(n) * {prior['good'][v + 1]}) / (sum(n * q) + {w} * sum(n))")
+    rate = f"(sum(n * q) + {prior_texts * prior_good}) / (sum(n) + {prior_texts})"
+    step = [rate]
+    for k, v, on_bad, on_good in cells:
+        for r, x in (("(1 - q)", on_bad), ("q", on_good)):
+            step.append(f"(coalesce(sum(n * {r}) FILTER (WHERE vote_{k} = {v}), 0) + {prior_texts * x}) / (sum(n * {r}) + {prior_texts})")
+    step.append(f"abs({rate} - any_value(good))")
     rounds = [f"p0 AS (SELECT {', '.join(f'CAST({x} AS DOUBLE) AS {c}' for x, c in zip(first, columns, strict=True))})"]
     for i in range(quality_rules.ROUNDS):
-        rounds.append(f"q{i} AS MATERIALIZED (SELECT pat.*, {q} AS q FROM pat, p{i})")
-        rounds.append(f"p{i + 1} AS MATERIALIZED (SELECT {', '.join(f'{x} AS {c}' for x, c in zip(step, columns, strict=True))} FROM q{i})")
+        rounds.append(f"q{i} AS MATERIALIZED (SELECT pat.*, p{i}.*, {q} AS q FROM pat, p{i})")
+        rounds.append(f"p{i + 1} AS MATERIALIZED (SELECT " + ", ".join(f"CASE WHEN any_value(moved) < {quality_rules.SETTLED} THEN any_value({c}) ELSE {x} END AS {c}" for x, c in zip(step, columns, strict=True)) + f" FROM q{i})")
     cols = ", ".join(f"vote_{k}" for k in rules)
     return f"""WITH a AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 b AS (SELECT doc_id, t, regexp_extract_all(t, {_WORD}) AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM a),
@@ -76,12 +77,12 @@ tri AS (SELECT doc_id, i, w[i + 1:i + 3] AS g FROM (SELECT doc_id, w, unnest(ran
 again AS (SELECT doc_id, i FROM tri QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
 rep AS (SELECT doc_id, count(*) AS r FROM (SELECT DISTINCT doc_id, unnest([i, i + 1, i + 2]) AS i FROM again) GROUP BY doc_id),
 c AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, length(array_to_string(w, '')) AS word_chars, {chars('#*$%&|<>')} AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(r, 0) AS n_repeat_words,
-  len(l) AS n_lines, {chars('ABCDEFGHIJKLMNOPQRSTUVWXYZ')} AS n_capitals, len(regexp_extract_all(t, '[#*$%&|<>]+')) AS n_symbol_runs, {chars('.')} AS n_stops FROM b LEFT JOIN rep USING (doc_id)),
+  len(l) AS n_lines, {chars('ABCDEFGHIJKLMNOPQRSTUVWXYZ')} AS n_capitals, {chars('!')} AS n_bangs, {chars('.')} AS n_stops, {chars(',')} AS n_commas FROM b LEFT JOIN rep USING (doc_id)),
 v AS MATERIALIZED (SELECT *, {votes} FROM c),
 pat AS MATERIALIZED (SELECT {cols}, count(*) AS n FROM v GROUP BY {cols}),
 {", ".join(rounds)}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
-  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND {q} >= 0.5 AS kept FROM v, p{quality_rules.ROUNDS}"""
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND {q} >= 0.5 AS kept, round({q}, 4) AS p_good FROM v, p{quality_rules.ROUNDS}"""
 
 
 def _urls() -> str:
