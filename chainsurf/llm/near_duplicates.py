@@ -2,21 +2,26 @@
 
 1. Each text's distinct word shingles are hashed once; the ``SKETCH`` smallest values are
    its sketch.  Texts with equal sets are one node.
-2. Inverted lists: neighbouring values of the first ``LISTED`` retained ones form keys.
-   Two sets with similarity 0.85 lack a common key with probability below 1e-13
-   (two neighbours in the union's order are both shared with probability 0.72); sets
-   small enough to be listed whole always have one.
-3. Lists of at most ``RARE`` nodes generate pairs and their overlaps; the union sketch
-   estimates the similarity, and pairs ``DEVIATIONS`` below the threshold go.
-4. Longer lists are never paired.  A node with ``ENOUGH`` keys outside them meets its
-   partners in short lists; only crowded nodes, with fewer, stay in long lists, and are
-   put into one group with them.
-5. Groups are cut into blocks of bounded size by set size and salt; each pair of blocks
-   whose sizes allow a link is one task group, which computes exact Jaccard
-   similarities of full sets and returns links that span its linked nodes.
+2. Inverted lists: neighbouring retained values form keys.  Lists of at most ``RARE``
+   nodes generate pairs and their overlaps.
+3. Longer lists are never paired.  A node with ``ENOUGH`` keys outside them meets its
+   partners in short lists.  The others are crowded; they are listed again, under single
+   retained values, whose short lists generate pairs too.  A crowded node that has more
+   rare values than a linked partner can miss (``may_miss``) meets all its partners there.
+4. What remains is dense: nodes most of whose values are frequent, such as a family of
+   thousands of near copies.  In each long list the node with the most frequent values
+   stands for the family, and the others are paired with it alone.
+5. Union-sketch estimates drop pairs ``DEVIATIONS`` below the threshold.  Then exact
+   Jaccard similarities of full sets decide: first of each node with its stars and its
+   smallest partner, and, once these links are joined to components, of the pairs whose
+   ends still lie in different ones.  Dense nodes outside their family's largest component
+   are compared with all dense nodes of the family, in blocks of bounded size.
 6. Connected components over the links name each text's smallest document; of its rows
    the one with the smallest text hash is kept, and of equal rows only one.
 
+A family whose members are linked to the node that stands for it thus costs work in
+proportion to its size, whatever that is.
+
 Defined cases: texts without words and null texts are empty sets, linked with nothing;
 a text of fewer words than a shingle is one shingle; rows that repeat an id are judged
 by their own text; a null id never names a component that has another id; exactly one
@@ -26,6 +31,7 @@ by ``one_of_each``; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,8 +43,8 @@ from pyspark.sql import functions as F
 from .shared import maybe_present, presence, stored, text_hash
 from .tokens import Words, combine, mix, slices
 
-SKETCH, LISTED, RARE, ENOUGH, OVERLAPS, DEVIATIONS = 64, 64, 40, 54, 2, 6
-BLOCK, BLOCK_SHINGLES, COLUMNS = 192, 1_500_000, 8192
+SKETCH, RARE, ENOUGH, OVERLAPS, DEVIATIONS, LOST = 64, 40, 54, 2, 6, 1e-9
+BLOCK, CHUNK, BLOCK_SHINGLES, COLUMNS = 96, 48, 1_000_000, 8192
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = 3) -> tuple[np.ndarray, np.ndarray, Words]:
@@ -124,28 +130,51 @@ def _estimates(percent: int):
     return run
 
 
+def may_miss(percent: int, lost: float = LOST) -> int:
+    """How many of ``SKETCH`` retained values a linked partner may lack: more with a probability under ``lost``.
+
+    Of the smallest values of the union a share of at least ``percent`` lies in both sets.
+    """
+    t, below = percent / 100, 0.0
+    for shared in range(SKETCH + 1):
+        below += math.comb(SKETCH, shared) * t**shared * (1 - t) ** (SKETCH - shared)
+        if below > lost:
+            return SKETCH - shared
+    return 0
+
+
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets."""
+    n = len(sets)
+    owner = np.repeat(np.arange(n), [len(x) for x in sets])
+    _, col, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column, use, width = np.cumsum(seen > 1) - 1, seen[col] > 1, int((seen > 1).sum())
+    owner, col = owner[use], column[col[use]]
+    order = np.argsort(col, kind="stable")
+    owner, col = owner[order], col[order]
+    common = np.zeros((n, n), np.float32)
+    for a in range(0, width, COLUMNS):
+        lo, hi = np.searchsorted(col, [a, a + COLUMNS])
+        dense = np.zeros((n, min(COLUMNS, width - a)), np.float32)
+        dense[owner[lo:hi], col[lo:hi] - a] = 1
+        common += dense @ dense.T
+    return common.astype(np.int64)
+
+
 def _links(percent: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        """Exact similarities between the two blocks of a group (or within one); links that span."""
+        """Exact similarities between the two sides of a task (within the one side, if there is no other); links that span."""
+        rows = rows.sort_values("side", kind="stable")
         sets = [np.frombuffer(x, np.uint64) for x in rows["grams"]]
         node, side = rows["node"].to_numpy(), rows["side"].to_numpy()
-        size = np.array([len(s) for s in sets])
-        n = len(sets)
-        owner = np.repeat(np.arange(n), size)
-        value, col, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        column = np.cumsum(seen > 1) - 1
-        use = seen[col] > 1
-        owner, col, width = owner[use], column[col[use]], int((seen > 1).sum())
-        order = np.argsort(col, kind="stable")
-        owner, col = owner[order], col[order]
-        common = np.zeros((n, n), np.float32)
-        for a in range(0, width, COLUMNS):
-            lo, hi = np.searchsorted(col, [a, a + COLUMNS])
-            dense = np.zeros((n, min(COLUMNS, width - a)), np.float32)
-            dense[owner[lo:hi], col[lo:hi] - a] = 1
-            common += dense @ dense.T
-        union = size[:, None] + size[None, :] - common
-        linked = 100 * common.astype(np.int64) >= percent * union.astype(np.int64)
+        size, n = np.array([len(x) for x in sets]), len(sets)
+        if (side == 0).sum() == 1 and n > 1:  # one set against the others
+            begin = np.cumsum(size[1:]) - size[1:]
+            common = np.add.reduceat(np.isin(np.concatenate(sets[1:]), sets[0]).astype(np.int64), begin)
+            linked = 100 * common >= percent * (size[0] + size[1:] - common)
+            return pd.DataFrame({"x": np.full(int(linked.sum()), node[0]), "y": node[1:][linked]})
+        common = _common(sets)
+        linked = 100 * common >= percent * (size[:, None] + size[None, :] - common)
         if side.min() != side.max():
             linked &= side[:, None] != side[None, :]
         i, j = np.nonzero(np.triu(linked, 1))
@@ -158,10 +187,7 @@ def _links(percent: int):
             return x
 
         for x, y in zip(i.tolist(), j.tolist(), strict=True):
-            a, b = root(x), root(y)
-            if a != b:
-                a, b = (a, b) if node[a] < node[b] else (b, a)
-                top[b] = a
+            top[max(root(x), root(y))] = min(root(x), root(y))
         ends = np.array([root(x) for x in range(n)])
         out = np.flatnonzero(ends != np.arange(n))
         return pd.DataFrame({"x": node[ends[out]], "y": node[out]})
@@ -192,47 +218,106 @@ def _sketched(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
     return stored(rows.mapInArrow(_sketches(size), "doc_id long, h long, n long, node long, sketch array<long>"), "near-sketches")
 
 
-def _candidates(nodes: DataFrame, percent: int) -> DataFrame:
-    """Edges (x, y) whose components hold every linked pair of nodes (node, n, sketch)."""
-    least = -(-percent // (100 - percent))  # smaller sets link with equal sets only
-    listed = nodes.filter(f"n >= {least}").select("node", F.expr(f"transform(sequence(0, least(size(sketch), {LISTED}) - 2), i -> xxhash64(sketch[i], sketch[i + 1]))").alias("keys"))
-    rows = listed.select("node", F.explode("keys").alias("key"))
+def _lists(rows: DataFrame, what: str) -> DataFrame:
+    """(node, key, c) of the lists that two nodes or more share, with their lengths."""
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    shared = stored(shared, "near-keys")  # a table of its own: a hot key's side of the join can be split
-    members = stored(rows.join(shared, "key"), "near-lists")
+    shared = stored(shared, what + "-keys")  # a table of its own: a hot key's side of the join can be split
+    return stored(rows.join(shared, "key"), what)
 
+
+def _overlapping(members: DataFrame) -> DataFrame:
+    """Pairs (x, y) of the short lists that meet ``OVERLAPS`` times or more."""
     short = members.filter(f"c <= {RARE}").select("key", "node")
     pairs = short.withColumnRenamed("node", "x").join(short.withColumnRenamed("node", "y"), "key").filter("x < y")
-    pairs = pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("overlaps")).filter(f"overlaps >= {OVERLAPS}").select("x", "y")
-    sketch = nodes.select("node", "sketch")
-    rated = pairs.join(sketch.toDF("x", "sx"), "x").join(sketch.toDF("y", "sy"), "y").select("x", "y", "sx", "sy")
-    near = rated.mapInArrow(_estimates(percent), "x long, y long")
-
-    long_ = members.filter(f"c > {RARE}").select("key", "node")
-    crowded = long_.groupBy("node").agg(F.count(F.lit(1)).alias("in_long")).join(nodes.select("node", "n"), "node")
-    crowded = crowded.filter(f"least(n, {LISTED}) - 1 - in_long < {ENOUGH}").select("node")
-    inside = stored(long_.join(crowded, "node"), "near-crowded")
-    heads = stored(inside.groupBy("key").agg(F.min("node").alias("x")), "near-heads")
-    far = inside.join(heads, "key").filter("x < node").select("x", F.col("node").alias("y")).distinct()
-    return stored(near.unionByName(far), "near-candidates")
-
-
-def _blocks(grouped: DataFrame, percent: int) -> DataFrame:
-    """(task, side, node): the block pairs of all groups (node, least, n)."""
+    return pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("overlaps")).filter(f"overlaps >= {OVERLAPS}").select("x", "y")
+
+
+def _rated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sizes and union sketches allow a link."""
+    side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias("n" + c), F.col("sketch").alias("s" + c))
+    both = pairs.join(side("x"), "x").join(side("y"), "y").filter(f"100 * least(nx, ny) >= {percent} * greatest(nx, ny)")
+    return both.select("x", "y", "sx", "sy").mapInArrow(_estimates(percent), "x long, y long")
+
+
+def _candidates(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pairs, stars, all stars) of nodes (node, n, sketch): the pairs of short lists and those with the head of a long list.
+
+    Pairs and stars (x, y) may be linked by their sketches; ``all stars`` holds those that may not, too.
+    """
+    least = -(-percent // (100 - percent))  # smaller sets link with equal sets only
+    listed = nodes.filter(f"n >= {least}")
+    keys = F.expr("transform(sequence(0, size(sketch) - 2), i -> xxhash64(sketch[i], sketch[i + 1]))")
+    members = _lists(listed.select("node", F.explode(keys).alias("key")), "near-lists")
+    in_long = members.filter(f"c > {RARE}").groupBy("node").agg(F.count(F.lit(1)).alias("in_long")).join(listed, "node")
+    crowded = stored(in_long.filter(f"size(sketch) - 1 - in_long < {ENOUGH}").select("node", "n", "sketch"), "near-crowded")
+    single = _lists(crowded.select("node", F.explode("sketch").alias("key")), "near-values")
+    missed = F.least(F.lit(may_miss(percent)), F.ceil(F.col("n") * (100 - percent) / 100) + F.greatest(F.lit(0), F.ceil(F.col("n") * 100 / percent) - SKETCH))
+    frequent = single.filter(f"c > {RARE}")
+    dense = frequent.groupBy("node").agg(F.count(F.lit(1)).alias("frequent")).join(crowded.select("node", "n", F.size("sketch").alias("s")), "node")
+    dense = dense.filter(F.col("s") - F.col("frequent") < missed + OVERLAPS).select("node", "frequent")
+    inside = stored(frequent.select("node", "key").join(dense, "node"), "near-dense")
+    heads = stored(inside.groupBy("key").agg(F.max_by("node", F.struct("frequent", "node")).alias("x")), "near-heads")
+    stars = stored(inside.join(heads, "key").filter("x <> node").select("x", F.col("node").alias("y")).distinct(), "near-stars")
+    pairs = stored(_rated(_overlapping(members).union(_overlapping(single)).distinct(), nodes, percent), "near-pairs")
+    return pairs, stored(_rated(stars, nodes, percent), "near-rated-stars"), stars
+
+
+def _chunks(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(p, q, i, side, node): tasks of one node x each with a bounded number of its partners y."""
+    sized = pairs.join(nodes.select(F.col("node").alias("y"), "n"), "y")
+    many = sized.groupBy("x").agg(F.ceil(F.greatest(F.count(F.lit(1)) / CHUNK, F.sum("n") / BLOCK_SHINGLES)).cast("long").alias("parts"))
+    cut = pairs.join(many, "x").withColumn("i", F.pmod(F.xxhash64("y"), F.col("parts")))
+    ones = many.select("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("i"), F.lit(0).alias("side"), F.col("x").alias("node"))
+    rows = cut.select("x", "i", F.lit(1).alias("side"), F.col("y").alias("node")).union(ones)
+    return rows.select(F.col("x").alias("p"), F.lit(-1).cast("long").alias("q"), "i", "side", "node")
+
+
+def _blocks(family: DataFrame, percent: int) -> DataFrame:
+    """(p, q, i, side, node): pairs of blocks of families (node, least, n, part), part naming the component so far.
+
+    A family's largest part is its core; the blocks of the others meet each other and the
+    core's, as far as their sizes allow a link.  The core's blocks don't meet.
+    """
     ratio = 100 / percent
-    sized = grouped.withColumn("z", F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(ratio)))).cast("int"))
+    core = family.groupBy("least", "part").agg(F.count(F.lit(1)).alias("m")).groupBy("least").agg(F.max_by("part", "m").alias("core"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    placed = family.join(core, "least").withColumn("z", F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(ratio)))).cast("long")).withColumn("r", (F.col("part") != F.col("core")).cast("int"))
     room = F.greatest(F.lit(2.0), F.least(F.lit(float(BLOCK)), F.lit(float(BLOCK_SHINGLES)) / F.pow(F.lit(ratio), F.col("z") + 1)))
-    parts = sized.groupBy("least", "z").agg(F.count(F.lit(1)).alias("m")).withColumn("s", F.ceil(F.col("m") / room).cast("int")).select("least", "z", "s")
-    up = parts.select("least", (F.col("z") - 1).alias("z"), F.col("s").alias("s_up"))
-    down = parts.select("least", (F.col("z") + 1).alias("z"), F.col("s").alias("s_down"))
-    parts = parts.join(up, ["least", "z"], "left").join(down, ["least", "z"], "left").na.fill(0)
-    placed = sized.join(parts, ["least", "z"]).withColumn("i", F.pmod(F.xxhash64("node"), F.col("s")).cast("int"))
-    # a block meets itself, the other blocks of its size, and all blocks of the next size up and down
-    own = F.expr("transform(sequence(0, s - 1), j -> struct(z AS za, least(i, j) AS ia, z AS zb, greatest(i, j) AS ib, IF(i <= j, 0, 1) AS side))")
-    above = F.expr("IF(s_up = 0, array(), transform(sequence(0, s_up - 1), j -> struct(z AS za, i AS ia, z + 1 AS zb, j AS ib, 0 AS side)))")
-    below = F.expr("IF(s_down = 0, array(), transform(sequence(0, s_down - 1), j -> struct(z - 1 AS za, j AS ia, z AS zb, i AS ib, 1 AS side)))")
-    task = placed.select("node", "least", F.explode(F.concat(own, above, below)).alias("t"))
-    return task.select("node", "least", "t.za", "t.ia", "t.zb", "t.ib", "t.side")
+    kinds = placed.groupBy("least", "z", "r").agg(F.count(F.lit(1)).alias("m")).withColumn("s", F.ceil(F.col("m") / room).cast("long"))
+    kinds = kinds.groupBy("least").agg(F.collect_list(F.struct("z", "r", "s")).alias("kinds"))  # two for each size class at most
+    code = lambda z, r, i: (z * 2 + r) * (1 << 32) + i
+    near = F.filter("kinds", lambda k: (F.abs(k["z"] - F.col("z")) <= 1) & ((k["r"] == 1) | (F.col("r") == 1)))
+    own = F.get(F.filter("kinds", lambda k: (k["z"] == F.col("z")) & (k["r"] == F.col("r"))), F.lit(0))["s"]
+    mine = code(F.col("z"), F.col("r"), F.pmod(F.xxhash64("node"), own))
+    others = F.flatten(F.transform(near, lambda k: F.transform(F.sequence(F.lit(0).cast("long"), k["s"] - 1), lambda i: code(k["z"], k["r"], i))))
+    met = placed.join(kinds, "least").select("node", "least", mine.alias("b"), F.explode(others).alias("o"))
+    # the same two blocks are named alike from both; a block that meets itself has one side
+    return met.select(F.col("least").alias("p"), F.least("b", "o").alias("q"), F.greatest("b", "o").alias("i"), (F.col("b") > F.col("o")).cast("int").alias("side"), "node")
+
+
+def _verified(tasks: DataFrame, sets: DataFrame, percent: int, what: str) -> DataFrame:
+    """The links (x, y) that the tasks find by exact similarity."""
+    return stored(tasks.join(sets, "node").groupBy("p", "q", "i").applyInPandas(_links(percent), "x long, y long"), what)
+
+
+def _linked(docs: DataFrame, nodes: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
+    """(node, least): the component of each node that has a link."""
+    pairs, stars, all_stars = _candidates(nodes, percent)
+    spread = all_stars.union(pairs)
+    needed = stored(spread.select("x").union(spread.select("y")).distinct().withColumnRenamed("x", "node").join(nodes.select("node", "id"), "node"), "near-needed")
+    texts = docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(-1)).alias("_h"), F.col(text).alias("_text"))
+    texts = maybe_present(texts, "_h", presence(needed.select(F.coalesce("id", F.lit(-1)).alias("id")))).select("_text")
+    sets = stored(texts.mapInArrow(_sets(size), "node long, grams binary").join(needed.select("node"), "node").dropDuplicates(["node"]), "near-sets")
+    first = stored(pairs.groupBy("y").agg(F.min("x").alias("x")).select("x", "y").union(stars).distinct(), "near-first")
+    links = _verified(_chunks(first, nodes), sets, percent, "near-first-links")
+    joined = components(links, "near-parts")
+
+    label = lambda c: joined.select(F.col("node").alias(c), F.col("least").alias("l" + c))
+    apart = pairs.join(label("x"), "x", "left").join(label("y"), "y", "left").filter("coalesce(lx, x) <> coalesce(ly, y)").select("x", "y").join(first, ["x", "y"], "left_anti")
+    tasks = _chunks(stored(apart, "near-apart"), nodes)
+    family = components(all_stars, "near-families").join(nodes.select("node", "n"), "node").join(joined.withColumnRenamed("least", "part"), "node", "left")
+    family = stored(family.select("node", "least", "n", F.coalesce("part", "node").alias("part")), "near-family")
+    more = _verified(tasks.union(_blocks(family, percent)), sets, percent, "near-more-links")
+    return components(joined.select(F.col("least").alias("x"), F.col("node").alias("y")).filter("x <> y").union(more), "near-components")
 
 
 def _judged(docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
@@ -240,18 +325,7 @@ def _judged(docs: DataFrame, key: str, text: str, size: int, percent: int) -> Da
     sketched = _sketched(docs, key, text, size)
     nodes = sketched.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("id"), F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "h")).alias("row"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     nodes = stored(nodes, "near-nodes")
-    candidates = _candidates(nodes, percent)
-    grouped = stored(components(candidates, "near-groups").join(nodes.select("node", "id", "n"), "node"), "near-grouped")
-    tasks = _blocks(grouped.select("node", "least", "n"), percent)
-    texts = docs.select(F.col(key).cast("bigint").alias("_id"), F.col(text).alias("_text"))
-    texts = maybe_present(texts.withColumn("_h", F.coalesce("_id", F.lit(-1))), "_h", presence(grouped.select(F.coalesce("id", F.lit(-1)).alias("id")))).select("_text")
-    sets = texts.mapInArrow(_sets(size), "node long, grams binary").join(grouped.select("node"), "node").dropDuplicates(["node"])
-    links = (
-        tasks.join(sets, "node")
-        .groupBy("least", "za", "ia", "zb", "ib")
-        .applyInPandas(_links(percent), "x long, y long")
-    )
-    linked = components(stored(links, "near-links"), "near-components")
+    linked = _linked(docs, nodes, key, text, size, percent)
     ids = nodes.select("node", "id", "row").join(linked, "node", "left").select("node", "id", "row", F.coalesce("least", "node").alias("part"))
     part_ids = ids.groupBy("part").agg(F.min("id").alias("component_id"), F.min("row").alias("row"))
     named = ids.select("node", "part").join(part_ids, "part").select("node", "component_id", "row")

@@ -55,10 +55,45 @@ def test_against_all_pairs(spark):
 def test_long_lists_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(near_duplicates, "RARE", 3)
     monkeypatch.setattr(near_duplicates, "BLOCK", 8)
-    rows = texts(4, 130)
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(near_duplicates, "CHUNK", 5)
+    for seed in (4, 5):
+        rows = texts(seed, 130)
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        got = near_duplicates.groups(docs).collect()
+        assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got) == brute(rows, 3, 85)
+
+
+def family(n, edits, seed=3, words=400):
+    r = random.Random(seed)
+    root = [f"v{r.randrange(10**6)}" for _ in range(words)]
+    out = []
+    for i in range(n):
+        w = list(root)
+        for at in r.sample(range(words), edits(i)):
+            w[at] = f"e{r.randrange(10**6)}"
+        out.append((i, " ".join(w)))
+    return out
+
+
+def test_a_large_family_costs_in_proportion(spark, monkeypatch):
+    """Copies that are linked to their root need no blocks, and each is compared a few times only."""
+    rows = family(300, lambda i: 4 if i else 0)
+    seen = []
+    verified = near_duplicates._verified
+    monkeypatch.setattr(near_duplicates, "_verified", lambda tasks, *more: seen.append(tasks.count()) or verified(tasks, *more))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = near_duplicates.groups(docs).collect()
+    assert {x.component_id for x in got} == {0} and len(got) == 300
+    assert seen[0] <= 300 * 2.5 and seen[1] == 0
+
+
+def test_a_family_whose_copies_are_not_linked_to_its_root(spark):
+    """Chains and islands within one family: links outside the core are found by the blocks."""
+    rows = family(120, lambda i: 3 + i % 14)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = near_duplicates.groups(docs).collect()
-    assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got) == brute(rows, 3, 85)
+    want = brute(rows, 3, 85)
+    assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got) == want and len({c for _, _, c in want}) > 1
 
 
 def test_edges(spark):
@@ -77,7 +112,8 @@ def test_copy_with_few_keys_of_a_large_family_is_met(spark, monkeypatch):
     copy = list(range(1, 9)) + list(range(10, 61, 2)) + list(range(61, 91))
     rows = [(i, 320, root) for i in range(1, 7)] + [(9, 256, copy)]
     nodes = spark.createDataFrame(rows, "node long, n long, sketch array<long>")
-    edges = near_duplicates._candidates(nodes, 80).collect()
+    pairs, stars, every = near_duplicates._candidates(nodes, 80)
+    edges = pairs.union(every).collect()
     assert 9 in {x.y for x in edges} | {x.x for x in edges}
 
 
