@@ -2,23 +2,28 @@
 
 A window of a document has as many words as an item (or is the whole document, if that
 is shorter).  Windows whose weighted shingle multiset is at least ``SIMILARITY`` similar
-to an item's are found in three steps:
-
-1. Windows with too few shingles of any item to reach the similarity go (an exact bound).
-2. The others get a 64-bit SimHash of their weighted shingles.  Items of that size are
-   looked up in a multi-index: the fingerprint is cut into ``RADIUS`` + 1 blocks, so any
-   item within ``RADIUS`` bits shares a whole block.  Similarity 0.8 differs in 9.7 of
-   64 bits on average with deviation 2.9; the radius stands six deviations above.
-3. The exact weighted Jaccard similarity decides.
-
-Items are a stated query set: they go to the tasks in blocks of at most ``ITEMS``, so
-what is broadcast is bounded whatever the benchmark's size.
+to an item's are found so; a shingle weighs as often as it occurs:
+
+1. Of each item only its rarest shingles, more than the fifth that a similar window may
+   lack, are looked for.  A presence filter of fixed size lets the documents' tasks pick
+   possible hits; one join of hits and rare shingles names the items that each document
+   may hold.  No task sees all items, and each item costs the same whatever their number.
+2. Windows of these documents with too few shingles of their items go (an exact bound);
+   the others get a SimHash of ``BITS`` bits.
+3. Items of the window's size are looked up in a multi-index: prints within ``RADIUS`` bits
+   differ in at most ``RADIUS`` // 8 bits of some 64-bit block, so only items with such a
+   block are measured whole.
+4. The exact weighted Jaccard similarity decides.
+
+At similarity 0.8 a bit differs with probability 1/4 at most (two shingles of equal weight
+that cancel, and a third), 128 of 512 bits with deviation 9.8; the radius stands six
+deviations above.  Unrelated prints differ in 256 with deviation 11.3 and lie outside.
 
 Defined cases: null and empty texts and items match nothing; items of fewer words than a
 shingle are one shingle; among windows of equal similarity the first is reported;
-repeated documents are all reported, repeated items under each id; null ids are carried;
-empty tables give an empty result; extra columns are ignored by ``find`` and kept by
-``clean``.
+repeated documents are all reported, equal items once, an item's text under each id; null ids
+are carried; empty tables give an empty result; extra columns are ignored by ``find`` and
+kept by ``clean``, which goes by id and text.
 """
 
 from __future__ import annotations
@@ -28,14 +33,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import text_hash
+from .shared import maybe_present, presence, stored, text_hash
 from .tokens import NOT_PLAIN, Words, combine, mix, slices
 
-SIZE, SIMILARITY, RADIUS, ITEMS = 5, (4, 5), 27, 20_000
+SIZE, SIMILARITY, BITS, RADIUS = 5, (4, 5), 512, 187
+FILTER_BITS, LISTED, STARTS, CACHED = 1 << 24, 256, 2048, 2000
 _BITS = np.uint64(1) << np.arange(64, dtype=np.uint64)
+_BLOCKS = mix(np.arange(1, BITS // 64 + 1, dtype=np.uint64))
 
 
 def shingles(names: np.ndarray, size: int) -> np.ndarray:
@@ -48,168 +55,196 @@ def shingles(names: np.ndarray, size: int) -> np.ndarray:
 
 
 def signs(grams: np.ndarray) -> np.ndarray:
-    """+1 or -1 for each of the 64 bits of each shingle's hash."""
-    return np.where(mix(grams)[:, None] & _BITS, np.int32(1), np.int32(-1))
+    """+1 or -1 for each of the ``BITS`` bits of each shingle's hash, block by block."""
+    return np.where(mix(grams[:, None] ^ _BLOCKS)[:, :, None] & _BITS, np.int32(1), np.int32(-1)).reshape(len(grams), BITS)
 
 
 def pack(sums: np.ndarray) -> np.ndarray:
-    return np.bitwise_or.reduce(np.where(sums > 0, _BITS, np.uint64(0)), axis=-1)
-
-
-def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b)
+    """The fingerprints of rows of ``BITS`` sums: a row of 64-bit blocks each."""
+    return np.bitwise_or.reduce(np.where(sums.reshape(len(sums), BITS // 64, 64) > 0, _BITS, np.uint64(0)), axis=-1)
 
 
 class MultiIndex:
-    """Fingerprints by the values of ``radius`` + 1 blocks of bits."""
+    """Fingerprints by their blocks."""
 
     def __init__(self, prints: np.ndarray, radius: int = RADIUS):
         self.prints, self.radius = prints, radius
-        cuts = np.linspace(0, 64, radius + 2).astype(int)
-        self.blocks = [(np.uint64(a), np.uint64((1 << int(b - a)) - 1)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        self.tables = []
-        for shift, mask in self.blocks:
-            lists: dict[int, list[int]] = {}
-            for i, v in enumerate(((prints >> shift) & mask).tolist()):
-                lists.setdefault(v, []).append(i)
-            self.tables.append({k: np.array(v) for k, v in lists.items()})
-
-    def near(self, fingerprint: np.uint64) -> np.ndarray:
-        """All items within the radius: those that share a block, then the distance itself."""
-        found = [t[v] for t, (shift, mask) in zip(self.tables, self.blocks, strict=True) if (v := int((fingerprint >> shift) & mask)) in t]
-        if not found:
-            return np.zeros(0, np.int64)
-        some = np.unique(np.concatenate(found))
-        return some[distance(self.prints[some], fingerprint) <= self.radius]
-
-
-class Items:
-    """A block of items as plain tables."""
-
-    def __init__(self, rows: list[tuple], size: int = SIZE, similarity: tuple[int, int] = SIMILARITY, radius: int = RADIUS):
-        self.size, self.similarity = size, similarity
-        self.ids, self.words, self.bags, prints, grams = [], [], [], [], []
-        for key, text in rows:
-            data = np.frombuffer((text or "").encode(), np.uint8)
-            names = Words(data, np.array([0, len(data)]), lower=True, apart=NOT_PLAIN).hashes()
-            if not len(names):
-                continue
-            g = shingles(names, size)
-            self.ids.append(key)
-            self.words.append(len(names))
-            self.bags.append(Counter(g.tolist()))
-            prints.append(pack(signs(g).sum(axis=0)))
-            grams.append(g)
-        owner = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-        flat = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
-        order = np.argsort(flat, kind="stable")
-        self.grams, begin = np.unique(flat[order], return_index=True)
-        sizes = np.array(self.words, np.int64)[owner[order]]
-        self.sizes_of = [np.unique(x).tolist() for x in np.split(sizes, begin[1:])] if len(begin) else []
-        self.by_size: dict[int, list[int]] = {}
-        for i, n in enumerate(self.words):
-            self.by_size.setdefault(n, []).append(i)
-        self.index = {n: MultiIndex(np.array([prints[i] for i in v], np.uint64), radius) for n, v in self.by_size.items()}
-
-    def search(self, names: np.ndarray, more_sizes: set[int] = frozenset()) -> dict[int, tuple[int, int, int, int]]:
-        """item -> (shared, all, start, words) of the best window of one document.
-
-        ``more_sizes``: item sizes below a shingle that may occur.
-        """
-        num, den = self.similarity
-        best: dict[int, tuple[int, int, int, int]] = {}
-        sizes = set(more_sizes)
-        if len(names) >= self.size:
-            spots = np.flatnonzero(np.isin(self.grams, shingles(names, self.size)))
-            sizes |= {n for s in spots.tolist() for n in self.sizes_of[s]}
-        for n in sorted(sizes):
-            width = min(n, len(names))
-            k = min(self.size, n)
-            if width < k:
-                continue
-            g = shingles(names, k)
-            hit = np.isin(g, self.grams)
-            m, target = width - k + 1, n - k + 1
-            least = -(-num * (m + target) // (num + den))  # shared shingles that the similarity needs
-            total = np.concatenate([[0], np.cumsum(hit)])
-            starts = np.flatnonzero(total[m:] - total[:-m] >= least)
-            if not len(starts):
-                continue
-            base, stop = starts[0], starts[-1] + m
-            sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(signs(g[base:stop]), axis=0, dtype=np.int32)])
-            prints = pack(sums[starts - base + m] - sums[starts - base])
-            for s, p in zip(starts.tolist(), prints, strict=True):
+        self.blocks = [np.ascontiguousarray(x) for x in prints.T]
+
+    def near(self, fingerprint: np.ndarray) -> np.ndarray:
+        """All prints within the radius: those that are near in some block, then by the whole distance."""
+        some = np.zeros(len(self.prints), bool)
+        for block, mine in zip(self.blocks, fingerprint, strict=True):
+            some |= np.bitwise_count(block ^ mine) <= self.radius // len(self.blocks)
+        some = np.flatnonzero(some)
+        return some[np.bitwise_count(self.prints[some] ^ fingerprint).sum(axis=1) <= self.radius]
+
+
+class Item:
+    """An item's number of words, shingles with their counts, and fingerprint."""
+
+    def __init__(self, text: str | None, size: int = SIZE):
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        names = Words(data, np.array([0, len(data)]), lower=True, apart=NOT_PLAIN).hashes()
+        grams = shingles(names, size)
+        self.words, self.grams, self.bag = len(names), np.unique(grams), Counter(grams.tolist())
+        self.print = pack(signs(grams).sum(axis=0)[None])[0]
+
+
+def search(names: np.ndarray, items: list[Item], size: int = SIZE, similarity: tuple[int, int] = SIMILARITY, radius: int = RADIUS) -> dict[int, tuple[int, int, int, int]]:
+    """Place of an item -> (shared, all, start, words) of its best window in one document.
+
+    Windows are fingerprinted ``STARTS`` at a time, so that long texts need bounded memory.
+    """
+    num, den = similarity
+    best: dict[int, tuple[int, int, int, int]] = {}
+    by_size: dict[int, list[int]] = {}
+    for i, item in enumerate(items):
+        by_size.setdefault(item.words, []).append(i)
+    for n, mine in sorted(by_size.items()):
+        width, k = min(n, len(names)), min(size, n)
+        if not n or width < k:
+            continue
+        g = shingles(names, k)
+        m, target = width - k + 1, n - k + 1
+        least = -(-num * (m + target) // (num + den))  # shared shingles that the similarity needs
+        total = np.concatenate([[0], np.cumsum(np.isin(g, np.concatenate([items[i].grams for i in mine])))])
+        starts = np.flatnonzero(total[m:] - total[:-m] >= least)
+        index = MultiIndex(np.stack([items[i].print for i in mine]), radius)
+        while len(starts):
+            few = starts[: np.searchsorted(starts, starts[0] + STARTS)]
+            starts = starts[len(few):]
+            base, stop = few[0], few[-1] + m
+            sums = np.concatenate([np.zeros((1, BITS), np.int32), np.cumsum(signs(g[base:stop]), axis=0, dtype=np.int32)])
+            for s, p in zip(few.tolist(), pack(sums[few - base + m] - sums[few - base]), strict=True):
                 bag = None
-                for i in self.index[n].near(p).tolist():
-                    item = self.by_size[n][i]
+                for at in index.near(p).tolist():
+                    item = mine[at]
                     bag = bag if bag is not None else Counter(g[s:s + m].tolist())
-                    shared = sum((bag & self.bags[item]).values())
+                    shared = sum((bag & items[item].bag).values())
                     every = m + target - shared
                     if den * shared >= num * every and (item not in best or shared * best[item][1] > best[item][0] * every):
                         best[item] = (shared, every, s, width)
-        return best
+    return best
+
 
+def _item_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(item, words, gram, n) of the shingles of (item, text) rows."""
+    for batch in batches:
+        for at, text in enumerate(batch.column(1).to_pylist()):
+            item = Item(text)
+            if item.words:
+                n = len(item.bag)
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[at].as_py()] * n, pa.int64()), pa.array([item.words] * n, pa.int64()), pa.array(np.array(list(item.bag), np.uint64).view(np.int64)), pa.array(list(item.bag.values()), pa.int64())], ["item", "words", "gram", "n"])
+
+
+def _spots(bits: int):
+    """(slot, bits): where a filter of so many bits has the shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spot = batch.column(0).to_numpy().view(np.uint64) % np.uint64(bits)
+            yield pa.RecordBatch.from_arrays([pa.array((spot >> np.uint64(6)).astype(np.int32)), pa.array((np.uint64(1) << (spot & np.uint64(63))).view(np.int64))], ["slot", "bits"])
+
+    return run
+
+
+def _filter(grams: DataFrame) -> np.ndarray:
+    """A presence filter of ``FILTER_BITS`` bits over the shingles; it has that size whatever their number is."""
+    rows = grams.mapInArrow(_spots(FILTER_BITS), "slot int, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()  # FILTER_BITS / 64 rows at most
+    out = np.zeros(FILTER_BITS // 64, np.uint64)
+    out[rows.column("slot").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def _hits(shared, sizes: list[int]):
+    """(k, h, gram): the shingles of each document that may be an item's rare ones."""
 
-def _find(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items: Items = shared.value
+        bits = shared.value
         for batch in batches:
-            keys, hashes, out = batch.column(0), batch.column(2), []
             for at, _, data, offsets in slices(batch.column(1)):
                 words = Words(data, offsets, lower=True, apart=NOT_PLAIN)
                 names = words.hashes()
-                sizes: dict[int, set[int]] = {}  # document -> item sizes below a shingle that it may hold
-                for n in range(1, min(items.size, len(names) + 1)):
-                    if n in items.by_size:
-                        h = shingles(names, n)
-                        for d in np.unique(words.doc[: len(h)][np.isin(h, items.grams) & (words.doc[: len(h)] == words.doc[n - 1:])]).tolist():
-                            sizes.setdefault(d, set()).add(n)
-                if len(names) >= items.size:
-                    g = shingles(names, items.size)
-                    spot = np.minimum(np.searchsorted(items.grams, g), len(items.grams) - 1)
-                    found = (items.grams[spot] == g) & (words.doc[: len(g)] == words.doc[items.size - 1:])
-                    for d in np.unique(words.doc[: len(g)][found]).tolist():
-                        sizes.setdefault(d, set())
-                for d in sorted(sizes):
-                    found_in = items.search(names[words.first[d]:words.first[d + 1]], sizes[d])
-                    out += [(keys[at + d].as_py(), hashes[at + d].as_py(), items.ids[i], a / b, s, w) for i, (a, b, s, w) in sorted(found_in.items())]
-            if out:
-                cols = list(zip(*out, strict=True))
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["k", "h", "item_id", "similarity", "start", "words"])
+                for size in sizes:
+                    if len(names) < size:
+                        continue
+                    g = shingles(names, size)
+                    spot = g % np.uint64(64 * len(bits))
+                    found = np.flatnonzero(bits[spot >> np.uint64(6)] >> (spot & np.uint64(63)) & np.uint64(1))
+                    found = found[words.doc[found] == words.doc[found + size - 1]]
+                    if len(found):
+                        doc, gram = np.unique(np.stack([words.doc[found].astype(np.uint64), g[found]]), axis=1)
+                        doc = pa.array(doc.astype(np.int64) + at)
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(doc), batch.column(2).take(doc), pa.array(gram.view(np.int64))], ["k", "h", "gram"])
 
     return run
 
 
-def find(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", block: int = ITEMS) -> DataFrame:
+def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (k, h, text, items) to the matches of each document with its items (id, text)."""
+    known: dict[str, Item] = {}
+    for batch in batches:
+        out = []
+        for at, _, data, offsets in slices(batch.column(2)):
+            words = Words(data, offsets, lower=True, apart=NOT_PLAIN)
+            names = words.hashes()
+            for d in range(words.n):
+                k, h, listed = batch.column(0)[at + d].as_py(), batch.column(1)[at + d].as_py(), batch.column(3)[at + d].as_py()
+                if len(known) > CACHED:
+                    known.clear()
+                for x in listed:
+                    if x["t"] not in known:
+                        known[x["t"]] = Item(x["t"])
+                found = search(names[words.first[d]:words.first[d + 1]], [known[x["t"]] for x in listed])
+                out += [(k, h, listed[i]["i"], a / b, s, w) for i, (a, b, s, w) in sorted(found.items())]
+        if out:
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["k", "h", "item_id", "similarity", "start", "words"])
+
+
+def rare_grams(items: DataFrame) -> DataFrame:
+    """(item, words, gram) of (item, text): of each item its rarest shingles that together weigh more than a similar window may lack."""
+    every = stored(items.mapInArrow(_item_grams, "item long, words long, gram long, n long"), "leak-grams")
+    often = every.groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
+    num, den = SIMILARITY
+    own = Window.partitionBy("item").orderBy("often", "gram")
+    before = F.coalesce(F.sum("n").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    weighed = every.join(often, "gram").withColumn("before", before).withColumn("all", F.sum("n").over(Window.partitionBy("item")))
+    return weighed.filter(f"{den} * before <= {den - num} * all").select("item", "words", "gram")
+
+
+def find(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """(key, item_id, similarity, start, words): for each document and item that match, the best window.
 
-    ``start`` and ``words`` count the document's words.  Each block of at most ``block``
-    items is one pass over the documents.
+    ``start`` and ``words`` count the document's words.
     """
-    return _found(docs, items, key, text, item_key, item_text, block).drop("h").withColumnRenamed("k", key)
+    return _found(docs, items, key, text, item_key, item_text).drop("h").withColumnRenamed("k", key)
 
 
-def _found(docs: DataFrame, items: DataFrame, key: str, text: str, item_key: str, item_text: str, block: int = ITEMS) -> DataFrame:
+def _found(docs: DataFrame, items: DataFrame, key: str, text: str, item_key: str, item_text: str) -> DataFrame:
     """``find`` with the id as k and the hash of the text as h."""
-    rows = docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("_text"), text_hash(text).alias("h"))
-    keyed = items.select(F.col(item_key).cast("bigint").alias("i"), F.col(item_text).alias("t"))
-    blocks = max(1, -(-keyed.count() // max(1, block // 2)))
-    out = None
-    for b in range(blocks):
-        mine = keyed.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b) if blocks > 1 else keyed
-        held = Items(sorted((tuple(r) for r in mine.collect()), key=str))
-        if not held.ids:
-            continue
-        shared = docs.sparkSession.sparkContext.broadcast(held)
-        found = rows.mapInArrow(_find(shared), "k long, h long, item_id long, similarity double, start long, words long")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        out = docs.sparkSession.createDataFrame([], "k long, h long, item_id long, similarity double, start long, words long")
-    return out
+    spark = docs.sparkSession
+    rows = docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).cast("string").alias("_text"), text_hash(text).alias("h"))
+    named = items.select(F.col(item_key).cast("bigint").alias("i"), F.col(item_text).cast("string").alias("t")).distinct()
+    named = stored(named.withColumn("item", F.xxhash64("i", "t")), "leak-items")
+    rare = stored(rare_grams(named.select("item", "t")), "leak-rare")
+    sizes = sorted({SIZE, *(r[0] for r in rare.filter(f"words < {SIZE}").select("words").distinct().collect())})
+    bits = spark.sparkContext.broadcast(_filter(rare.select("gram")))
+    hits = stored(rows.mapInArrow(_hits(bits, sizes), "k long, h long, gram long"), "leak-hits")
+    pairs = stored(hits.join(rare.select("gram", "item"), "gram").select("k", "h", "item").distinct(), "leak-pairs")
+    # a document with many items is searched in several tasks, each with some LISTED of them
+    many = pairs.groupBy("k", "h").agg(F.ceil(F.count(F.lit(1)) / LISTED).cast("long").alias("parts"))
+    same = F.col("a.k").eqNullSafe(F.col("b.k")) & (F.col("a.h") == F.col("b.h"))
+    dealt = pairs.alias("a").join(many.alias("b"), same).select("a.k", "a.h", "a.item", F.pmod(F.col("a.item"), F.col("b.parts")).alias("part"))
+    listed = dealt.join(named, "item").groupBy("k", "h", "part").agg(F.collect_list(F.struct("i", "t")).alias("items"))
+    listed = stored(listed.select("k", "h", "items"), "leak-listed")
+    held = maybe_present(rows, "h", presence(listed.select("h")))
+    both = held.alias("a").join(listed.alias("b"), same).select("a.k", "a.h", "a._text", "b.items")
+    return both.mapInArrow(_searched, "k long, h long, item_id long, similarity double, start long, words long")
 
 
 def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``docs`` without the documents that hold an item."""
+    """``docs`` without the rows whose text holds an item."""
     hit = _found(docs, items, key, text, item_key, item_text).select(F.col("k").alias("_hit"), F.col("h").alias("_hash")).distinct()
     return docs.join(hit, docs[key].cast("bigint").eqNullSafe(hit["_hit"]) & (text_hash(text) == hit["_hash"]), "left_anti")

@@ -58,14 +58,16 @@ def cases(seed):
     return docs + [(900, None), (901, ""), (902, items[3][1][:-3])], items + [(50, None), (51, ""), (52, "v1 v2 v1 v2 v1 v2 v1 v2 v1 v2")]
 
 
-def test_against_all_windows(spark):
+def test_against_all_windows(spark, monkeypatch):
     docs, items = cases(5)
     left = spark.createDataFrame([(a, b, 1) for a, b in docs], "doc_id long, text string, item_id int").repartition(3)
     right = spark.createDataFrame(items, "item_id long, text string")
     want = brute(docs, items)
     got = sorted(((x.doc_id, x.item_id, round(x.similarity, 9), x.start, x.words) for x in decontaminate.find(left, right).collect()), key=str)
     assert got == want and len(want) > 30
-    few = sorted(((x.doc_id, x.item_id, round(x.similarity, 9), x.start, x.words) for x in decontaminate.find(left, right, block=8).collect()), key=str)
+    monkeypatch.setattr(decontaminate, "LISTED", 2)
+    monkeypatch.setattr(decontaminate, "FILTER_BITS", 1 << 9)
+    few = sorted(((x.doc_id, x.item_id, round(x.similarity, 9), x.start, x.words) for x in decontaminate.find(left, right).collect()), key=str)
     assert few == want
     kept = decontaminate.clean(left, right)
     assert kept.columns == ["doc_id", "text", "item_id"]
@@ -74,10 +76,39 @@ def test_against_all_windows(spark):
 
 def test_index_finds_all_within_the_radius():
     r = np.random.default_rng(2)
-    prints = r.integers(0, 1 << 63, 300).astype(np.uint64)
-    index = decontaminate.MultiIndex(prints, 20)
+    prints = r.integers(0, 1 << 63, (300, 8)).astype(np.uint64) | (r.integers(0, 2, (300, 8)).astype(np.uint64) << np.uint64(63))
+    radius = 200  # some unrelated prints lie within it
+    index = decontaminate.MultiIndex(prints, radius)
     for q in prints[:20] ^ np.uint64(0b1011):
-        assert set(index.near(q).tolist()) == {i for i, p in enumerate(prints.tolist()) if bin(p ^ int(q)).count("1") <= 20}
+        assert set(index.near(q).tolist()) == {i for i, p in enumerate(prints) if sum(bin(int(a) ^ int(b)).count("1") for a, b in zip(p, q)) <= radius}
+
+
+def item_pairs(n, seed=4):
+    """Texts of 5 to 60 words and a changed copy each."""
+    r = random.Random(seed)
+    vocab = [f"v{i}" for i in range(40)]
+    for _ in range(n):
+        w = [r.choice(vocab) for _ in range(r.randrange(5, 61))]
+        if r.random() < 0.2:
+            w = (w[:6] * 12)[: r.randrange(10, 61)]  # heavy shingles
+        x = list(w)
+        for _ in range(r.choice([1, 1, 2])):
+            x[r.choice([0, 1, len(x) - 1, len(x) - 2])] = r.choice(vocab)
+        yield decontaminate.Item(" ".join(w)), decontaminate.Item(" ".join(x))
+
+
+def test_the_radius_holds_all_similar_pairs_and_the_index_drops_others():
+    pairs = list(item_pairs(3000))
+    similar = 0
+    for a, b in pairs:
+        shared, every = sum((a.bag & b.bag).values()), sum((a.bag | b.bag).values())
+        if 5 * shared >= 4 * every:
+            similar += 1
+            assert len(decontaminate.MultiIndex(a.print[None]).near(b.print)) == 1
+    assert similar > 800
+    index = decontaminate.MultiIndex(np.stack([a.print for a, _ in pairs]))
+    passed = sum(len(index.near(b.print)) for _, b in pairs[:200])
+    assert passed <= 200 * 6  # of 600,000: each with itself, and few chance neighbours among the short
 
 
 def test_empty_tables(spark):
