@@ -12,9 +12,10 @@ places is refused.
 
 Word lattices of a slice are solved together: forward and backward Viterbi scores give
 each word's best path and the loss of its second (the best path through any edge off
-the best one).  ``nbest`` then lists the N best of those few words: from the last node
-back, each node keeps its N best ends.  Their ids are put into the best path, which
-gives all N segmentations of the text.
+the best one).  ``nbest`` then finds the N best of those few words by a backward A-star
+search whose heuristic, the forward Viterbi score of a node, is exact; a node is extended
+N times at most, so equal scores cost no more than others.  Their ids are put into the
+best path, which gives all N segmentations of the text.
 
 Decoding joins the pieces' bytes and drops the leading space; it gives the very text,
 also for texts that hold the mark U+2581 (encoded as bytes) or control characters.
@@ -41,7 +42,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 OWN_MARK = "\ud800"  # stands for the mark as a text's own character; no valid text holds it
 LEAST = -1e8  # a score below this marks a piece that merges never make; it counts as the lowest above
-CACHED, LISTS, NONE, CELLS = 500_000, 100_000, -(1 << 60), 1 << 21
+CACHED, LISTS, NONE, CELLS, LONG = 500_000, 100_000, -(1 << 60), 1 << 21, 2000
 
 _CUT = np.zeros(256, bool)
 _CUT[[10, 32]] = True
@@ -124,10 +125,15 @@ class Pieces:
         order = sorted(range(len(words)), key=lambda i: len(words[i]))
         at = 0
         while at < len(order):
+            if len(words[order[at]]) > LONG:  # a column for each of its characters would hold one number
+                found = self.nbest(words[order[at]], 2)
+                out[order[at]] = (found[0][1], found[0][0], found[0][0] - found[1][0] if len(found) > 1 else -1)
+                at += 1
+                continue
             to, room = at, 0
             while to < len(order) and to - at < 4096:
                 width = len(words[order[to]])
-                if to > at and ((to - at + 1) * width * self.longest > CELLS or width > 2 * len(words[order[at]]) + 4):
+                if to > at and ((to - at + 1) * width * self.longest > CELLS or width > 2 * len(words[order[at]]) + 4) or width > LONG:
                     break
                 to, room = to + 1, width
             group = order[at:to]
@@ -137,96 +143,122 @@ class Pieces:
         return out
 
     def _solve(self, words: list[str], width: int) -> list[tuple[list[int], int, int]]:
+        """``solve`` for words of similar length: places are rows, words are columns and stand at the end."""
         m = len(words)
         size = np.array([len(w) for w in words])
-        pad = width - size  # words stand at the right
+        pad = width - size
         flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
-        row = np.repeat(np.arange(m), size)
-        col = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size) + pad[row]
-        code = np.zeros((m, width), np.uint64)
-        code[row, col] = flat
-        edges, r, c, lead = [], row, col, None
-        h = np.zeros(len(r), np.uint64)
+        word = np.repeat(np.arange(m), size)
+        place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size) + pad[word]
+        code = np.zeros((width, m), np.uint64)
+        code[place, word] = flat
+        edges, w, c, lead = [], word, place, None
+        h = np.zeros(len(w), np.uint64)
         for k in range(1, min(self.longest, width) + 1):  # edges of k characters, from starts that still are a prefix
             inside = c + k <= width
-            r, c, h = r[inside], c[inside], h[inside]
-            h = _next(h, code[r, c + k - 1])
+            w, c, h = w[inside], c[inside], h[inside]
+            h = _next(h, code[c + k - 1, w])
             names, ids, scores = self.tables[k - 1]
             spot = np.minimum(np.searchsorted(names, h), len(names) - 1)
             alive = names[spot] == h
-            score, piece = np.full((m, width), NONE), np.full((m, width), -1)
-            score[r[alive], c[alive]], piece[r[alive], c[alive]] = scores[spot[alive]], ids[spot[alive]]
+            w, c, h, spot = w[alive], c[alive], h[alive], spot[alive]
+            score, piece = np.full((width, m), NONE), np.full((width, m), -1)
+            score[c, w], piece[c, w] = scores[spot], ids[spot]
             if k == 1:
-                lone = np.zeros((m, width), bool)
-                lone[row, col] = True
+                lone = np.zeros((width, m), bool)
+                lone[place, word] = True
                 lone &= score == NONE
                 score[lone] = self.unknown
                 lead = np.where(lone, np.array(self.byte_ids)[_first_byte(code)], piece)
             edges.append((score, piece))
-            r, c, h = r[alive], c[alive], h[alive]
-            if not len(r):
+            if not len(w):
                 break
-        f, b = np.full((m, width + 1), NONE), np.full((m, width + 1), NONE)
-        step = np.zeros((m, width), np.int64)
-        f[np.arange(m), pad] = 0
-        b[:, width] = 0
+        f, b = np.full((width + 1, m), NONE), np.full((width + 1, m), NONE)
+        step = np.zeros((width, m), np.int64)
+        f[pad, np.arange(m)] = 0
+        b[width] = 0
         for e in range(1, width + 1):
             for k in range(1, min(len(edges), e) + 1):
-                f[:, e] = np.maximum(f[:, e], f[:, e - k] + edges[k - 1][0][:, e - k])
+                np.maximum(f[e], f[e - k] + edges[k - 1][0][e - k], out=f[e])
         for s in range(width - 1, -1, -1):  # edges from one node have different first ids, so the least one gives the least ids of equal scores
             least = np.zeros(m, np.int64)
             for k in range(1, min(len(edges), width - s) + 1):
-                v, i = b[:, s + k] + edges[k - 1][0][:, s], (lead if k == 1 else edges[k - 1][1])[:, s]
-                better = (v > b[:, s]) | ((v == b[:, s]) & (i < least) & (v > NONE))
-                b[better, s], step[better, s], least[better] = v[better], k, i[better]
-        best = f[:, width]
+                v, i = b[s + k] + edges[k - 1][0][s], (lead if k == 1 else edges[k - 1][1])[s]
+                better = (v > b[s]) | ((v == b[s]) & (i < least) & (v > NONE))
+                np.copyto(b[s], v, where=better)
+                np.copyto(least, i, where=better)
+                np.copyto(step[s], k, where=better)
+        best = f[width]
         paths: list[list[int]] = [[] for _ in range(m)]
-        used = [np.zeros((m, width), bool) for _ in edges]
+        used = [np.zeros((width, m), bool) for _ in edges]
         at = pad.copy()
         live = np.flatnonzero(at < width)
         while len(live):
             s = at[live]
-            k = step[live, s]
+            k = step[s, live]
             for i, kk, ss in zip(live.tolist(), k.tolist(), s.tolist(), strict=True):
                 paths[i].append((kk, ss))
-                used[kk - 1][i, ss] = True
+                used[kk - 1][ss, i] = True
             at[live] = s + k
             live = live[s + k < width]
         loss = np.full(m, 1 << 60)
         for k, (score, _) in enumerate(edges, 1):
             n = width - k + 1
-            through = f[:, :n] + score[:, :n] + b[:, k:k + n]
-            lost = np.where((score[:, :n] > NONE) & (f[:, :n] > NONE // 2) & (b[:, k:k + n] > NONE // 2) & ~used[k - 1][:, :n], best[:, None] - through, 1 << 60)
-            loss = np.minimum(loss, lost.min(axis=1))
+            through = f[:n] + score[:n] + b[k:k + n]
+            np.minimum(loss, np.where(used[k - 1][:n] | (through < NONE // 2), 1 << 60, best - through).min(axis=0), out=loss)
         out = []
         for i, path in enumerate(paths):
             ids: list[int] = []
             for k, s in path:
-                piece = edges[k - 1][1][i, s]
-                ids += [int(piece)] if piece >= 0 else [self.byte_ids[x] for x in _fallback(chr(int(code[i, s])))]
+                piece = edges[k - 1][1][s, i]
+                ids += [int(piece)] if piece >= 0 else [self.byte_ids[x] for x in _fallback(chr(int(code[s, i])))]
             out.append((ids, int(best[i]), int(loss[i]) if loss[i] < 1 << 60 else -1))
         return out
 
     def nbest(self, word: str, n: int) -> list[tuple[int, list[int]]]:
-        """The n best segmentations (score, ids) of a word or text with marks, best first, equal scores by their ids.  Scores are times ``scale``."""
+        """The n best segmentations (score, ids) of a word or text with marks, best first, equal scores by their ids.  Scores are times ``scale``.
+
+        Forward Viterbi scores are the exact cost of what lies before a node; so a search from
+        the end that always extends the tail with the least loss meets the segmentations in
+        order.  Of equal losses the tail that begins further back goes first, then that with the
+        lesser ids; so a node meets its tails in their final order, and the n first are enough.
+        """
         size = len(word)
-        ends: list[list[tuple[int, int, int, int]]] = [[] for _ in range(size)] + [[(0, 0, 0, 0)]]
-        for s in range(size - 1, -1, -1):  # (loss to the end, first id, next node, rank there); edges from one node have different first ids
-            some = []
-            for e in range(s + 1, min(size, s + self.longest) + 1):
-                found = self.texts.get(word[s:e])
+        best, edges = [0] + [NONE] * size, [[] for _ in range(size + 1)]
+        texts, longest = self.texts, self.longest
+        for s in range(size):
+            here = best[s]
+            for e in range(s + 1, min(size, s + longest) + 1):
+                found = texts.get(word[s:e])
                 if found or e == s + 1:
                     i, v = found or (self.byte_ids[_fallback(word[s])[0]], self.unknown)
-                    some += [(x[0] - v, i, e, rank) for rank, x in enumerate(ends[e])]
-            ends[s] = sorted(some)[:n]
+                    edges[e].append((s, i, v))
+                    if here + v > best[e]:
+                        best[e] = here + v
+        tails: list[list[tuple[int, int, int, int]]] = [[] for _ in range(size + 1)]
+        heap = [(0, -size, -1, 0, 0, 0)]  # (loss, minus node, first id, rank of the rest, node of the rest, score)
+        while heap:
+            _, node, first, rank, then, score = heapq.heappop(heap)
+            node = -node
+            mine = tails[node]
+            if len(mine) >= n:
+                continue
+            mine.append((score, first, then, rank))
+            if not node:
+                if len(mine) == n:
+                    break
+                continue
+            for s, i, v in edges[node]:
+                if len(tails[s]) < n:
+                    heapq.heappush(heap, (best[size] - best[s] - score - v, -s, i, len(mine) - 1, node, score + v))
         out = []
-        for first in ends[0][:n]:
+        for score, first, then, rank in tails[0]:
             ids: list[int] = []
-            s, (_, i, e, rank) = 0, first
+            s = 0
             while s < size:
-                ids += [i] if word[s:e] in self.texts else [self.byte_ids[x] for x in _fallback(word[s])]
-                s, (_, i, e, rank) = e, ends[e][rank]
-            out.append((-first[0], ids))
+                ids += [first] if word[s:then] in texts else [self.byte_ids[x] for x in _fallback(word[s])]
+                s, (_, first, then, rank) = then, tails[then][rank]
+            out.append((score, ids))
         return out
 
     def decode(self, ids) -> str:

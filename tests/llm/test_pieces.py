@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -98,26 +99,36 @@ def test_runs_of_spaces_over_the_full_vocabulary(spark, model):
     assert got[0].score == -33047 and [sp.id_to_piece(i) for i in got[0].ids] == ["▁x", "▁▁▁▁", "re", "turn"]
 
 
-def test_scores_that_are_not_whole(spark, tmp_path):
-    import sentencepiece
-
+def test_scores_that_are_not_whole():
+    """Pieces with log probabilities, made up here: sums and ties stay exact."""
     r = random.Random(6)
-    vocab = ["".join(r.choice("aeinorst") for _ in range(r.randrange(2, 8))) for _ in range(200)]
-    lines = [" ".join(r.choice(vocab) for _ in range(8)) for _ in range(400)]
-    path = str(tmp_path / "unigram")
-    sentencepiece.SentencePieceTrainer.train(sentence_iterator=iter(lines), model_prefix=path, vocab_size=420, model_type="unigram", byte_fallback=True, minloglevel=2)
-    sp = sentencepiece.SentencePieceProcessor(model_file=path + ".model")
-    docs = spark.createDataFrame(list(enumerate(lines[:60])), "doc_id long, text string")
-    got = {x.doc_id: x for x in pieces.encode(docs, model=path + ".model").collect()}
-    for i, t in enumerate(lines[:60]):
-        exact = [sum(sp.get_score(j) for j in ids) for ids in got[i].nbest_ids]
-        theirs = sum(sp.get_score(j) for j in sp.encode(t))  # their sums are single floats, so near ties may differ
-        assert theirs - 1e-9 <= exact[0] <= theirs + 1e-3
-        assert got[i].scores == pytest.approx(exact, abs=1e-9) and exact == sorted(exact, reverse=True)
+    made = {pieces.MARK: (256, -1.0)}
+    for i in range(60):
+        made["".join(r.choice("aeinorst") for _ in range(r.randrange(1, 4)))] = (300 + i, -r.randrange(1, 1 << 12) / 256)
+    model = pieces.Pieces(made, list(range(256)))
+    assert model.scale == 256
+    for word in ("".join(r.choice("aeinorstx") for _ in range(r.randrange(1, 9))) for _ in range(60)):
+        want = sorted(every(model, word), key=lambda x: (-x[0], x[1]))[:4]
+        assert model.nbest(word, 4) == want
+        (ids, score, loss), = model.solve([word])
+        assert (score, ids) == want[0] and loss == (want[0][0] - want[1][0] if len(want) > 1 else -1)
     by_score = pieces.Pieces({pieces.MARK: (256, -1.0), "a": (257, -2.75), "b": (258, -2.75), "ab": (259, -5.625)}, list(range(256)))
     assert by_score.nbest("ab", 2) == [(-44, [257, 258]), (-45, [259])] and by_score.scale == 8
 
 
+def test_long_runs_of_equal_scores(model):
+    """Ties are many in a ruler; each node is extended n times only, and both ways to solve a word agree."""
+    word = pieces.MARK + "=" * 3000
+    began = time.time()
+    found = model.nbest(word, 3)
+    assert time.time() - began < 20 and len(found) == 3
+    assert all(model.decode(ids) == word[1:] for _, ids in found)
+    for w in (pieces.MARK + "=" * 300, pieces.MARK + "thatthing" * 40, "xyzzy" * 50):
+        (ids, score, loss), = model._solve([w], len(w))
+        two = model.nbest(w, 2)
+        assert (score, ids) == two[0] and loss == two[0][0] - two[1][0]
+
+
 def test_pipeline_rows_rebuild_the_corpus(spark):
     import corpus_pipeline
 
