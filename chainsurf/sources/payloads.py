@@ -17,47 +17,77 @@ from ..schemas import OHLC
 FIELDS = ["expiration", "strike", "right", "open_interest", "date"]
 
 
-def _fields(at) -> list[Column]:
-    return [at(f).alias(f) for f in FIELDS]
+def _record(at) -> Column:
+    return F.struct(*[at(f).alias(f) for f in FIELDS])
 
 
-def header_rows(df: DataFrame, col: str = "payload") -> DataFrame:
-    """Shape 1: each non-empty row is zipped with the format, as far as both reach."""
-    shape = "struct<header:struct<format:array<string>>,response:array<array<string>>>"
-    parsed = df.withColumn("_p", F.from_json(col, shape)).filter("_p.response IS NOT NULL AND _p.header IS NOT NULL")
-    rows = parsed.withColumn("_row", F.explode("_p.response")).filter(F.size("_row") > 0)
-    names = F.coalesce(F.col("_p.header.format"), F.array().cast("array<string>"))
-    n = F.least(F.size(names), F.size("_row"))
-    record = F.map_from_entries(F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.element_at(names, i), F.element_at("_row", i))))
-    found = rows.withColumn("_m", F.when(n > 0, record))
-    return found.select(*[c for c in df.columns if c != col], *_fields(lambda f: F.col("_m").getItem(f)))
+def _is_header(members: Column) -> Column:
+    return F.map_contains_key(members, "header") & F.map_contains_key(members, "response")
 
 
-def columnar(df: DataFrame, col: str = "payload") -> DataFrame:
+def _header_records(members: Column) -> Column:
+    """Shape 1: each non-empty row is zipped with the format, as far as both reach; of a repeated name the last place counts."""
+    names = F.coalesce(F.from_json(members["header"], "struct<format:array<string>>")["format"], F.array().cast("array<string>"))
+    rows = F.filter(F.from_json(members["response"], "array<array<string>>"), lambda r: F.size(r) > 0)
+
+    def record(row: Column, backwards: Column) -> Column:
+        skipped = F.greatest(F.size(backwards) - F.size(row), F.lit(0))  # names beyond the row's end, which stand first here
+
+        def value(f: str) -> Column:
+            place = F.array_position(F.slice(backwards, skipped + 1, F.size(backwards)), F.lit(f))
+            return F.when(place > 0, F.get(row, (F.size(backwards) - skipped - place).cast("int")))
+
+        return _record(value)
+
+    # the names are turned round once for each payload, not for each row
+    return F.flatten(F.transform(F.array(F.reverse(names)), lambda backwards: F.transform(rows, lambda r: record(r, backwards))))
+
+
+def _columnar_records(members: Column) -> Column:
     """Shape 2: as many rows as the first array has items; a scalar repeats, a short array gives nulls."""
-    kept = [c for c in df.columns if c != col]
-    flat = df.filter(F.ltrim(col).startswith("{")).withColumn("_o", F.from_json(col, "map<string,string>"))
-    flat = flat.filter("_o IS NOT NULL AND NOT (map_contains_key(_o, 'header') AND map_contains_key(_o, 'response'))")
-    first = F.get(F.filter(F.map_values("_o"), lambda v: v.startswith("[")), F.lit(0))
-    rows = flat.withColumn("_n", F.size(F.from_json(first, "array<string>"))).filter("_n > 0")
-    for f in FIELDS:
-        rows = rows.withColumn(f"_{f}", F.from_json(F.when(F.col("_o").getItem(f).startswith("["), F.col("_o").getItem(f)), "array<string>"))
-    rows = rows.withColumn("_i", F.explode(F.expr("sequence(0, _n - 1)")))
-    at = lambda f: F.when(F.col("_o").getItem(f).startswith("["), F.get(F.col(f"_{f}"), F.col("_i"))).otherwise(F.col("_o").getItem(f))
-    return rows.select(*kept, *_fields(at))
+    is_list = lambda v: v.startswith("[")
+    first = F.get(F.filter(F.map_values(members), is_list), F.lit(0))
+    n = F.size(F.from_json(first, "array<string>"))
+    lists = F.struct(*[F.from_json(F.when(is_list(members[f]), members[f]), "array<string>").alias(f) for f in FIELDS])
+    at = lambda held, i: _record(lambda f: F.when(is_list(members[f]), F.get(held[f], i)).otherwise(members[f]))
+    return F.when(n > 0, F.flatten(F.transform(F.array(lists), lambda held: F.transform(F.sequence(F.lit(0), n - 1), lambda i: at(held, i)))))
 
 
-def records(df: DataFrame, col: str = "payload") -> DataFrame:
+def _item_records(payload: Column) -> Column:
     """Shape 3: a list of objects; other items are dropped one by one."""
+    items = F.filter(F.from_json(payload, "array<string>"), lambda x: F.ltrim(x).startswith("{"))
+    found = F.filter(F.transform(items, lambda x: F.from_json(x, "map<string,string>")), lambda m: m.isNotNull())
+    return F.transform(found, lambda m: _record(lambda f: m[f]))
+
+
+def _rows(df: DataFrame, col: str, shapes: str) -> DataFrame:
+    """One pass over the payloads; each is parsed by its own shape alone, an object into its members first."""
     kept = [c for c in df.columns if c != col]
-    items = df.filter(F.ltrim(col).startswith("[")).withColumn("_item", F.explode(F.from_json(col, "array<string>")))
-    found = items.filter(F.ltrim("_item").startswith("{")).withColumn("_r", F.from_json("_item", "map<string,string>"))
-    return found.filter("_r IS NOT NULL").select(*kept, *_fields(lambda f: F.col("_r").getItem(f)))
+    text = F.ltrim(F.col(col))
+    members, payload = F.col("_members"), F.col("_payload")
+    held = df.select(*kept, F.when(text.startswith("["), text).alias("_payload"), F.from_json(F.when(text.startswith("{"), text), "map<string,string>").alias("_members"))
+    found = {"header": F.when(_is_header(members), _header_records(members)), "columnar": F.when(~_is_header(members), _columnar_records(members)), "records": F.when(payload.isNotNull(), _item_records(payload))}
+    return held.select(*kept, F.explode(F.coalesce(*[v for k, v in found.items() if k in shapes])).alias("_record")).select(*kept, "_record.*")
+
+
+def header_rows(df: DataFrame, col: str = "payload") -> DataFrame:
+    """The rows of payloads of shape 1."""
+    return _rows(df, col, "header")
+
+
+def columnar(df: DataFrame, col: str = "payload") -> DataFrame:
+    """The rows of payloads of shape 2."""
+    return _rows(df, col, "columnar")
+
+
+def records(df: DataFrame, col: str = "payload") -> DataFrame:
+    """The rows of payloads of shape 3."""
+    return _rows(df, col, "records")
 
 
 def normalise_payload(df: DataFrame, col: str = "payload") -> DataFrame:
     """Rows of all three shapes, with text fields expiration, strike, right, open_interest, date."""
-    return header_rows(df, col).unionByName(columnar(df, col)).unionByName(records(df, col))
+    return _rows(df, col, "header columnar records")
 
 
 def clean_chain(df: DataFrame) -> DataFrame:

@@ -28,6 +28,15 @@ def test_three_shapes(spark):
     assert keys(payloads.ingest_history(landed(spark, RECORDS))) == [("SPY", DAY, f, 90.0, "C", -4), ("SPY", DAY, f, 100.0, "P", 7)]
 
 
+def test_repeated_and_missing_names(spark):
+    """A name may stand twice (the last place within the row counts), be null or unknown; the payload and its neighbours stay."""
+    twice = {"header": {"format": ["strike", "right", None, "strike", "expiration", "open_interest", "x"]}, "response": [[1.0, "C", 9, 100.0, "2024-03-15", 7, 0], [50.0, "P", 9], ["2", "C", None, 105.0, 20240419, 3]]}
+    got = payloads.normalise_payload(landed(spark, twice, HEADER)).filter("strike IS NOT NULL").select("expiration", "strike", "right", "open_interest").collect()
+    assert [tuple(x) for x in got[:3]] == [("2024-03-15", "100.0", "C", "7"), (None, "50.0", "P", None), ("20240419", "105.0", "C", "3")]
+    f, a = date(2024, 3, 15), date(2024, 4, 19)
+    assert keys(payloads.ingest_history(landed(spark, twice, HEADER))) == [("SPY", DAY, f, 100.0, "C", 19), ("SPY", DAY, a, 105.0, "C", 3)]
+
+
 def test_nothing_comes_of_other_payloads(spark):
     junk = [None, "", "{}", "[]", "null", "3", '"text"', "{broken", {"a": 1}, {"header": {}, "response": []}, {"header": {"format": ["strike"]}, "response": None}, [1, 2]]
     assert payloads.ingest_history(landed(spark, *junk)).count() == 0
