@@ -5,17 +5,19 @@
 2. Inverted lists: neighbouring retained values form keys.  Lists of at most ``RARE``
    nodes generate pairs and their overlaps.
 3. Longer lists are never paired.  A node with ``ENOUGH`` keys outside them meets its
-   partners in short lists.  The others are crowded; they are listed again, under single
-   retained values, whose short lists generate pairs too.  A crowded node that has more
-   rare values than a linked partner can miss (``may_miss``) meets all its partners there.
-4. What remains is dense: nodes most of whose values are frequent, such as a family of
-   thousands of near copies.  In each long list the node with the most frequent values
-   stands for the family, and the others are paired with it alone.
+   partners in short lists.  The others are crowded: they are listed again, under all their
+   shingles, and the short ones of these lists generate pairs too.  A crowded node with more
+   rare shingles than a linked partner can lack meets all its partners there.
+4. What remains is dense, such as a family of thousands of near copies.  In each long list
+   the node with the most frequent and fewest rare shingles stands for the family, and the
+   others are paired with it alone.
 5. Union-sketch estimates drop pairs ``DEVIATIONS`` below the threshold.  Then exact
    Jaccard similarities of full sets decide: first of each node with its stars and its
    smallest partner, and, once these links are joined to components, of the pairs whose
    ends still lie in different ones.  Dense nodes outside their family's largest component
-   are compared with all dense nodes of the family, in blocks of bounded size.
+   are compared with the family's dense nodes in blocks of bounded size.  Two that share
+   no rare shingle can be linked only if their frequent ones outweigh the rare ones of
+   both (``slack``), so much edited copies meet only the least edited.
 6. Connected components over the links name each text's smallest document; of its rows
    the one with the smallest text hash is kept, and of equal rows only one.
 
@@ -31,20 +33,19 @@ by ``one_of_each``; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import maybe_present, presence, stored, text_hash
 from .tokens import Words, combine, mix, slices
 
-SKETCH, RARE, ENOUGH, OVERLAPS, DEVIATIONS, LOST = 64, 40, 54, 2, 6, 1e-9
-BLOCK, CHUNK, BLOCK_SHINGLES, COLUMNS = 96, 48, 1_000_000, 8192
+SKETCH, RARE, ENOUGH, OVERLAPS, DEVIATIONS = 64, 40, 54, 2, 6
+BLOCK, CHUNK, BLOCK_SHINGLES, COLUMNS, STEP = 96, 48, 1_000_000, 8192, 0.02
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = 3) -> tuple[np.ndarray, np.ndarray, Words]:
@@ -130,19 +131,6 @@ def _estimates(percent: int):
     return run
 
 
-def may_miss(percent: int, lost: float = LOST) -> int:
-    """How many of ``SKETCH`` retained values a linked partner may lack: more with a probability under ``lost``.
-
-    Of the smallest values of the union a share of at least ``percent`` lies in both sets.
-    """
-    t, below = percent / 100, 0.0
-    for shared in range(SKETCH + 1):
-        below += math.comb(SKETCH, shared) * t**shared * (1 - t) ** (SKETCH - shared)
-        if below > lost:
-            return SKETCH - shared
-    return 0
-
-
 def _common(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of all pairs of sets."""
     n = len(sets)
@@ -239,27 +227,38 @@ def _rated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return both.select("x", "y", "sx", "sy").mapInArrow(_estimates(percent), "x long, y long")
 
 
-def _candidates(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(pairs, stars, all stars) of nodes (node, n, sketch): the pairs of short lists and those with the head of a long list.
-
-    Pairs and stars (x, y) may be linked by their sketches; ``all stars`` holds those that may not, too.
-    """
+def _listed(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(lists of keys, crowded nodes) of nodes (node, n, sketch)."""
     least = -(-percent // (100 - percent))  # smaller sets link with equal sets only
     listed = nodes.filter(f"n >= {least}")
     keys = F.expr("transform(sequence(0, size(sketch) - 2), i -> xxhash64(sketch[i], sketch[i + 1]))")
     members = _lists(listed.select("node", F.explode(keys).alias("key")), "near-lists")
     in_long = members.filter(f"c > {RARE}").groupBy("node").agg(F.count(F.lit(1)).alias("in_long")).join(listed, "node")
-    crowded = stored(in_long.filter(f"size(sketch) - 1 - in_long < {ENOUGH}").select("node", "n", "sketch"), "near-crowded")
-    single = _lists(crowded.select("node", F.explode("sketch").alias("key")), "near-values")
-    missed = F.least(F.lit(may_miss(percent)), F.ceil(F.col("n") * (100 - percent) / 100) + F.greatest(F.lit(0), F.ceil(F.col("n") * 100 / percent) - SKETCH))
-    frequent = single.filter(f"c > {RARE}")
-    dense = frequent.groupBy("node").agg(F.count(F.lit(1)).alias("frequent")).join(crowded.select("node", "n", F.size("sketch").alias("s")), "node")
-    dense = dense.filter(F.col("s") - F.col("frequent") < missed + OVERLAPS).select("node", "frequent")
-    inside = stored(frequent.select("node", "key").join(dense, "node"), "near-dense")
-    heads = stored(inside.groupBy("key").agg(F.max_by("node", F.struct("frequent", "node")).alias("x")), "near-heads")
-    stars = stored(inside.join(heads, "key").filter("x <> node").select("x", F.col("node").alias("y")).distinct(), "near-stars")
-    pairs = stored(_rated(_overlapping(members).union(_overlapping(single)).distinct(), nodes, percent), "near-pairs")
-    return pairs, stored(_rated(stars, nodes, percent), "near-rated-stars"), stars
+    return members, stored(in_long.filter(f"size(sketch) - 1 - in_long < {ENOUGH}").select("node", "n"), "near-crowded")
+
+
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, key) of the shingles of (node, grams) rows."""
+    for batch in batches:
+        for at in range(batch.num_rows):
+            key = np.frombuffer(batch.column(1)[at].as_buffer(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), batch.column(0)[at].as_py())), pa.array(key)], ["node", "key"])
+
+
+def _stars(members: DataFrame, crowded: DataFrame, every: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(stars (x, y), dense (node, slack)): each dense node y with the heads x of its long lists.
+
+    ``every`` holds the lists of all shingles of the crowded nodes.  ``slack`` is what the
+    frequent shingles have over: of two linked nodes that share no rare one it sums to 0 or more.
+    """
+    frequent = every.filter(f"c > {RARE}").groupBy("node").agg(F.count(F.lit(1)).alias("frequent"))
+    rare = crowded.join(frequent, "node").withColumn("rare", F.col("n") - F.col("frequent"))
+    dense = rare.filter(f"100 * (rare - {OVERLAPS}) < {100 - percent} * n")
+    dense = stored(dense.select("node", F.expr(f"{100 - percent} * n - {100 + percent} * greatest(0, rare - {OVERLAPS - 1})").alias("slack"), F.expr("frequent - rare").alias("likeness")), "near-dense")
+    inside = stored(members.filter(f"c > {RARE}").select("key", "node").join(dense, "node"), "near-long-lists")
+    heads = stored(inside.groupBy("key").agg(F.max_by("node", F.struct("likeness", "node")).alias("x")), "near-heads")
+    stars = inside.select("key", "node").join(heads, "key").filter("x <> node").select("x", F.col("node").alias("y")).distinct()
+    return stored(stars, "near-stars"), dense.drop("likeness")
 
 
 def _chunks(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -273,22 +272,29 @@ def _chunks(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _blocks(family: DataFrame, percent: int) -> DataFrame:
-    """(p, q, i, side, node): pairs of blocks of families (node, least, n, part), part naming the component so far.
+    """(p, q, i, side, node): pairs of blocks of families (node, least, n, slack, part), part naming the component so far.
 
     A family's largest part is its core; the blocks of the others meet each other and the
-    core's, as far as their sizes allow a link.  The core's blocks don't meet.
+    core's, as far as their sizes and slacks allow a link.  The core's blocks don't meet.
     """
     ratio = 100 / percent
     core = family.groupBy("least", "part").agg(F.count(F.lit(1)).alias("m")).groupBy("least").agg(F.max_by("part", "m").alias("core"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    # classes: z of size, a of slack for each shingle in steps, r whether outside the core
     placed = family.join(core, "least").withColumn("z", F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(ratio)))).cast("long")).withColumn("r", (F.col("part") != F.col("core")).cast("int"))
+    placed = placed.withColumn("a", F.floor(F.col("slack") / F.col("n") / F.lit(100 * STEP)).cast("long"))
     room = F.greatest(F.lit(2.0), F.least(F.lit(float(BLOCK)), F.lit(float(BLOCK_SHINGLES)) / F.pow(F.lit(ratio), F.col("z") + 1)))
-    kinds = placed.groupBy("least", "z", "r").agg(F.count(F.lit(1)).alias("m")).withColumn("s", F.ceil(F.col("m") / room).cast("long"))
-    kinds = kinds.groupBy("least").agg(F.collect_list(F.struct("z", "r", "s")).alias("kinds"))  # two for each size class at most
-    code = lambda z, r, i: (z * 2 + r) * (1 << 32) + i
-    near = F.filter("kinds", lambda k: (F.abs(k["z"] - F.col("z")) <= 1) & ((k["r"] == 1) | (F.col("r") == 1)))
-    own = F.get(F.filter("kinds", lambda k: (k["z"] == F.col("z")) & (k["r"] == F.col("r"))), F.lit(0))["s"]
-    mine = code(F.col("z"), F.col("r"), F.pmod(F.xxhash64("node"), own))
-    others = F.flatten(F.transform(near, lambda k: F.transform(F.sequence(F.lit(0).cast("long"), k["s"] - 1), lambda i: code(k["z"], k["r"], i))))
+    kinds = placed.groupBy("least", "z", "a", "r").agg(F.count(F.lit(1)).alias("m")).withColumn("s", F.ceil(F.col("m") / room).cast("long"))
+    kinds = kinds.groupBy("least").agg(F.collect_list(F.struct("z", "a", "r", "s")).alias("kinds"))  # few for each size class
+
+    def may_link(k: Column) -> Column:
+        mine, other = F.col("a") + 1, k["a"] + 1  # the classes' upper ends
+        outweighs = lambda x, y: (x > 0) | (y * 100 >= -x * percent)  # noqa: E731  sizes differ by the threshold at most
+        return (F.abs(k["z"] - F.col("z")) <= 1) & ((k["r"] == 1) | (F.col("r") == 1)) & outweighs(mine, other) & outweighs(other, mine)
+
+    code = lambda z, a, r, i: ((z * 2 + r) * 4096 + a + 2048) * (1 << 32) + i
+    own = F.get(F.filter("kinds", lambda k: (k["z"] == F.col("z")) & (k["a"] == F.col("a")) & (k["r"] == F.col("r"))), F.lit(0))["s"]
+    mine = code(F.col("z"), F.col("a"), F.col("r"), F.pmod(F.xxhash64("node"), own))
+    others = F.flatten(F.transform(F.filter("kinds", may_link), lambda k: F.transform(F.sequence(F.lit(0).cast("long"), k["s"] - 1), lambda i: code(k["z"], k["a"], k["r"], i))))
     met = placed.join(kinds, "least").select("node", "least", mine.alias("b"), F.explode(others).alias("o"))
     # the same two blocks are named alike from both; a block that meets itself has one side
     return met.select(F.col("least").alias("p"), F.least("b", "o").alias("q"), F.greatest("b", "o").alias("i"), (F.col("b") > F.col("o")).cast("int").alias("side"), "node")
@@ -301,22 +307,27 @@ def _verified(tasks: DataFrame, sets: DataFrame, percent: int, what: str) -> Dat
 
 def _linked(docs: DataFrame, nodes: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
     """(node, least): the component of each node that has a link."""
-    pairs, stars, all_stars = _candidates(nodes, percent)
-    spread = all_stars.union(pairs)
-    needed = stored(spread.select("x").union(spread.select("y")).distinct().withColumnRenamed("x", "node").join(nodes.select("node", "id"), "node"), "near-needed")
+    members, crowded = _listed(nodes, percent)
+    short = stored(_rated(_overlapping(members), nodes, percent), "near-short-pairs")
+    needed = short.select(F.col("x").alias("node")).union(short.select("y")).union(crowded.select("node")).distinct()
+    needed = stored(needed.join(nodes.select("node", "id"), "node"), "near-needed")
     texts = docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(-1)).alias("_h"), F.col(text).alias("_text"))
     texts = maybe_present(texts, "_h", presence(needed.select(F.coalesce("id", F.lit(-1)).alias("id")))).select("_text")
     sets = stored(texts.mapInArrow(_sets(size), "node long, grams binary").join(needed.select("node"), "node").dropDuplicates(["node"]), "near-sets")
+
+    every = _lists(sets.join(crowded.select("node"), "node", "left_semi").mapInArrow(_grams, "node long, key long"), "near-shingles")
+    all_stars, dense = _stars(members, crowded, every, percent)
+    stars = stored(_rated(all_stars, nodes, percent), "near-rated-stars")
+    pairs = stored(short.union(_rated(_overlapping(every), nodes, percent)).distinct(), "near-pairs")
     first = stored(pairs.groupBy("y").agg(F.min("x").alias("x")).select("x", "y").union(stars).distinct(), "near-first")
-    links = _verified(_chunks(first, nodes), sets, percent, "near-first-links")
-    joined = components(links, "near-parts")
+    joined = components(_verified(_chunks(first, nodes), sets, percent, "near-first-links"), "near-parts")
 
     label = lambda c: joined.select(F.col("node").alias(c), F.col("least").alias("l" + c))
     apart = pairs.join(label("x"), "x", "left").join(label("y"), "y", "left").filter("coalesce(lx, x) <> coalesce(ly, y)").select("x", "y").join(first, ["x", "y"], "left_anti")
-    tasks = _chunks(stored(apart, "near-apart"), nodes)
-    family = components(all_stars, "near-families").join(nodes.select("node", "n"), "node").join(joined.withColumnRenamed("least", "part"), "node", "left")
-    family = stored(family.select("node", "least", "n", F.coalesce("part", "node").alias("part")), "near-family")
-    more = _verified(tasks.union(_blocks(family, percent)), sets, percent, "near-more-links")
+    family = components(all_stars, "near-families").join(nodes.select("node", "n"), "node").join(dense, "node").join(joined.withColumnRenamed("least", "part"), "node", "left")
+    family = stored(family.select("node", "least", "n", "slack", F.coalesce("part", "node").alias("part")), "near-family")
+    tasks = _chunks(stored(apart, "near-apart"), nodes).union(_blocks(family, percent))
+    more = _verified(tasks, sets, percent, "near-more-links")
     return components(joined.select(F.col("least").alias("x"), F.col("node").alias("y")).filter("x <> y").union(more), "near-components")
 
 

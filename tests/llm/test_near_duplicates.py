@@ -112,9 +112,14 @@ def test_copy_with_few_keys_of_a_large_family_is_met(spark, monkeypatch):
     copy = list(range(1, 9)) + list(range(10, 61, 2)) + list(range(61, 91))
     rows = [(i, 320, root) for i in range(1, 7)] + [(9, 256, copy)]
     nodes = spark.createDataFrame(rows, "node long, n long, sketch array<long>")
-    pairs, stars, every = near_duplicates._candidates(nodes, 80)
-    edges = pairs.union(every).collect()
-    assert 9 in {x.y for x in edges} | {x.x for x in edges}
+    members, crowded = near_duplicates._listed(nodes, 80)
+    assert {x.node for x in crowded.collect()} == {1, 2, 3, 4, 5, 6, 9}
+    # six of the sets are whole in long lists, the seventh has 40 rare shingles that no other has
+    whole = [(i, k) for i in range(1, 7) for k in range(320)] + [(9, k) for k in [*range(216), *range(900, 940)]]
+    every = near_duplicates._lists(spark.createDataFrame(whole, "node long, key long"), "test")
+    stars, dense = near_duplicates._stars(members, crowded, every, 80)
+    assert {x.node: x.slack for x in dense.collect()} == {**dict.fromkeys(range(1, 7), 20 * 320), 9: 20 * 256 - 180 * 39}
+    assert {(x.x, x.y) for x in stars.collect()} == {(6, y) for y in (1, 2, 3, 4, 5, 9)}
 
 
 def test_one_row_of_each_component(spark):
