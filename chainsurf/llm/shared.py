@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Only where it is unset, as in tests on one machine, a new temporary folder is set.
+    Only where it is unset and all work runs on this machine, as in tests, a new temporary folder is set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that the cluster shares")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -32,6 +34,14 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``stored`` that nothing reads any more, so that a run holds few of them at once."""
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def let(value, body):
     """SQL ``let``: evaluate ``value`` once and hand it to ``body`` as a lambda variable."""
     return F.transform(F.array(value), body)[0]
@@ -61,12 +71,12 @@ def presence(ids: DataFrame, words: int = 1 << 17) -> DataFrame:
     )
 
 
-def maybe_present(df: DataFrame, key: str, filter_table: DataFrame, words: int = 1 << 17) -> DataFrame:
-    """The rows of ``df`` whose key may be in the ids of ``presence``; no shuffle of ``df``."""
+def maybe_present(df: DataFrame, key: str, filter_table: DataFrame, words: int = 1 << 17, present: bool = True) -> DataFrame:
+    """The rows of ``df`` whose key may be in the ids of ``presence`` (or surely is not); no shuffle of ``df``."""
     spot = F.xxhash64(F.col(key))
     return (
         df.withColumn("_slot", F.pmod(spot, F.lit(words)).cast("int"))
         .withColumn("_bit", F.pmod(F.shiftright(spot, 40), F.lit(64)).cast("int"))
-        .join(F.broadcast(filter_table), F.expr("_slot = slot AND (shiftright(bits, _bit) & 1) = 1"), "left_semi")
+        .join(F.broadcast(filter_table), F.expr("_slot = slot AND (shiftright(bits, _bit) & 1) = 1"), "left_semi" if present else "left_anti")
         .drop("_slot", "_bit")
     )

@@ -31,11 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import maybe_present, presence, stored
+from .shared import discard, maybe_present, presence, stored
 from .tokens import Words, combine, mix, slices
 
 WINDOW = 50
 STEPS, CAP = "RPPPPPPP", 14
+FILTER = 1 << 18  # rows of the filter over shared symbols
 _FAR = 1 << 40
 _SAT = 4095
 _EMPTY = hashlib.sha256(b"").hexdigest()
@@ -217,11 +218,11 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, n_removed, sha, kept) of the texts that lose words."""
+    """(row, doc_id, n_removed, sha, kept) of the texts that lose words."""
     for batch in batches:
-        names = batch.column(1)
+        names = batch.column(2)
         out = []
-        for at, to, data, offsets in slices(batch.column(2)):
+        for at, to, data, offsets in slices(batch.column(3)):
             words = Words(data, offsets)
             h1, _ = window_names(words.hashes(), WINDOW)
             h1 = _signed(h1)
@@ -235,44 +236,51 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 gone = np.cumsum(delta)[:n] > 0
                 text = data[offsets[k - at]:offsets[k - at + 1]].tobytes().split()
                 kept = b" ".join([w for w, x in zip(text, gone.tolist(), strict=True) if not x])
-                out.append((batch.column(0)[k].as_py(), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode()))
+                out.append((batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode()))
         if out:
-            r, n, s, t = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.array(n, pa.int64()), pa.array(s, pa.string()), pa.array(t, pa.string())], ["row", "n_removed", "cut_sha", "cut_text"])
+            r, i, n, s, t = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.array(i, pa.int64()), pa.array(n, pa.int64()), pa.array(s, pa.string()), pa.array(t, pa.string())], ["row", "doc_id", "n_removed", "cut_sha", "cut_text"])
 
 
 def _found(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """The base table with ``copy``, and (row, n_removed, cut_sha, cut_text) of texts that lose some words."""
+    """The base table with ``copy``, and (row, doc_id, n_removed, cut_sha, cut_text) of texts that lose some words.
+
+    ``row`` is a hash of id and text; with the id itself it names a row (rows equal in both are alike).
+    """
+    name = ["row", "doc_id"]
     rows = docs.select(F.xxhash64(key, text).alias("row"), F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    base = stored(rows.mapInArrow(_base, "row long, doc_id long, n_words long, a long, b long, sha string, open array<long>"), "substring-base")
-    least = base.filter(f"n_words >= {WINDOW} AND doc_id IS NOT NULL").groupBy("a", "b").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").drop("most")
-    base = base.join(least, ["a", "b"], "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False))).drop("a", "b", "least")
+    plain = stored(rows.mapInArrow(_base, "row long, doc_id long, n_words long, a long, b long, sha string, open array<long>"), "substring-base")
+    least = plain.filter(f"n_words >= {WINDOW} AND doc_id IS NOT NULL").groupBy("a", "b").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").drop("most")
+    least = stored(least, "substring-least")  # a table of its own, like those below: a hot key's side of its join can be split
+    base = plain.join(least, ["a", "b"], "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False))).drop("a", "b", "least")
     base = stored(base, "substring-copies")
 
     known = rows.filter("doc_id IS NOT NULL")
     symbols = known.mapInArrow(_symbols, "symbol long, doc_id long, row long, packed long")
     shared = symbols.groupBy("symbol").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("symbol")
-    shared = stored(shared, "substring-shared")  # a table of its own: a hot symbol's side of the join can be split
-    hits = symbols.select("symbol", "row", "packed").join(shared, "symbol").groupBy("row").agg(F.collect_set("packed").alias("hits"))
-    live = base.filter(f"NOT copy AND n_words >= {WINDOW} AND doc_id IS NOT NULL").select("row", "doc_id", "open")
-    ranges = stored(live.join(hits, "row", "left").mapInArrow(_ranges, "row long, doc_id long, ranges array<long>").dropDuplicates(["row"]), "substring-ranges")
-
-    near = maybe_present(known.select("row", "text"), "row", presence(ranges.select("row")))
-    windows = ranges.join(near, "row").select("row", "doc_id", "ranges", "text").mapInArrow(_windows, "h1 long, h2 long, doc_id long, row long")
+    shared = stored(shared, "substring-shared")
+    some = maybe_present(symbols, "symbol", presence(shared, FILTER), FILTER)  # most symbols occur once: they need no shuffle
+    hits = some.join(shared, "symbol").groupBy(*name).agg(F.collect_set("packed").alias("hits"))
+    live = base.filter(f"NOT copy AND n_words >= {WINDOW} AND doc_id IS NOT NULL").select(*name, "open")
+    ranges = stored(live.join(hits, name, "left").mapInArrow(_ranges, "row long, doc_id long, ranges array<long>").dropDuplicates(name), "substring-ranges")
+
+    near = maybe_present(known, "row", presence(ranges.select("row")))
+    windows = stored(ranges.join(near, name).select(*name, "ranges", "text").mapInArrow(_windows, "h1 long, h2 long, doc_id long, row long"), "substring-windows")
     first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").drop("most")
     first = stored(first, "substring-first")
-    later = windows.join(first, ["h1", "h2"]).filter("doc_id > least").groupBy("row").agg(F.collect_set("h1").alias("names"))
+    later = windows.join(first, ["h1", "h2"]).filter("doc_id > least").groupBy(*name).agg(F.collect_set("h1").alias("names"))
     later = stored(later, "substring-repeats")
+    discard(plain, least, shared, ranges, windows, first)
 
-    near = maybe_present(known.select("row", "text"), "row", presence(later.select("row")))
-    cut = later.join(near, "row").select("row", "names", "text").mapInArrow(_cut, "row long, n_removed long, cut_sha string, cut_text string")
-    return base, cut.dropDuplicates(["row"])
+    near = maybe_present(known, "row", presence(later.select("row")))
+    cut = later.join(near, name).select(*name, "names", "text").mapInArrow(_cut, "row long, doc_id long, n_removed long, cut_sha string, cut_text string")
+    return base, cut.dropDuplicates(name)
 
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_words, n_removed, kept_sha256) for each row of ``docs``."""
     base, cut = _found(docs, key, text)
-    return base.join(cut.drop("cut_text"), "row", "left").select(
+    return base.join(cut.drop("cut_text"), ["row", "doc_id"], "left").select(
         F.col("doc_id").alias(key),
         "n_words",
         F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
@@ -286,7 +294,12 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     A text that loses words becomes its kept words, joined by one space.
     """
     base, cut = _found(docs, key, text)
-    change = stored(base.filter("copy").select("row", F.lit("").alias("_cut")).unionByName(cut.select("row", F.col("cut_text").alias("_cut"))).dropDuplicates(["row"]), "substring-cuts")
-    marked = docs.withColumn("_row", F.xxhash64(key, text))
-    new = F.when(F.col("_cut").isNotNull(), F.col("_cut")).otherwise(F.col(text))
-    return marked.join(change.withColumnRenamed("row", "_row"), "_row", "left").select(*[new.alias(text) if c == text else F.col(c) for c in docs.columns])
+    name = ["row", "doc_id"]
+    change = base.filter("copy").select(*name, F.lit("").alias("cut")).unionByName(cut.select(*name, F.col("cut_text").alias("cut")))
+    change = stored(change.dropDuplicates(name), "substring-cuts")
+    # the row's own columns under one name, so that none clashes
+    marked = docs.select(F.struct(*docs.columns).alias("all"), F.xxhash64(key, text).alias("row"), F.col(key).cast("bigint").alias("doc_id"))
+    kept = maybe_present(marked, "row", presence(change.select("row")), present=False)  # these need no shuffle
+    rest = maybe_present(marked, "row", presence(change.select("row"))).join(change, name, "left")
+    new = F.coalesce("cut", f"all.{text}")
+    return kept.select("all.*").unionByName(rest.select(*[new.alias(text) if c == text else F.col(f"all.`{c}`") for c in docs.columns]))
