@@ -29,7 +29,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import new_path, stored
+from .shared import maybe_present, new_path, presence, stored
 
 GAP, CHUNK, PER_FILE = 1 << 16, 1 << 23, 20_000
 END = "\r\n\r\n"
@@ -44,28 +44,52 @@ def base32_sha1(data: Column) -> Column:
     return F.translate(F.upper(F.concat(*letters)), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def records(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", smallest: int = 0) -> DataFrame:
-    """(record): the text of each page's record, without the blank lines after it."""
-    base = pages.select(F.col(key).cast("bigint").alias("id"), F.coalesce(F.col(url), F.lit("")).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
-    base = base.withColumn("digest", base32_sha1(F.col("html").cast("binary"))).withColumn("bytes", F.octet_length("html"))
-    last = base.filter(F.col("bytes") >= smallest).groupBy("digest").agg(F.max("id").alias("last"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").select("digest", "last")
-    typed = base.join(last, "digest", "left").withColumn("revisit", (F.col("bytes") >= smallest) & F.coalesce(F.coalesce("id", F.lit(-(1 << 63))) < F.col("last"), F.lit(False)))
+def _records(rows: DataFrame, revisit: bool) -> DataFrame:
+    """(record) of rows (id, url, digest and html or last), without the blank lines after a record."""
     line = lambda name, value: F.concat(F.lit(name + ": "), value, F.lit("\r\n"))
     target = F.regexp_replace(F.regexp_replace("url", "%", "%25"), r"[\x00-\x20\x7F]", "%20")
-    body = F.when(F.col("revisit"), F.lit("")).otherwise(F.concat(F.lit(HTTP), F.col("html")))
+    page = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(">"))
+    body = F.lit("") if revisit else F.concat(F.lit(HTTP), F.col("html"))
+    refers = [line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To", page("last"))] if revisit else []
     head = F.concat(
         F.lit("WARC/1.1\r\n"),
-        line("WARC-Type", F.when(F.col("revisit"), F.lit("revisit")).otherwise(F.lit("response"))),
-        line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(">"))),
+        line("WARC-Type", F.lit("revisit" if revisit else "response")),
+        line("WARC-Record-ID", page("id")),
         line("WARC-Date", F.lit("2020-01-01T00:00:00Z")),
         line("WARC-Target-URI", target),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
-        F.when(F.col("revisit"), F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("last").cast("string"), F.lit(">"))))).otherwise(F.lit("")),
+        *refers,
         line("Content-Type", F.lit("application/http; msgtype=response")),
         line("Content-Length", F.octet_length(body).cast("string")),
         F.lit("\r\n"),
     )
-    return typed.select(F.concat(head, body).alias("record"))
+    return rows.select(F.concat(head, body).alias("record"))
+
+
+def records(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", smallest: int = 0) -> DataFrame:
+    """(record): the text of each page's record, without the blank lines after it.
+
+    Payloads stay where they are: the digests alone say which repeat, and only the
+    responses of repeated payloads are joined with their html.
+    """
+    base = pages.select(F.col(key).cast("bigint").alias("id"), F.coalesce(F.col(url), F.lit("")).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
+    base = base.withColumn("digest", base32_sha1(F.col("html").cast("binary")))
+    light = stored(base.select("id", "url", "digest", F.octet_length("html").alias("bytes")), "warc-digests")
+    last = light.filter(F.col("bytes") >= smallest).groupBy("digest").agg(F.max("id").alias("last"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").select("digest", "last")
+    last = stored(last, "warc-repeated")  # a table of its own: a hot digest's side of the joins can be split
+    seem = maybe_present(light, "digest", presence(last.select("digest")))
+    repeated = seem.filter(F.col("bytes") >= smallest).join(last, "digest").withColumn("revisit", F.coalesce(F.coalesce("id", F.lit(-(1 << 63))) < F.col("last"), F.lit(False)))
+    answer = stored(repeated.filter("NOT revisit").select("digest", F.col("id").alias("_id")).distinct(), "warc-answers")
+    single = maybe_present(base, "digest", presence(last.select("digest")), present=False)
+    mark = F.xxhash64("digest", "id")
+    some = maybe_present(base, "digest", presence(last.select("digest"))).withColumn("_mark", mark)
+    answers = maybe_present(some, "_mark", presence(answer.select(F.xxhash64("digest", "_id").alias("m")))).join(answer.withColumnRenamed("digest", "_digest"), F.expr("digest = _digest AND id <=> _id"), "left_semi")
+    # payloads that seem repeated to the filter, or would be if they were longer, and are not
+    others = seem.filter(F.col("bytes") < smallest).unionByName(seem.filter(F.col("bytes") >= smallest).join(last, "digest", "left_anti"))
+    others = stored(others.select(F.col("digest").alias("_digest"), F.col("id").alias("_id")).distinct(), "warc-others")
+    others = maybe_present(some, "_mark", presence(others.select(F.xxhash64("_digest", "_id").alias("m")))).join(others, F.expr("digest = _digest AND id <=> _id"), "left_semi")
+    responses = single.select("id", "url", "digest", "html").unionByName(answers.select("id", "url", "digest", "html")).unionByName(others.select("id", "url", "digest", "html"))
+    return _records(responses, False).unionByName(_records(repeated.filter("revisit"), True))
 
 
 def write(pages: DataFrame, path: str, per_file: int = PER_FILE, **names) -> None:
@@ -142,39 +166,55 @@ def ranges(rows: list[tuple[int, int]], gap: int = GAP, chunk: int = CHUNK) -> l
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by file and offset; each batch's ranges are read in order."""
+    """Rows come sorted by file and offset; each batch's ranges are read in order and yielded ``CHUNK`` bytes at a time.
+
+    All columns are parsed from the records themselves.
+    """
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.string()]
+    names = ["page_id", "record_type", "refers_to", "payload", "digest"]
     path, f = None, None
     for batch in batches:
-        names = batch.column(0).to_pylist()
-        at, length, pay_at, kinds, pages, refers = (batch.column(i).to_pylist() for i in range(1, 7))
-        out, begin = [], 0
-        while begin < len(names):
+        files = batch.column(0).to_pylist()
+        at, length, pay_at = (batch.column(i).to_pylist() for i in range(1, 4))
+        begin = 0
+        while begin < len(files):
             end = begin
-            while end < len(names) and names[end] == names[begin]:
+            while end < len(files) and files[end] == files[begin]:
                 end += 1
-            if names[begin] != path:
-                path, f = names[begin], _open(names[begin])
+            if files[begin] != path:
+                path, f = files[begin], _open(files[begin])
+            out, held = [], 0
             for a, b, places in ranges(list(zip(at[begin:end], length[begin:end], strict=True))):
                 f.seek(a)
                 block = f.read(b - a)
                 for i in places:
-                    i += begin
-                    payload = block[at[i] - a + pay_at[i]:at[i] - a + length[i]] if kinds[i] == "response" else None
-                    digest = None if payload is None else base64.b32encode(hashlib.sha1(payload).digest()).decode()
-                    out.append((pages[i], kinds[i], refers[i], payload, digest))
+                    record = block[at[begin + i] - a:at[begin + i] - a + length[begin + i]]
+                    head = _head(record[:record.index(b"\r\n\r\n")])
+                    claimed = head["WARC-Payload-Digest"].removeprefix("sha1:")
+                    if head["WARC-Type"] == "revisit":
+                        out.append((_page(head["WARC-Record-ID"]), "revisit", _page(head["WARC-Refers-To"]), None, claimed))
+                        continue
+                    payload = record[pay_at[begin + i]:]
+                    found = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+                    if found != claimed:
+                        raise ValueError(f"{path}: the payload at {at[begin + i]} has digest {found}, not {claimed}")
+                    out.append((_page(head["WARC-Record-ID"]), "response", None, payload, found))
+                held += b - a
+                if held >= CHUNK:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+                    out, held = [], 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
             begin = end
-        if out:
-            cols = list(zip(*out, strict=True))
-            kinds_ = [pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds_, strict=True)], ["page_id", "record_type", "refers_to", "payload", "digest"])
 
 
 def read(selected: DataFrame) -> DataFrame:
     """(page_id, record_type, refers_to, payload, digest) of index rows, from their byte ranges.
 
-    Payload and digest (of the bytes read) are null for revisit records.
+    A response's digest is that of the bytes read, and has to be what its header claims; a
+    revisit record has no payload, and the digest that its header claims.
     """
-    rows = selected.select("file", "offset", "length", "payload_at", "record_type", "page_id", "refers_to")
+    rows = selected.select("file", "offset", "length", "payload_at")
     parts = F.floor(F.col("offset") / F.lit(CHUNK * 8))  # a large archive is read by several tasks
     rows = rows.withColumn("_p", parts).repartition("file", "_p").sortWithinPartitions("file", "offset").drop("_p")
     return rows.mapInArrow(_read, "page_id long, record_type string, refers_to long, payload binary, digest string")
@@ -184,16 +224,16 @@ def round_trip(pages: DataFrame, **names) -> DataFrame:
     """Write all pages, index the archives, read every record back.
 
     (page_id, payload_bytes, payload_digest, record_type, refers_to); a revisit has the
-    bytes and digest of the response that it refers to.
+    bytes of the response that it refers to.
     """
     spark = pages.sparkSession
     path = new_path(spark, "warc")
     write(pages, path, **names)
-    known = index(spark, path)
-    got = stored(read(known).select("page_id", "record_type", "refers_to", F.length("payload").cast("bigint").alias("payload_bytes"), F.col("digest").alias("payload_digest")), "warc-read")
-    own = got.filter("record_type = 'response'")
-    first = own.filter("page_id IS NOT NULL").select(F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("b"), F.col("payload_digest").alias("d"))
+    got = read(index(spark, path)).select("page_id", F.length("payload").cast("bigint").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to")
+    got = stored(got, "warc-read")
+    own, revisit = got.filter("record_type = 'response'"), got.filter("record_type = 'revisit'").drop("payload_bytes")
     # rows may share an id: the digest in the revisit's own header picks the response
-    claims = known.filter("record_type = 'revisit'").select("page_id", "refers_to", F.col("payload_digest").alias("d"))
-    revisit = claims.join(first.distinct(), ["refers_to", "d"], "left").select("page_id", F.col("b").alias("payload_bytes"), F.col("d").alias("payload_digest"), F.lit("revisit").alias("record_type"), "refers_to")
-    return own.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").unionByName(revisit)
+    first = own.filter("page_id IS NOT NULL").select(F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest").distinct()
+    first = maybe_present(first, "payload_digest", presence(revisit.select("payload_digest")))
+    revisit = revisit.join(first, ["refers_to", "payload_digest"], "left")
+    return own.unionByName(revisit.select(own.columns))
