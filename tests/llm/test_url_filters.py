@@ -42,3 +42,12 @@ def test_against_plain_rules(spark):
     assert {x.page_id: tuple(x)[1:] for x in got} == {k: brute(u) for k, u in URLS.items()}
     assert url_filters.judge(pages, rules.limit(0), default="block").filter("verdict = 'block'").count() == len(URLS) + 1
     assert url_filters.judge(pages.limit(0), rules).count() == 0
+
+
+def test_hosts_of_many_labels(spark):
+    """Only as many labels are expanded as rules have, so such a url costs no more than its length."""
+    deep = "a." * 100_000
+    pages = spark.createDataFrame([(1, f"http://{deep}net/es/x"), (2, f"http://{deep}net.org/es/x"), (3, "http://" + "." * 5000 + "/fr/")], "page_id long, url string")
+    rules = spark.createDataFrame(url_filters.RULES, "verdict string, host string, path string")
+    got = {x.page_id: (x.rule, x.verdict) for x in url_filters.judge(pages, rules).collect()}
+    assert got == {1: ("net/es/", "block"), 2: (None, "allow"), 3: (None, "allow")}
