@@ -1,13 +1,12 @@
 """SQL twins of the queries, for an independent engine.
 
 The classifier, the piece lattice, decontamination and the pipeline have none: training,
-lattice search and item-sized windows are tested against brute force instead.  So is
-sharding, as that engine has no CRC-32.
+lattice search and item-sized windows are tested against brute force instead.
 """
 
 from __future__ import annotations
 
-from . import licenses, quality_rules, url_filters
+from . import licenses, quality_rules, sharding, url_filters
 
 _PLAIN = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 _WORD = r"'[^\x20\x09-\x0D]+'"
@@ -101,6 +100,21 @@ SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda
     CAST((CAST('0x' || substr(x, CAST(i // 4 * 5 + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - i % 4 * 5 AS BIGINT)) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest,
   CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id < top THEN top END AS refers_to FROM b"""
 
+
+
+def _shards(shards: int = 16) -> str:
+    """CRC-32 folded over the bytes with its table; a draw's order is that of its bits, as all weights are equal."""
+    bits = lambda s: f"CAST('0x' || substr(md5(k || ':{s}'), 1, 13) AS BIGINT)"
+    return f"""WITH crcs AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, j: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+u AS (SELECT DISTINCT coalesce(text, '') AS text FROM documents),
+h AS (SELECT text, hex(encode(text)) AS x, strlen(text) AS n FROM u),
+c AS (SELECT text, n, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(n), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT))), lambda c, v: xor(c >> 8, t[xor(c & 255, v) + 1]))) AS text_crc32 FROM h, crcs),
+d AS (SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), 'null') AS k, CAST(n + 1 AS BIGINT) AS size, text_crc32 FROM documents JOIN c ON c.text = coalesce(documents.text, '')),
+e AS (SELECT *, [{", ".join(bits(s) for s in range(shards + 1))}] AS b FROM d),
+f AS (SELECT doc_id, size, text_crc32, CAST(list_position(b, list_max(b[1:{shards}])) - 1 AS INTEGER) AS shard, CAST(list_position(b, list_max(b)) - 1 AS INTEGER) AS grown_shard, CAST('0x' || substr(md5(k || '/' || text_crc32), 1, 8) AS BIGINT) % {sharding.CELLS} AS cell FROM e)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY cell, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard FROM f"""
+
+
 ORACLES: dict[str, str] = {
     "op3_license_scans": _licenses(),
     "op4_recompression": _SUBSTRINGS,
@@ -108,4 +122,5 @@ ORACLES: dict[str, str] = {
     "op6_quality_rules": _quality(),
     "op8_url_filters": _urls(),
     "op9_warc": _WARC,
+    "op10_rendezvous_sharding": _shards(),
 }

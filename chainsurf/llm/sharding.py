@@ -7,7 +7,8 @@ w shares of the keys.
 
 Slots number the rows of a shard from 0 without gaps.  They come from two levels: the
 row's number within its cell (one of ``CELLS`` per shard, by md5 of key and content)
-plus the rows of the earlier cells, so no task ever holds a whole shard.
+plus the rows of the earlier cells, so no task ever holds a whole shard.  Equal rows are
+counted before they are dealt out, and become rows again at the end.
 
 Defined cases: a null key draws as the text ``null``; null and empty texts have size 1
 and crc 0; repeated rows get different slots of one shard; an empty table gives an
@@ -48,20 +49,17 @@ def assign(docs: DataFrame, weights: list[float], key: str = "doc_id", text: str
     t = F.coalesce(F.col(text), F.lit(""))
     crc = F.crc32(t.cast("binary"))
     cell = F.conv(F.substring(F.md5(F.concat_ws("/", F.coalesce(F.col(key).cast("string"), F.lit("null")), crc.cast("string"))), 1, 8), 16, 10).cast("bigint") % cells
-    rows = stored(
-        docs.select(F.col(key), (F.octet_length(t) + 1).cast("bigint").alias("size"), crc.alias("text_crc32"), choose_and_grow(F.col(key), weights).alias("_to"), cell.cast("int").alias("_cell"))
-        .select(key, "size", "text_crc32", F.col("_to.shard").alias("shard"), F.col("_to.grown").alias("grown_shard"), "_cell"),
-        "shards",
-    )
-    counts = rows.groupBy("shard", "_cell").agg(F.count(F.lit(1)).alias("n"))  # at most shards x cells rows
+    rows = docs.select(F.col(key), (F.octet_length(t) + 1).cast("bigint").alias("size"), crc.alias("text_crc32"), choose_and_grow(F.col(key), weights).alias("_to"), cell.cast("int").alias("_cell"))
+    rows = rows.select(key, "size", "text_crc32", F.col("_to.shard").alias("shard"), F.col("_to.grown").alias("grown_shard"), "_cell")
+    rows = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_n"))  # equal rows travel as one
+    rows = stored(rows, "shards")
+    counts = rows.groupBy("shard", "_cell").agg(F.sum("_n").alias("n"))  # at most shards x cells rows
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1))
     starts = counts.select("shard", "_cell", F.coalesce(before, F.lit(0)).alias("_start"))
-    own = F.row_number().over(Window.partitionBy("shard", "_cell").orderBy(F.col(key), "text_crc32", "size"))
-    return (
-        rows.withColumn("_own", own)
-        .join(F.broadcast(starts), ["shard", "_cell"])
-        .select(key, "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("_start") + F.col("_own") - 1).alias("slot"), "grown_shard")
-    )
+    own = F.coalesce(F.sum("_n").over(Window.partitionBy("shard", "_cell").orderBy(F.col(key), "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = rows.withColumn("_own", own).join(starts, ["shard", "_cell"])
+    each = placed.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)))
+    return each.select(key, "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("_start") + F.col("_own") + F.col("_i")).alias("slot"), "grown_shard")
 
 
 def write_shards(docs: DataFrame, path: str, weights: list[float], key: str = "doc_id") -> None:
