@@ -1,9 +1,11 @@
 """Licence scans by template markup: optional and replaceable regions, mandatory words.
 
-A template is plain words with ``<<opt>> words <</opt>>`` (may be missing) and
-``<<var a b>>`` (any a to b words).  It compiles to a token automaton that accepts a
-place of a text if the mandatory words stand there exactly.  Its first two words are
-mandatory; they find the starts, and the automaton runs from there.
+A template is plain words with ``<<opt>> ... <</opt>>`` (may be missing; holds words,
+replaceable and further optional regions) and ``<<var a b>>`` (any a to b words).  It
+compiles to a token automaton that accepts a place of a text if the mandatory words stand
+there exactly.  Its first two words are mandatory; they find the starts, and the automaton
+runs from there.  Starts and base phrases are found by 64-bit names of words and confirmed
+by the words themselves.
 
 Defined cases: null and empty texts have no words, no labels and score 0; overlapping
 places all count; repeated rows each get a result; an empty table gives an empty
@@ -35,28 +37,57 @@ TEMPLATES = [
     ("this work is licensed under <<opt>> the <</opt>> <<opt>> gnu <</opt>> general public license <<opt>> version <</opt>> 3", "gpl-3.0"),
     ("redistribution and use in source and binary forms with or without modification are permitted", "bsd"),
     ("copyright c <<var 1 8>> all rights reserved", "copyright-reserved"),
+    # whole texts
+    (
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files <<opt>> the software <</opt>> "
+        "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software "
+        "and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice "
+        "<<opt>> including the next paragraph <</opt>> shall be included in all copies or substantial portions of the software "
+        "<<opt>> the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability "
+        "fitness for a particular purpose and noninfringement in no event shall the <<opt>> authors or copyright holders <</opt>> <<opt>> <<var 1 12>> <</opt>> be liable <</opt>>",
+        "mit-text",
+    ),
+    (
+        "permission to use copy modify and <<opt>> or <</opt>> distribute this software for any purpose with or without fee is hereby granted "
+        "<<opt>> provided that the above copyright notice and this permission notice appear in all copies <</opt>> the software is provided as is and <<var 1 8>> disclaims all warranties "
+        "with regard to this software including all implied warranties of merchantability and fitness",
+        "isc-text",
+    ),
+    (
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+        "<<opt>> 1 <</opt>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+        "<<opt>> 2 <</opt>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution "
+        "<<opt>> <<opt>> 3 <</opt>> neither the name of <<var 1 12>> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission <</opt>> "
+        "this software is provided by <<var 1 12>> as is",
+        "bsd-text",
+    ),
+    (
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu <<opt>> <<var 1 1>> <</opt>> general public license as published by the free software foundation "
+        "<<opt>> either <</opt>> version <<var 1 2>> of the license <<opt>> or at your option any later version <</opt>>",
+        "gnu-notice",
+    ),
 ]
 
 
 def parts(template: str) -> list[tuple]:
-    """[("word", w), ("opt", [words]), ("var", a, b), ...]."""
-    out, inside = [], None
+    """[("word", w), ("opt", parts), ("var", a, b), ...]."""
+    levels: list[list[tuple]] = [[]]
     for t in re.findall(r"<<[^>]*>>|[^\s<]+", template):
         if t == "<<opt>>":
-            inside = []
+            levels.append([])
         elif t == "<</opt>>":
-            out.append(("opt", inside))
-            inside = None
+            inside = levels.pop()
+            if not levels:
+                raise ValueError(f"a region ends that has not begun: {template}")
+            levels[-1].append(("opt", inside))
         elif t.startswith("<<var"):
             a, b = t[5:-2].split()
-            out.append(("var", int(a), int(b)))
-        elif inside is not None:
-            inside.append(t)
+            levels[-1].append(("var", int(a), int(b)))
         else:
-            out.append(("word", t))
-    if [p[0] for p in out[:2]] != ["word", "word"]:
-        raise ValueError(f"a template starts with two mandatory words: {template}")
-    return out
+            levels[-1].append(("word", t))
+    if len(levels) > 1 or [p[0] for p in levels[0][:2]] != ["word", "word"]:
+        raise ValueError(f"a template starts with two mandatory words and closes its regions: {template}")
+    return levels[0]
 
 
 class Automaton:
@@ -65,23 +96,25 @@ class Automaton:
     def __init__(self, template: str):
         self.step: list[list[tuple[bytes | None, int]]] = [[]]
         self.skip: list[list[int]] = [[]]
-        for p in parts(template):
+        self._compile(parts(template))
+        self.end = len(self.step) - 1
+        self.longest = self.end
+
+    def _compile(self, some: list[tuple]) -> None:
+        for p in some:
+            start = len(self.step) - 1
             if p[0] == "word":
                 self._add(p[1].encode())
             elif p[0] == "opt":
-                start = len(self.step) - 1
-                for w in p[1]:
-                    self._add(w.encode())
+                self._compile(p[1])
                 self.skip[start].append(len(self.step) - 1)
             else:
-                places = [len(self.step) - 1]
+                places = [start]
                 for _ in range(p[2]):
                     self._add(None)
                     places.append(len(self.step) - 1)
                 for s in places[p[1]:-1]:
                     self.skip[s].append(places[-1])
-        self.end = len(self.step) - 1
-        self.longest = self.end
 
     def _add(self, word: bytes | None) -> None:
         self.step[-1].append((word, len(self.step)))
@@ -111,10 +144,11 @@ class Automaton:
 
 def pattern(template: str) -> str:
     """The same template as a regular expression over `` word word ... word ``."""
-    out = ""
-    for p in parts(template):
-        out += f" {p[1]}" if p[0] == "word" else "( " + " ".join(p[1]) + ")?" if p[0] == "opt" else f"( [^ ]+){{{p[1]},{p[2]}}}"
-    return out + " "
+
+    def of(some: list[tuple]) -> str:
+        return "".join(f" {p[1]}" if p[0] == "word" else f"({of(p[1])})?" if p[0] == "opt" else f"( [^ ]+){{{p[1]},{p[2]}}}" for p in some)
+
+    return of(parts(template)) + " "
 
 
 def _names(phrase: list[str]) -> np.ndarray:
@@ -123,7 +157,7 @@ def _names(phrase: list[str]) -> np.ndarray:
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    base = [(_names(k.split()), v) for k, v in PHRASES.items()]
+    base = [(_names(k.split()), k.encode().split(), v) for k, v in PHRASES.items()]
     machines = [(Automaton(t), _names(t.split()[:2]), label) for t, label in TEMPLATES]
     for batch in batches:
         for at, to, data, offsets in slices(batch.column(1)):
@@ -132,14 +166,14 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             count, first, last = np.zeros(n, np.int64), np.full(n, np.iinfo(np.int64).max), np.full(n, -1)
             plain: list[set] = [set() for _ in range(n)]
             more: list[set] = [set() for _ in range(n)]
-            for want, label in base:
+            for want, phrase, label in base:
                 k = len(want)
                 if len(names) < k:
                     continue
                 hit = words.doc[: len(names) - k + 1] == words.doc[k - 1:]
                 for j in range(k):
                     hit &= names[j:len(names) - k + 1 + j] == want[j]
-                places = np.flatnonzero(hit)
+                places = np.array([i for i in np.flatnonzero(hit).tolist() if [words.word(i + j) for j in range(k)] == phrase], np.int64)
                 d = words.doc[places]
                 np.add.at(count, d, 1)
                 np.minimum.at(first, d, places - words.first[d])

@@ -50,5 +50,26 @@ def test_automaton():
         licenses.Automaton("<<opt>> a <</opt>> b")
 
 
+def test_nested_regions():
+    a = licenses.Automaton("x y <<opt>> o <<opt>> p <<var 1 2>> <</opt>> q <</opt>> z")
+    accepts = lambda t: bool(a.accepts([w.encode() for w in t.split()]))
+    assert accepts("x y z") and accepts("x y o q z") and accepts("x y o p 1 q z") and accepts("x y o p 1 2 q z")
+    assert not accepts("x y o z") and not accepts("x y o p q z") and not accepts("x y o p 1 2 3 q z")
+    for bad in ("x y <<opt>> z", "x y z <</opt>>"):
+        with pytest.raises(ValueError):
+            licenses.parts(bad)
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction,
+including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so,
+subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."""
+
+
+def test_whole_texts(spark):
+    docs = {1: MIT, 2: "x " + MIT.upper(), 3: MIT.replace("sublicense", "sub license"), 4: MIT[:-12]}
+    got = {x.doc_id: x.labels for x in licenses.scan(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()}
+    assert got == {1: "mit,mit-text", 2: "mit,mit-text", 3: "mit", 4: "mit"}
+
+
 def test_empty_table(spark):
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
