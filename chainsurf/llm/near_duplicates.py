@@ -265,6 +265,7 @@ def _chunks(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(p, q, i, side, node): tasks of one node x each with a bounded number of its partners y."""
     sized = pairs.join(nodes.select(F.col("node").alias("y"), "n"), "y")
     many = sized.groupBy("x").agg(F.ceil(F.greatest(F.count(F.lit(1)) / CHUNK, F.sum("n") / BLOCK_SHINGLES)).cast("long").alias("parts"))
+    many = stored(many, "near-hubs")  # a table of its own, so that a hub's pairs can be split
     cut = pairs.join(many, "x").withColumn("i", F.pmod(F.xxhash64("y"), F.col("parts")))
     ones = many.select("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("i"), F.lit(0).alias("side"), F.col("x").alias("node"))
     rows = cut.select("x", "i", F.lit(1).alias("side"), F.col("y").alias("node")).union(ones)
