@@ -41,13 +41,14 @@ def next_monthly(days: DataFrame, listed: DataFrame) -> DataFrame:
     """
     here = third_friday(F.col("trade_date"))
     friday = F.when(here >= F.col("trade_date"), here).otherwise(third_friday(F.add_months(F.trunc("trade_date", "MM"), 1)))
-    wanted = days.withColumn("_fri", friday).withColumn("_thu", F.date_sub("_fri", 1))
-    known = listed.select("ticker", "expiration").distinct()
-    fridays = known.select("ticker", F.col("expiration").alias("_fri"), F.lit(True).alias("_has_fri"))
-    thursdays = known.select("ticker", F.col("expiration").alias("_thu"), F.lit(True).alias("_has_thu"))
-    out = wanted.join(fridays, ["ticker", "_fri"], "left").join(thursdays, ["ticker", "_thu"], "left")
-    snapped = F.when(F.col("_has_fri").isNull() & F.col("_has_thu"), F.col("_thu")).otherwise(F.col("_fri"))
-    return out.withColumn("next_monthly", snapped).select(*days.columns, "next_monthly")
+    exp, third = F.col("expiration"), third_friday(F.col("expiration"))
+    known = listed.groupBy("ticker").agg(  # at most one entry for each month of a ticker
+        F.collect_set(F.when(exp == third, exp)).alias("_fridays"),
+        F.collect_set(F.when(exp == F.date_sub(third, 1), third)).alias("_thursdays"),
+    )
+    out = days.withColumn("_fri", friday).join(known, "ticker", "left")
+    early = ~F.array_contains("_fridays", F.col("_fri")) & F.array_contains("_thursdays", F.col("_fri"))
+    return out.withColumn("next_monthly", F.when(early, F.date_sub("_fri", 1)).otherwise(F.col("_fri"))).select(*days.columns, "next_monthly")
 
 
 def refresh_window(as_of: date) -> dict[str, tuple[date, date]]:

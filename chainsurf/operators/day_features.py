@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import above, band, below, change, days_to_expiry, dte_bucket, gated_zscore, moneyness, safe_div
 from ..schemas import DAY_KEY, SPOTS
-from .asof import as_of_prior, spot_same_day
+from .asof import spots
 from .calendar import next_monthly
 
 BUCKETS = {"0_30": (0, 30), "31_90": (31, 90), "91_365": (91, 365)}
@@ -20,11 +20,9 @@ SIDES = {"all": None, "call": "C", "put": "P"}
 BANDS = {"within_5pct": lambda m: band(m, 0.05), "within_10pct": lambda m: band(m, 0.10), "above_spot": above, "below_spot": below}
 
 
-def day_dim(chain: DataFrame, ohlc: DataFrame, listed: DataFrame | None = None) -> DataFrame:
-    """(ticker, trade_date, spot_pc, spot_co, next_monthly) of every chain day."""
-    days = chain.select(*DAY_KEY).distinct()
-    prior = as_of_prior(days, ohlc, "close", "spot_pc")
-    return next_monthly(spot_same_day(prior, ohlc), listed if listed is not None else chain)
+def day_dim(chain: DataFrame, ohlc: DataFrame, listed: DataFrame | None = None, gate: bool = False) -> DataFrame:
+    """(ticker, trade_date, spot_pc, spot_co, next_monthly) of every chain day; ``gate`` drops tickers without prices."""
+    return next_monthly(spots(chain.select(*DAY_KEY), ohlc, gate), listed if listed is not None else chain)
 
 
 def with_dte(chain: DataFrame) -> DataFrame:
@@ -83,8 +81,8 @@ def per_day(strikes: DataFrame) -> DataFrame:
     return strikes.groupBy(*DAY_KEY, "spot_pc", "spot_co").agg(*[v.alias(c) for c, v in out.items()])
 
 
-def day_rows(chain: DataFrame, ohlc: DataFrame, listed: DataFrame | None = None) -> DataFrame:
-    return per_day(rank_strikes(strike_level(joined(chain, day_dim(chain, ohlc, listed)))))
+def day_rows(chain: DataFrame, ohlc: DataFrame, listed: DataFrame | None = None, gate: bool = False) -> DataFrame:
+    return per_day(rank_strikes(strike_level(joined(chain, day_dim(chain, ohlc, listed, gate)))))
 
 
 def with_ratios(days: DataFrame) -> DataFrame:
@@ -127,6 +125,11 @@ def with_zscores(days: DataFrame, n: int = 60) -> DataFrame:
     return days.withColumns({z: gated_zscore(c, n) for z, c in ZSCORES.items()})
 
 
+def over_days(days: DataFrame) -> DataFrame:
+    """Day rows with their ratios, changes and z-scores."""
+    return with_zscores(with_lags(with_ratios(days)))
+
+
 def oi_features(chain: DataFrame, ohlc: DataFrame, listed: DataFrame | None = None) -> DataFrame:
     """All features that come from open interest, one row per (ticker, trade_date)."""
-    return with_zscores(with_lags(with_ratios(day_rows(chain, ohlc, listed))))
+    return over_days(day_rows(chain, ohlc, listed))

@@ -7,13 +7,12 @@ from datetime import date, timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.asof import ticker_gate
 from ..operators.calendar import BUFFER_DAYS
-from ..operators.day_features import oi_features
+from ..operators.day_features import day_rows, over_days
 from ..operators.ohlc_features import ohlc_features
 from ..operators.quality import align_schema
 from ..schemas import DAY_KEY, FEATURES
-from ..sources.store import filter_range, listed_expirations
+from ..sources.store import filter_range
 
 
 def slice_range(df: DataFrame, start) -> DataFrame:
@@ -32,10 +31,11 @@ def daily_features(chain: DataFrame, ohlc: DataFrame, start=None, end=None) -> D
     prices are cut at ``end`` too, so forward returns near it may be null.  Expirations
     count as listed over the full history.  Tickers need both chain and price rows.
     """
-    listed = listed_expirations(chain)
+    listed = chain
     if start is not None:
         start = date.fromisoformat(str(start)[:10])
         end = date.fromisoformat(str(end)[:10]) if end is not None else date.today()
         chain, ohlc = (filter_range(x, start - timedelta(days=BUFFER_DAYS), end) for x in (chain, ohlc))
-    out = oi_features(ticker_gate(chain, ohlc), ohlc, listed).join(ohlc_features(ohlc), DAY_KEY, "left")
-    return align_schema(nan_to_null(slice_range(out, start)), FEATURES)
+    # prices join the day rows while these are still dealt by day; the windows by ticker come last
+    days = day_rows(chain, ohlc, listed, gate=True).join(ohlc_features(ohlc), DAY_KEY, "left")
+    return align_schema(nan_to_null(slice_range(over_days(days), start)), FEATURES)

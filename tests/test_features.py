@@ -108,11 +108,22 @@ def test_range_equals_slice_of_full(spark):
         assert x.oi_above_spot_pc is None or x.oi_above_spot_pc + x.oi_below_spot_pc <= x.total_oi
 
 
-def test_one_shuffle_of_the_chain(spark):
-    """From the joined rows to the day rows the plan exchanges the chain once."""
-    table = chain(spark, [(n, 10, 100, "C", 5) for n in range(5)])
-    rows = table.select("ticker", "trade_date", "expiration", "strike", "option_type", "open_interest")
-    days = day_features.day_dim(table, prices(spark, [(0, 1.0, 1.0)]))
-    plan = day_features.per_day(day_features.rank_strikes(day_features.strike_level(day_features.joined(rows, days.hint("merge")))))._jdf.queryExecution().executedPlan().toString()
-    top = plan[: plan.index("SortMergeJoin")]
-    assert "Exchange" not in top
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_exchanges(spark):
+    """Eight exchanges in all, and one of the whole chain: from the joined rows to the day rows there is none."""
+    for k, v in (("spark.sql.autoBroadcastJoinThreshold", "-1"), ("spark.sql.adaptive.enabled", "false")):
+        spark.conf.set(k, v)
+    try:
+        table = chain(spark, [(n, 10, 100, "C", 5) for n in range(5)])
+        series = prices(spark, [(0, 1.0, 1.0)])
+        plan = plan_of(daily_features(table, series))
+        assert plan.count("Exchange hashpartitioning") <= 8
+        rows = day_features.per_day(day_features.rank_strikes(day_features.strike_level(day_features.joined(table, day_features.day_dim(table, series)))))
+        plan = plan_of(rows)
+        assert "Exchange" not in plan[: plan.index("SortMergeJoin")]
+    finally:
+        for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled"):
+            spark.conf.unset(k)
