@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .schemas import CONTRACT_KEY, OHLC
+from .schemas import CONTRACT_KEY, OHLC, OI
 
 TICKERS = ("A", "N", "R")
 
@@ -30,9 +30,9 @@ def chain(spark: SparkSession, sf_dir: str) -> DataFrame:
         moved.alias("expiration"),
         (80 + F.lit(2.5) * (F.col("l_partkey") % 17)).cast("double").alias("strike"),
         F.when(F.col("l_linestatus") == "F", "C").otherwise("P").alias("option_type"),
-        F.col("l_quantity").cast("bigint").alias("open_interest"),
+        F.col("l_quantity").cast("bigint").alias(OI),
     )
-    return rows.groupBy(*CONTRACT_KEY).agg(F.sum("open_interest").alias("open_interest"))
+    return rows.groupBy(*CONTRACT_KEY).agg(F.sum(OI).alias(OI))
 
 
 def ohlc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +57,7 @@ items AS (
 ), chain AS (
   SELECT ticker, trade_date,
     CASE WHEN day(e0) BETWEEN 15 AND 21 AND month(e0) = 4 THEN e0 - 1 WHEN day(e0) BETWEEN 15 AND 21 AND month(e0) = 9 THEN e0 + 7 ELSE e0 END AS expiration,
-    CAST(80 + 2.5 * (part % 17) AS DOUBLE) AS strike, CASE status WHEN 'F' THEN 'C' ELSE 'P' END AS option_type, CAST(sum(oi) AS BIGINT) AS open_interest
+    CAST(80 + 2.5 * (part % 17) AS DOUBLE) AS strike, CASE status WHEN 'F' THEN 'C' ELSE 'P' END AS option_type, CAST(sum(oi) AS BIGINT) AS oi
   FROM dated GROUP BY ALL
 )"""
 OHLC_SQL = """
@@ -86,9 +86,9 @@ def payloads(rows: DataFrame, shape: str) -> DataFrame:
         F.when(k == 82.5, "2024-02-30").otherwise(when).alias("expiration"),
         F.when(k == 87.5, "n/a").otherwise(k.cast("string")).alias("strike"),
         F.when(k == 80, "X").otherwise(right).alias("right"),
-        F.when(k == 85, 0).otherwise(F.col("open_interest")).alias("open_interest"),
+        F.when(k == 85, 0).otherwise(F.col(OI)).alias(OI),
     )
-    names = ["expiration", "strike", "right", "open_interest"]
+    names = ["expiration", "strike", "right", OI]
     if shape == "header":
         body = F.to_json(F.struct(F.struct(F.array(*map(F.lit, names)).alias("format")).alias("header"), F.collect_list(F.array(*[F.col(n).cast("string") for n in names])).alias("response")))
     elif shape == "columnar":
@@ -101,4 +101,4 @@ def payloads(rows: DataFrame, shape: str) -> DataFrame:
 
 
 #: The chain rows that survive the dirt of ``payloads``.
-CLEAN_SQL = "SELECT ticker, trade_date, expiration, strike, option_type, open_interest FROM chain WHERE strike NOT IN (80, 82.5, 85, 87.5)"
+CLEAN_SQL = "SELECT ticker, trade_date, expiration, strike, option_type, oi FROM chain WHERE strike NOT IN (80, 82.5, 85, 87.5)"

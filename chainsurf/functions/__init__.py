@@ -33,17 +33,6 @@ def dte_bucket(dte: Column, lo: int, hi: int) -> Column:
     return dte.between(lo, hi)
 
 
-def known_sum(amount: Column, flag: Column) -> Column:
-    """Sum of the amounts whose flag is true; rows with an unknown flag don't count, and all unknown gives null."""
-    return F.sum(F.when(flag, amount).when(~flag, F.lit(0)))
-
-
-def weighted_mean(value: Column, weight: Column, cond: Column | None = None) -> Column:
-    """sum(value * weight) / sum(weight) of the rows where ``cond`` holds; null without weight."""
-    w = weight if cond is None else F.when(cond, weight)
-    return safe_div(F.sum(value * w), F.sum(w))
-
-
 def finite_or_null(c: Column) -> Column:
     return F.when(~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))), c)
 
@@ -66,10 +55,6 @@ def norm_ticker(c: Column) -> Column:
     return F.upper(F.trim(c))
 
 
-def year_of(c: Column) -> Column:
-    return F.year(c)
-
-
 def third_friday(c: Column) -> Column:
     """The third Friday of the date's month."""
     return F.date_add(F.next_day(F.date_sub(F.trunc(c, "MM"), 1), "FRI"), 14)

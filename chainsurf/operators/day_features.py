@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import above, band, below, change, days_to_expiry, dte_bucket, gated_zscore, moneyness, safe_div
-from ..schemas import DAY_KEY, SPOTS
+from ..schemas import DAY_KEY, OI, SPOTS
 from .asof import spots
 from .calendar import next_monthly
 
@@ -31,7 +31,7 @@ def with_dte(chain: DataFrame) -> DataFrame:
 
 def joined(chain: DataFrame, days: DataFrame) -> DataFrame:
     """The chain with dte, spots, next_monthly and front (is this the day's nearest live expiry?)."""
-    rows = with_dte(chain.select(*DAY_KEY, "expiration", "strike", "option_type", "open_interest")).join(days, DAY_KEY)
+    rows = with_dte(chain.select(*DAY_KEY, "expiration", "strike", "option_type", OI)).join(days, DAY_KEY)
     nearest = F.min(F.when(F.col("dte") >= 0, F.col("expiration"))).over(Window.partitionBy(*DAY_KEY))
     return rows.withColumn("front", F.coalesce(F.col("expiration") == nearest, F.lit(False)))
 
@@ -43,7 +43,7 @@ def _where(side: str | None, lo_hi: tuple[int, int] | None = None) -> Column:
 
 def strike_level(rows: DataFrame) -> DataFrame:
     """One row per day and strike; a sum is null where no row of its kind stands at the strike."""
-    oi = F.col("open_interest")
+    oi = F.col(OI)
     sums = {f"{n}_oi": F.sum(F.when(_where(s), oi)) for n, s in SIDES.items()}
     sums |= {f"{n}_oi_{b}": F.sum(F.when(_where(s, r), oi)) for b, r in BUCKETS.items() for n, s in SIDES.items()}
     sums |= {"dte_oi": F.sum(F.col("dte") * oi), "front_oi": F.sum(F.when(F.col("front"), oi)), "nm_oi": F.sum(F.when(F.col("expiration") == F.col("next_monthly"), oi))}

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..schemas import CHAIN, CONTRACT_KEY, DAY_KEY, FEATURES, OHLC
+from ..schemas import CHAIN, CONTRACT_KEY, DAY_KEY, FEATURES, OHLC, OI
 from ..sources.store import PARTITIONED
 from .quality import align_schema
 
@@ -20,8 +20,8 @@ SEQ = "_seq"
 def coerce_chain(df: DataFrame) -> DataFrame:
     """Canonical columns and types; a bad strike becomes null, a missing interest is an error."""
     typed = df.withColumn("strike", F.col("strike").try_cast("double"))
-    oi = F.when(F.col("open_interest").isNull(), F.raise_error(F.lit("open_interest is null"))).otherwise(F.col("open_interest"))
-    return align_schema(typed.withColumn("open_interest", oi), CHAIN)
+    oi = F.when(F.col(OI).isNull(), F.raise_error(F.lit(f"{OI} is null"))).otherwise(F.col(OI))
+    return align_schema(typed.withColumn(OI, oi), CHAIN)
 
 
 def in_order(*batches: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from .functions import days_to_expiry, finite_or_null, moneyness, parse_ymd, thi
 from .operators import asof, calendar, day_features, merge, ohlc_features, quality, views
 from .plans import jobs
 from .plans.features import daily_features
-from .schemas import DAY_KEY, FEATURE_COLUMNS, FEATURES, SPOTS
+from .schemas import DAY_KEY, FEATURE_COLUMNS, FEATURES, OI, SPOTS
 from .sources import payloads, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,10 +25,10 @@ FROM, TO = "1998-03-01", "1998-06-30"
 
 
 def query(sql: str, needs: str = "co"):
-    """Register a function of (chain, ohlc) under its name, with SQL over the same two tables."""
+    """Register a function of (chain, ohlc) under its name, with SQL over the same two tables; interest is called oi in both."""
 
     def add(f):
-        QUERIES[f.__name__.rstrip("_")] = lambda spark, d: f(adapter.chain(spark, d), adapter.ohlc(spark, d))
+        QUERIES[f.__name__.rstrip("_")] = lambda spark, d: f(adapter.chain(spark, d), adapter.ohlc(spark, d)).withColumnRenamed(OI, "oi")
         ORACLES[f.__name__.rstrip("_")] = f"WITH {CHAIN_SQL}, {OHLC_SQL}" + ("" if sql.lstrip().startswith(",") else "\n") + sql
         return f
 
@@ -40,8 +41,12 @@ def rounded(df: DataFrame, *prefixes: str) -> DataFrame:
 
 
 def new_root(spark: SparkSession, what: str) -> str:
-    """A fresh path for a store, in the folder that the cluster shares; a local one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="spark-")
+    """A fresh path for a store, in the folder that the cluster shares; a local one only where that is unset and all runs on this machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that the cluster shares")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-")
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
@@ -127,16 +132,16 @@ def ingest_history(chain, ohlc):
 @query(
     """, cal AS (SELECT DISTINCT trade_date AS day FROM ohlc WHERE isodow(trade_date) < 6), clean AS (""" + CLEAN_SQL + """),
 last AS (SELECT d.trade_date, coalesce(max(day), d.trade_date) AS on_day FROM (SELECT DISTINCT trade_date FROM clean) d LEFT JOIN cal ON day BETWEEN d.trade_date - 10 AND d.trade_date GROUP BY d.trade_date)
-SELECT ticker, on_day AS trade_date, expiration, strike, option_type, CAST(sum(open_interest) AS BIGINT) AS open_interest FROM clean JOIN last USING (trade_date) GROUP BY ALL"""
+SELECT ticker, on_day AS trade_date, expiration, strike, option_type, CAST(sum(oi) AS BIGINT) AS oi FROM clean JOIN last USING (trade_date) GROUP BY ALL"""
 )
 def ingest_snapshot(chain, ohlc):
     days = ohlc.select("trade_date").distinct().filter(F.weekday("trade_date") < 5)
     return payloads.ingest_snapshot(_landed(chain).withColumnRenamed("requested_date", "taken_on"), days)
 
 
-@query("SELECT ticker, trade_date, expiration, strike, option_type, CAST(3 * open_interest AS BIGINT) AS open_interest FROM chain")
+@query("SELECT ticker, trade_date, expiration, strike, option_type, CAST(3 * oi AS BIGINT) AS oi FROM chain")
 def dedupe_sum(chain, ohlc):
-    return payloads.dedupe_sum(chain.unionByName(chain.withColumn("open_interest", F.col("open_interest") * 2)))
+    return payloads.dedupe_sum(chain.unionByName(chain.withColumn(OI, F.col(OI) * 2)))
 
 
 @query("SELECT ticker, trade_date, count(*) + count(*) FILTER (WHERE option_type = 'C') AS n_raw, count(*) AS n_distinct, count(*) FILTER (WHERE option_type = 'C') AS n_dropped FROM chain GROUP BY ALL")
@@ -161,7 +166,7 @@ def finite_or_null_(chain, ohlc):
     return ohlc.select(*DAY_KEY, finite_or_null(bad).alias("close"))
 
 
-@query("SELECT ticker, CAST(year(trade_date) AS INTEGER) AS year, trade_date, expiration, strike, option_type, open_interest FROM chain WHERE ticker = 'R' AND trade_date >= DATE '1997-06-01'")
+@query("SELECT ticker, CAST(year(trade_date) AS INTEGER) AS year, trade_date, expiration, strike, option_type, oi FROM chain WHERE ticker = 'R' AND trade_date >= DATE '1997-06-01'")
 def read_range(chain, ohlc):
     return store.read_range(chain.withColumn("year", F.year("trade_date")), "r", "1997-06-01", None)
 
@@ -169,10 +174,10 @@ def read_range(chain, ohlc):
 # ---- merges ------------------------------------------------------------------------------
 
 
-@query("SELECT ticker, trade_date, expiration, strike, option_type, CASE WHEN option_type = 'P' THEN open_interest * 100 WHEN strike > 100 THEN open_interest * 10 ELSE open_interest END AS open_interest FROM chain")
+@query("SELECT ticker, trade_date, expiration, strike, option_type, CASE WHEN option_type = 'P' THEN oi * 100 WHEN strike > 100 THEN oi * 10 ELSE oi END AS oi FROM chain")
 def merge_keep_last(chain, ohlc):
-    first = chain.filter("strike > 100").withColumn("open_interest", F.col("open_interest") * 10)
-    second = chain.filter("option_type = 'P'").withColumn("open_interest", F.col("open_interest") * 100)
+    first = chain.filter("strike > 100").withColumn(OI, F.col(OI) * 10)
+    second = chain.filter("option_type = 'P'").withColumn(OI, F.col(OI) * 100)
     return merge.merge_keep_last(merge.in_order(chain, first, second), merge.CONTRACT_KEY)
 
 
@@ -198,16 +203,43 @@ def range_replace(chain, ohlc):
     return merge.range_replaced(old, new, FROM, TO)
 
 
-@query("SELECT ticker, trade_date, expiration, strike, option_type, CASE WHEN strike > 100 THEN open_interest * 2 ELSE open_interest END AS open_interest FROM chain WHERE option_type = 'C' OR strike > 100")
+@query("SELECT ticker, trade_date, expiration, strike, option_type, CASE WHEN strike > 100 THEN oi * 2 ELSE oi END AS oi FROM chain WHERE option_type = 'C' OR strike > 100")
 def upsert_chain(chain, ohlc):
     """Two batches through the partitioned store."""
     spark = chain.sparkSession
     root = new_root(spark, "chain")
     merge.upsert_chain(chain.filter("option_type = 'C'"), root)
-    merge.upsert_chain(chain.filter("strike > 100").withColumn("open_interest", F.col("open_interest") * 2), root)
+    merge.upsert_chain(chain.filter("strike > 100").withColumn(OI, F.col(OI) * 2), root)
     return store.read_chain(spark, root).drop("year")
 
 
+@query(ORACLES["upsert_ohlc"].split("\n")[-1])
+def upsert_ohlc_sink(chain, ohlc):
+    """Two batches through the partitioned price store."""
+    spark = chain.sparkSession
+    root = new_root(spark, "ohlc")
+    merge.upsert_ohlc(ohlc, root)
+    merge.upsert_ohlc(ohlc.filter("volume > 1").withColumn("close", F.col("close") + 1), root)
+    return store.read_ohlc(spark, root)
+
+
+@query(f"SELECT *, CAST(year(trade_date) AS INTEGER) AS year FROM chain WHERE ticker = 'R' AND trade_date BETWEEN DATE '{FROM}' AND DATE '{TO}'")
+def store_read_range(chain, ohlc):
+    """A range of one ticker from the partitioned store; both ends count, other partitions are skipped."""
+    root = new_root(chain.sparkSession, "chain")
+    merge.upsert_chain(chain, root)
+    return store.read_range(store.read_chain(chain.sparkSession, root), "r", FROM, TO)
+
+
+@query("SELECT *, CAST(year(trade_date) AS INTEGER) AS year FROM chain WHERE ticker = 'N' AND year(trade_date) IN (SELECT max(year(trade_date)) FROM chain WHERE ticker = 'N')")
+def store_read_last_year(chain, ohlc):
+    """The last year that the store lists for a ticker."""
+    root = new_root(chain.sparkSession, "chain")
+    merge.upsert_chain(chain, root)
+    held = store.read_chain(chain.sparkSession, root)
+    return store.read_year(held, "n", store.list_years(held, "n").agg(F.max("year")).first()[0])
+
+
 @query("SELECT ticker, CAST(year(trade_date) AS INTEGER) AS year, count(*) AS n_source, count(*) AS n_stored, true AS matches FROM chain GROUP BY ALL")
 def export_by_year(chain, ohlc):
     """A raw table moved into the store, then both counted."""
@@ -263,6 +295,19 @@ def next_monthly(chain, ohlc):
     return calendar.next_monthly(chain.select(*DAY_KEY).distinct(), chain)
 
 
+@query(
+    """, m AS (SELECT max(trade_date) AS d FROM chain), w(part, lo, hi) AS (SELECT 'ohlc', d - 10, d FROM m UNION ALL SELECT 'chain', d - 10, d FROM m UNION ALL SELECT 'features', d - 45, d FROM m UNION ALL SELECT 'buffer', d - 175, d FROM m)
+SELECT part, count(*) AS n, min(trade_date) AS first_day FROM chain JOIN w ON trade_date BETWEEN lo AND hi GROUP BY part"""
+)
+def refresh_window(chain, ohlc):
+    """The chain rows of each range of a daily refresh on the last chain day."""
+    out = None
+    for part, (start, end) in calendar.refresh_window(chain.agg(F.max("trade_date")).first()[0]).items():
+        rows = store.filter_range(chain, start, end).groupBy(F.lit(part).alias("part")).agg(F.count(F.lit(1)).alias("n"), F.min("trade_date").alias("first_day"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query("SELECT ticker, trade_date, expiration, CAST(expiration - trade_date AS INTEGER) AS dte FROM chain GROUP BY ALL")
 def dte(chain, ohlc):
     return chain.select(*DAY_KEY, "expiration").distinct().withColumn("dte", days_to_expiry(F.col("expiration"), F.col("trade_date")))
@@ -308,16 +353,16 @@ def _feature_sql() -> str:
     sides = {"all": "true", "call": "option_type = 'C'", "put": "option_type = 'P'"}
     spans = {"0_30": "dte BETWEEN 0 AND 30", "31_90": "dte BETWEEN 31 AND 90", "91_365": "dte BETWEEN 91 AND 365"}
     bands = {"within_5pct": "abs(m_{s}) <= 0.05", "within_10pct": "abs(m_{s}) <= 0.10", "above_spot": "m_{s} > 0", "below_spot": "m_{s} < 0"}
-    oi = "CAST(coalesce(sum(open_interest) FILTER (WHERE {c}), 0) AS BIGINT)"
-    mean = "sum(strike * open_interest) FILTER (WHERE {c}) / nullif(sum(open_interest) FILTER (WHERE {c}), 0)"
-    day = ["CAST(sum(open_interest) AS BIGINT) AS total_oi"]
+    oi = "CAST(coalesce(sum(oi) FILTER (WHERE {c}), 0) AS BIGINT)"
+    mean = "sum(strike * oi) FILTER (WHERE {c}) / nullif(sum(oi) FILTER (WHERE {c}), 0)"
+    day = ["CAST(sum(oi) AS BIGINT) AS total_oi"]
     day += [f"{oi.format(c=sides[n])} AS {n}_oi" for n in ("call", "put")]
     day += [f"CASE WHEN spot_{s} > 0 THEN {oi.format(c=c.format(s=s))} END AS oi_{b}_{s}" for b, c in bands.items() for s in SPOTS]
     day += [f"{mean.format(c=c)} AS oi_weighted_{n}" for n, c in sides.items()]
     day += [f"{mean.format(c=f'{c} AND {r}')} AS oi_weighted_{n}_{b}d" for b, r in spans.items() for n, c in sides.items()]
     day += [f"{oi.format(c=r)} AS oi_{b}" for b, r in spans.items()]
-    day += ["CAST(sum(dte * open_interest) AS DOUBLE) / nullif(sum(open_interest), 0) AS weighted_avg_dte", "sum(open_interest) FILTER (WHERE expiration = front) AS front_oi"]
-    day += ["sum(open_interest) FILTER (WHERE expiration = next_monthly) AS nm_oi", "sum(strike * open_interest) FILTER (WHERE expiration = next_monthly) AS nm_strike_oi"]
+    day += ["CAST(sum(dte * oi) AS DOUBLE) / nullif(sum(oi), 0) AS weighted_avg_dte", "sum(oi) FILTER (WHERE expiration = front) AS front_oi"]
+    day += ["sum(oi) FILTER (WHERE expiration = next_monthly) AS nm_oi", "sum(strike * oi) FILTER (WHERE expiration = next_monthly) AS nm_strike_oi"]
     share = lambda a, b="total_oi": f"CAST({a} AS DOUBLE) / nullif({b}, 0)"
     ratio = {"put_call_oi_ratio": share("put_oi", "call_oi"), "pct_oi_in_front_expiry": share("front_oi"), "pct_oi_next_monthly": share("nm_oi")}
     ratio |= {f"top{n}_strikes_pct_total_oi": share(f"top{n}_oi") for n in (5, 10)} | {f"pct_oi_{b}d": share(f"oi_{b}") for b in spans}
@@ -338,9 +383,9 @@ def _feature_sql() -> str:
 j AS (SELECT c.*, spot_pc, spot_co, next_monthly, CAST(expiration - c.trade_date AS INTEGER) AS dte, CASE WHEN spot_pc > 0 THEN strike / spot_pc - 1 END AS m_pc, CASE WHEN spot_co > 0 THEN strike / spot_co - 1 END AS m_co,
   min(CASE WHEN expiration >= c.trade_date THEN expiration END) OVER (PARTITION BY c.ticker, c.trade_date) AS front FROM chain c JOIN dim USING (ticker, trade_date)),
 base AS (SELECT ticker, trade_date, spot_pc, spot_co, {", ".join(day)} FROM j GROUP BY ticker, trade_date, spot_pc, spot_co),
-strikes AS (SELECT ticker, trade_date, strike, CAST(sum(open_interest) AS BIGINT) AS oi, row_number() OVER (PARTITION BY ticker, trade_date ORDER BY sum(open_interest) DESC) AS rk FROM chain GROUP BY ticker, trade_date, strike),
+strikes AS (SELECT ticker, trade_date, strike, CAST(sum(oi) AS BIGINT) AS oi, row_number() OVER (PARTITION BY ticker, trade_date ORDER BY sum(oi) DESC) AS rk FROM chain GROUP BY ticker, trade_date, strike),
 tops AS (SELECT ticker, trade_date, CAST(sum(oi) FILTER (WHERE rk <= 5) AS BIGINT) AS top5_oi, CAST(sum(oi) FILTER (WHERE rk <= 10) AS BIGINT) AS top10_oi FROM strikes GROUP BY ALL),
-heads AS (SELECT ticker, trade_date, option_type, strike FROM chain GROUP BY ticker, trade_date, option_type, strike QUALIFY row_number() OVER (PARTITION BY ticker, trade_date, option_type ORDER BY sum(open_interest) DESC, strike) = 1),
+heads AS (SELECT ticker, trade_date, option_type, strike FROM chain GROUP BY ticker, trade_date, option_type, strike QUALIFY row_number() OVER (PARTITION BY ticker, trade_date, option_type ORDER BY sum(oi) DESC, strike) = 1),
 d AS (SELECT b.*, t.top5_oi, t.top10_oi, c.strike AS max_oi_strike_call, p.strike AS max_oi_strike_put FROM base b JOIN tops t USING (ticker, trade_date)
   LEFT JOIN heads c ON c.ticker = b.ticker AND c.trade_date = b.trade_date AND c.option_type = 'C' LEFT JOIN heads p ON p.ticker = b.ticker AND p.trade_date = b.trade_date AND p.option_type = 'P'),
 r AS (SELECT *, {cols(ratio)} FROM d),
@@ -356,8 +401,8 @@ pf AS (SELECT ticker, trade_date, """ + ", ".join(
 ) + " FROM rets)"
 
 
-def _days(columns: list[str], build=None, sql: str | None = None):
-    """A query that returns some columns of the day rows."""
+def _days(columns: list[str]) -> str:
+    """SQL for some columns of the day rows."""
     return FEATURE_SQL + f" SELECT ticker, trade_date, {', '.join(columns)} FROM oif"
 
 
@@ -391,7 +436,7 @@ day_query("oi_lags", ["d1_total_oi_change", "d5_total_oi_change", "d20_total_oi_
 day_query("ratio_lags", [f"d{n}_put_call_oi_ratio_change" for n in (1, 5)] + [f"d{n}_oi_weighted_all_div_spot_change_{s}" for n in (1, 5) for s in SPOTS], lags=True)
 
 
-@query(", s AS (SELECT ticker, trade_date, strike, CAST(sum(open_interest) AS BIGINT) AS all_oi, CAST(sum(open_interest) FILTER (WHERE option_type = 'C') AS BIGINT) AS call_oi, CAST(sum(open_interest) FILTER (WHERE option_type = 'P') AS BIGINT) AS put_oi FROM chain GROUP BY ALL) SELECT * FROM s")
+@query(", s AS (SELECT ticker, trade_date, strike, CAST(sum(oi) AS BIGINT) AS all_oi, CAST(sum(oi) FILTER (WHERE option_type = 'C') AS BIGINT) AS call_oi, CAST(sum(oi) FILTER (WHERE option_type = 'P') AS BIGINT) AS put_oi FROM chain GROUP BY ALL) SELECT * FROM s")
 def strike_level(chain, ohlc):
     rows = day_features.joined(chain, day_features.day_dim(chain, ohlc))
     return day_features.strike_level(rows).select(*DAY_KEY, "strike", "all_oi", "call_oi", "put_oi")
@@ -469,6 +514,54 @@ def rebuild_jobs(chain, ohlc):
     return spark.read.schema(FEATURES).parquet(f"{root}/features").select(*DAY_KEY, *_KEPT)
 
 
+@query(FEATURE_SQL + PRICE_SQL + f" SELECT {', '.join(FEATURE_COLUMNS)} FROM oif LEFT JOIN pf USING (ticker, trade_date)")
+def rebuild_full(chain, ohlc):
+    """A full rebuild of the feature store, all columns."""
+    spark = chain.sparkSession
+    root = new_root(spark, "store")
+    merge.upsert_chain(chain, f"{root}/chain")
+    merge.upsert_ohlc(ohlc, f"{root}/ohlc")
+    jobs.rebuild(spark, root)
+    return rounded(spark.read.schema(FEATURES).parquet(f"{root}/features").select(*FEATURE_COLUMNS), "zscore_", "rv_")
+
+
+AS_OF = date.fromisoformat(TO)
+#: The chain after ``_refreshed``: the last days came as payloads, whose dirt is gone; the day's puts still are the snapshot's.
+REFRESHED_SQL = f""", refreshed AS (SELECT ticker, trade_date, expiration, strike, option_type, CAST(CASE WHEN trade_date = DATE '{AS_OF}' AND option_type = 'P' THEN 2 * oi ELSE oi END AS BIGINT) AS oi FROM chain
+WHERE trade_date < DATE '{AS_OF}' - 10 OR strike NOT IN (80, 82.5, 85, 87.5) AND (trade_date <= DATE '{AS_OF}' OR trade_date = DATE '{AS_OF}' + 1 AND option_type = 'C'))"""
+
+
+def _refreshed(chain: DataFrame, ohlc: DataFrame) -> str:
+    """A store of older rows, a daily refresh, and the next day's: its late history overwrites the calls of the snapshot."""
+    spark, day = chain.sparkSession, F.col("trade_date")
+    root, ago, next_day = new_root(spark, "daily"), AS_OF - timedelta(days=10), AS_OF + timedelta(days=1)
+    merge.upsert_chain(chain.filter(day < ago), f"{root}/chain")
+    merge.upsert_ohlc(ohlc.filter(day < ago), f"{root}/ohlc")
+    days = chain.select("trade_date").distinct()
+    prices = store.filter_range(ohlc, ago, next_day)
+    landed = adapter.payloads(store.filter_range(chain, ago, AS_OF - timedelta(days=1)), "header")
+    snapshot = adapter.payloads(chain.filter(day == AS_OF).withColumn(OI, F.col(OI) * 2), "records").withColumnRenamed("requested_date", "taken_on")
+    jobs.daily_refresh(spark, root, AS_OF, prices, landed, snapshot, days)
+    late = adapter.payloads(store.filter_range(chain, AS_OF, next_day).filter("option_type = 'C'"), "columnar")
+    jobs.daily_refresh(spark, root, next_day, prices, late, snapshot.limit(0), days)
+    return root
+
+
+@query(REFRESHED_SQL + " SELECT * FROM refreshed")
+def daily_refresh_chain(chain, ohlc):
+    return store.read_chain(chain.sparkSession, _refreshed(chain, ohlc) + "/chain").drop("year")
+
+
+@query(
+    REFRESHED_SQL
+    + f""" SELECT ticker, trade_date, CAST(sum(oi) AS BIGINT) AS total_oi, CAST(coalesce(sum(oi) FILTER (WHERE option_type = 'C'), 0) AS BIGINT) AS call_oi, CAST(coalesce(sum(oi) FILTER (WHERE option_type = 'P'), 0) AS BIGINT) AS put_oi
+FROM refreshed WHERE trade_date BETWEEN DATE '{AS_OF}' - 45 AND DATE '{AS_OF}' + 1 GROUP BY ticker, trade_date"""
+)
+def daily_refresh_features(chain, ohlc):
+    rows = chain.sparkSession.read.schema(FEATURES).parquet(_refreshed(chain, ohlc) + "/features")
+    return rows.select(*DAY_KEY, "total_oi", "call_oi", "put_oi")
+
+
 # ---- views -------------------------------------------------------------------------------
 
 SURFACE_SQL = ", surface AS (SELECT c.*, CAST(expiration - c.trade_date AS SMALLINT) AS dte, o.close AS spot_close, CASE WHEN o.close > 0 THEN strike / o.close - 1 END AS moneyness FROM chain c LEFT JOIN ohlc o ON o.ticker = c.ticker AND o.trade_date = c.trade_date), latest AS (SELECT * FROM surface s WHERE trade_date = (SELECT max(trade_date) FROM surface x WHERE x.ticker = s.ticker))"
@@ -479,7 +572,7 @@ def build_surface(chain, ohlc):
     return views.build_surface(chain, ohlc)
 
 
-@query(SURFACE_SQL + " SELECT * FROM surface WHERE open_interest >= 10 AND dte <= 200 AND abs(moneyness) <= 0.15")
+@query(SURFACE_SQL + " SELECT * FROM surface WHERE oi >= 10 AND dte <= 200 AND abs(moneyness) <= 0.15")
 def build_surface_filtered(chain, ohlc):
     return views.build_surface(chain, ohlc, min_oi=10, max_dte=200, max_abs_moneyness=0.15)
 
@@ -489,15 +582,15 @@ def surface_latest(chain, ohlc):
     return views.surface_latest(views.build_surface(chain, ohlc))
 
 
-@query(SURFACE_SQL + " SELECT *, CAST(row_number() OVER (PARTITION BY ticker ORDER BY open_interest DESC, expiration, strike, option_type) AS INTEGER) AS oi_rank FROM latest QUALIFY oi_rank <= 25")
+@query(SURFACE_SQL + " SELECT *, CAST(row_number() OVER (PARTITION BY ticker ORDER BY oi DESC, expiration, strike, option_type) AS INTEGER) AS oi_rank FROM latest QUALIFY oi_rank <= 25")
 def top_nodes_latest(chain, ohlc):
     return views.top_nodes_latest(views.build_surface(chain, ohlc))
 
 
 @query(
     SURFACE_SQL
-    + """, p AS (SELECT *, lag(open_interest) OVER (PARTITION BY ticker, expiration, strike, option_type ORDER BY trade_date) AS oi_prev FROM surface)
-SELECT ticker, trade_date, expiration, dte, strike, option_type, open_interest AS oi_today, oi_prev, open_interest - oi_prev AS oi_change, CASE WHEN oi_prev > 0 THEN CAST(open_interest - oi_prev AS DOUBLE) / oi_prev END AS oi_pct_change, spot_close, moneyness FROM p"""
+    + """, p AS (SELECT *, lag(oi) OVER (PARTITION BY ticker, expiration, strike, option_type ORDER BY trade_date) AS oi_prev FROM surface)
+SELECT ticker, trade_date, expiration, dte, strike, option_type, oi AS oi_today, oi_prev, oi - oi_prev AS oi_change, CASE WHEN oi_prev > 0 THEN CAST(oi - oi_prev AS DOUBLE) / oi_prev END AS oi_pct_change, spot_close, moneyness FROM p"""
 )
 def oi_changes_daily(chain, ohlc):
     return views.oi_changes_daily(views.build_surface(chain, ohlc))
@@ -505,9 +598,9 @@ def oi_changes_daily(chain, ohlc):
 
 @query(
     SURFACE_SQL
-    + """ SELECT ticker, trade_date, expiration, dte, CAST(sum(open_interest) AS BIGINT) AS total_oi, CAST(coalesce(sum(open_interest) FILTER (WHERE option_type = 'C'), 0) AS BIGINT) AS call_oi,
-CAST(coalesce(sum(open_interest) FILTER (WHERE option_type = 'P'), 0) AS BIGINT) AS put_oi, count(*) AS n_strikes, min(strike) AS min_strike, max(strike) AS max_strike, round(avg(spot_close), 6) AS spot_close,
-sum(strike * open_interest) / nullif(sum(open_interest), 0) AS oi_weighted_strike FROM surface GROUP BY ticker, trade_date, expiration, dte"""
+    + """ SELECT ticker, trade_date, expiration, dte, CAST(sum(oi) AS BIGINT) AS total_oi, CAST(coalesce(sum(oi) FILTER (WHERE option_type = 'C'), 0) AS BIGINT) AS call_oi,
+CAST(coalesce(sum(oi) FILTER (WHERE option_type = 'P'), 0) AS BIGINT) AS put_oi, count(*) AS n_strikes, min(strike) AS min_strike, max(strike) AS max_strike, round(avg(spot_close), 6) AS spot_close,
+sum(strike * oi) / nullif(sum(oi), 0) AS oi_weighted_strike FROM surface GROUP BY ticker, trade_date, expiration, dte"""
 )
 def oi_concentration(chain, ohlc):
     return views.oi_concentration(views.build_surface(chain, ohlc)).withColumn("spot_close", F.round("spot_close", 6))
@@ -521,7 +614,7 @@ def features_with_returns(chain, ohlc):
 @query(
     SURFACE_SQL
     + """, f AS (SELECT ticker, trade_date, min(expiration) AS expiration FROM surface WHERE dte >= 0 GROUP BY ticker, trade_date)
-SELECT s.*, CAST(row_number() OVER (PARTITION BY ticker, trade_date ORDER BY open_interest DESC, strike, option_type) AS INTEGER) AS rank_in_front FROM surface s JOIN f USING (ticker, trade_date, expiration) WHERE abs(moneyness) <= 0.05"""
+SELECT s.*, CAST(row_number() OVER (PARTITION BY ticker, trade_date ORDER BY oi DESC, strike, option_type) AS INTEGER) AS rank_in_front FROM surface s JOIN f USING (ticker, trade_date, expiration) WHERE abs(moneyness) <= 0.05"""
 )
 def pin_candidates(chain, ohlc):
     return views.pin_candidates(views.build_surface(chain, ohlc))
@@ -532,6 +625,19 @@ def front_rows(chain, ohlc):
     return views.front_rows(views.build_surface(chain, ohlc))
 
 
+_VIEWS = {"oi_surface_latest": "surface_latest", "oi_top_nodes_latest": "top_nodes_latest", "oi_changes_daily": "oi_changes_daily", "oi_concentration": "oi_concentration", "features_with_returns": "features_with_returns", "pin_candidates": "pin_candidates"}
+
+
+@query(" UNION ALL ".join(f"SELECT 'v_{v}' AS name, count(*) AS n FROM ({ORACLES[q]})" for v, q in _VIEWS.items()))
+def register_views(chain, ohlc):
+    """The rows of each registered view, read by its name."""
+    spark, out = chain.sparkSession, None
+    for name in views.register_views(views.build_surface(chain, ohlc), daily_features(chain, ohlc), ohlc):
+        rows = spark.table(name).agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 # ---- quality -----------------------------------------------------------------------------
 
 
@@ -540,9 +646,9 @@ def check_unique(chain, ohlc):
     return quality.check_unique(chain, ["ticker", "expiration"])
 
 
-@query(SURFACE_SQL + " SELECT 'open_interest' AS \"column\", count(*) - count(open_interest) AS n_null FROM surface UNION ALL SELECT 'spot_close', count(*) - count(spot_close) FROM surface")
+@query(SURFACE_SQL + " SELECT 'oi' AS \"column\", count(*) - count(oi) AS n_null FROM surface UNION ALL SELECT 'spot_close', count(*) - count(spot_close) FROM surface")
 def check_not_null(chain, ohlc):
-    return quality.check_not_null(views.build_surface(chain, ohlc), ["open_interest", "spot_close"])
+    return quality.check_not_null(views.build_surface(chain, ohlc).withColumnRenamed(OI, "oi"), ["oi", "spot_close"])
 
 
 @query("SELECT option_type AS value, count(*) AS n FROM chain WHERE option_type <> 'C' GROUP BY ALL")

@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import finite_or_null, norm_ticker, normalise_right, parse_ymd
-from ..schemas import OHLC
+from ..schemas import OHLC, OI
 
-FIELDS = ["expiration", "strike", "right", "open_interest", "date"]
+FIELDS = ["expiration", "strike", "right", OI, "date"]
 
 
 def _record(at) -> Column:
@@ -86,7 +86,7 @@ def records(df: DataFrame, col: str = "payload") -> DataFrame:
 
 
 def normalise_payload(df: DataFrame, col: str = "payload") -> DataFrame:
-    """Rows of all three shapes, with text fields expiration, strike, right, open_interest, date."""
+    """Rows of all three shapes, with the text fields ``FIELDS``."""
     return _rows(df, col, "header columnar records")
 
 
@@ -97,10 +97,10 @@ def clean_chain(df: DataFrame) -> DataFrame:
             "expiration": parse_ymd(F.col("expiration")),
             "option_type": normalise_right(F.col("right")),
             "strike": F.col("strike").try_cast("double"),
-            "open_interest": F.col("open_interest").try_cast("double").try_cast("bigint"),
+            OI: F.col(OI).try_cast("double").try_cast("bigint"),
         }
     )
-    return typed.filter("expiration IS NOT NULL AND option_type IS NOT NULL AND strike IS NOT NULL AND NOT isnan(strike) AND open_interest <> 0").drop("right")
+    return typed.filter(f"expiration IS NOT NULL AND option_type IS NOT NULL AND strike IS NOT NULL AND NOT isnan(strike) AND {OI} <> 0").drop("right")
 
 
 def stamp_trade_date(df: DataFrame, requested: str | Column, mode: str = "history") -> DataFrame:
@@ -121,7 +121,7 @@ KEYS = ["ticker", "trade_date", "expiration", "strike", "option_type"]
 
 def dedupe_sum(df: DataFrame) -> DataFrame:
     """One row per contract and day: interest of repeated rows is summed."""
-    return df.groupBy(*KEYS).agg(F.sum("open_interest").alias("open_interest"))
+    return df.groupBy(*KEYS).agg(F.sum(OI).alias(OI))
 
 
 def dup_report(df: DataFrame) -> DataFrame:

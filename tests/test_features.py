@@ -4,10 +4,10 @@ from datetime import date, timedelta
 
 from chainsurf.operators import day_features, ohlc_features
 from chainsurf.plans.features import daily_features
-from chainsurf.schemas import FEATURE_COLUMNS, FEATURES
+from chainsurf.schemas import FEATURE_COLUMNS, FEATURES, OI
 
 D0 = date(2024, 1, 1)
-CHAIN = "ticker string, trade_date date, expiration date, strike double, option_type string, open_interest bigint"
+CHAIN = "ticker string, trade_date date, expiration date, strike double, option_type string, " + OI + " bigint"
 OHLC = "ticker string, trade_date date, open double, high double, low double, close double, adj_close double, volume bigint, dividends double, splits double"
 
 

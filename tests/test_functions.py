@@ -54,15 +54,3 @@ def test_third_friday_of_all_months(spark):
     days = spark.sql("SELECT explode(sequence(DATE '2000-01-01', DATE '2040-12-01', INTERVAL 1 MONTH)) AS d")
     for x in days.select("d", fn.third_friday(F.col("d")).alias("f")).collect():
         assert x.f.weekday() == 4 and 15 <= x.f.day <= 21 and (x.f.year, x.f.month) == (x.d.year, x.d.month)
-
-
-def test_known_sum_is_null_when_nothing_is_known(spark):
-    rows = spark.createDataFrame([(1, 5, True), (1, 7, False), (2, 5, None), (3, 4, None), (3, 6, True)], "g int, v int, f boolean")
-    got = {x.g: x.s for x in rows.groupBy("g").agg(fn.known_sum(F.col("v"), F.col("f")).alias("s")).collect()}
-    assert got == {1: 5, 2: None, 3: 6}
-
-
-def test_weighted_mean(spark):
-    rows = spark.createDataFrame([(10.0, 1, "C"), (20.0, 3, "P")], "k double, w int, t string")
-    got = rows.agg(fn.weighted_mean(F.col("k"), F.col("w")), fn.weighted_mean(F.col("k"), F.col("w"), F.col("t") == "P"), fn.weighted_mean(F.col("k"), F.col("w"), F.col("t") == "X")).first()
-    assert tuple(got) == (17.5, 20.0, None)
