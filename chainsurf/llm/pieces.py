@@ -121,13 +121,17 @@ class Pieces:
 
     def solve(self, words: list[str]) -> list[tuple[list[int], int, int]]:
         """(best ids, its score, loss of the second path or -1), times ``scale``, of each word lattice; words begin with marks or not."""
-        out: list = [None] * len(words)
+        flat, size, score, loss = self.solved(words)
+        return [(x.tolist(), a, b) for x, a, b in zip(np.split(flat, np.cumsum(size)[:-1]), score.tolist(), loss.tolist(), strict=True)] if words else []
+
+    def solved(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``solve`` as arrays: ids one word after the other, their number, score and loss of each word."""
         order = sorted(range(len(words)), key=lambda i: len(words[i]))
-        at = 0
+        at, found = 0, []
         while at < len(order):
             if len(words[order[at]]) > LONG:  # a column for each of its characters would hold one number
-                found = self.nbest(words[order[at]], 2)
-                out[order[at]] = (found[0][1], found[0][0], found[0][0] - found[1][0] if len(found) > 1 else -1)
+                two = self.nbest(words[order[at]], 2)
+                found.append((np.array(two[0][1]), np.array([len(two[0][1])]), np.array([two[0][0]]), np.array([two[0][0] - two[1][0] if len(two) > 1 else -1])))
                 at += 1
                 continue
             to, room = at, 0
@@ -136,14 +140,18 @@ class Pieces:
                 if to > at and ((to - at + 1) * width * self.longest > CELLS or width > 2 * len(words[order[at]]) + 4) or width > LONG:
                     break
                 to, room = to + 1, width
-            group = order[at:to]
-            for i, x in zip(group, self._solve([words[i] for i in group], room), strict=True):
-                out[i] = x
+            found.append(self._solve([words[i] for i in order[at:to]], room))
             at = to
-        return out
-
-    def _solve(self, words: list[str], width: int) -> list[tuple[list[int], int, int]]:
-        """``solve`` for words of similar length: places are rows, words are columns and stand at the end."""
+        if not found:
+            return tuple(np.zeros(0, np.int64) for _ in range(4))
+        flat, size, score, loss = (np.concatenate(x) for x in zip(*found, strict=True))
+        back = np.argsort(np.array(order), kind="stable")
+        begin = (np.cumsum(size) - size)[back]
+        size = size[back]
+        return flat[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(len(flat))], size, score[back], loss[back]
+
+    def _solve(self, words: list[str], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``solved`` for words of similar length: places are rows, words are columns and stand at the end."""
         m = len(words)
         size = np.array([len(w) for w in words])
         pad = width - size
@@ -189,16 +197,18 @@ class Pieces:
                 np.copyto(least, i, where=better)
                 np.copyto(step[s], k, where=better)
         best = f[width]
-        paths: list[list[int]] = [[] for _ in range(m)]
         used = [np.zeros((width, m), bool) for _ in edges]
-        at = pad.copy()
+        at, steps = pad.copy(), []
         live = np.flatnonzero(at < width)
-        while len(live):
+        while len(live):  # the next piece of all words that are not at their end
             s = at[live]
             k = step[s, live]
-            for i, kk, ss in zip(live.tolist(), k.tolist(), s.tolist(), strict=True):
-                paths[i].append((kk, ss))
-                used[kk - 1][ss, i] = True
+            piece = np.full(len(live), -1)
+            for kk in np.unique(k).tolist():
+                mine = k == kk
+                piece[mine] = edges[kk - 1][1][s[mine], live[mine]]
+                used[kk - 1][s[mine], live[mine]] = True
+            steps.append((live, piece, code[s, live]))
             at[live] = s + k
             live = live[s + k < width]
         loss = np.full(m, 1 << 60)
@@ -206,14 +216,17 @@ class Pieces:
             n = width - k + 1
             through = f[:n] + score[:n] + b[k:k + n]
             np.minimum(loss, np.where(used[k - 1][:n] | (through < NONE // 2), 1 << 60, best - through).min(axis=0), out=loss)
-        out = []
-        for i, path in enumerate(paths):
-            ids: list[int] = []
-            for k, s in path:
-                piece = edges[k - 1][1][s, i]
-                ids += [int(piece)] if piece >= 0 else [self.byte_ids[x] for x in _fallback(chr(int(code[s, i])))]
-            out.append((ids, int(best[i]), int(loss[i]) if loss[i] < 1 << 60 else -1))
-        return out
+        of, ids, char = (np.concatenate(x) for x in zip(*steps, strict=True))
+        order = np.argsort(of, kind="stable")
+        of, ids, char = of[order], ids[order], char[order]
+        lone = np.flatnonzero(ids < 0)
+        if len(lone):  # characters without a piece become bytes
+            spelled = [_fallback(chr(c)) for c in char[lone].tolist()]
+            many = np.ones(len(ids), np.int64)
+            many[lone] = [len(x) for x in spelled]
+            of, ids = np.repeat(of, many), np.repeat(ids, many)
+            ids[ids < 0] = [self.byte_ids[x] for y in spelled for x in y]
+        return ids, np.bincount(of, minlength=m), best, np.where(loss < 1 << 60, loss, -1)
 
     def nbest(self, word: str, n: int) -> list[tuple[int, list[int]]]:
         """The n best segmentations (score, ids) of a word or text with marks, best first, equal scores by their ids.  Scores are times ``scale``.
@@ -279,15 +292,12 @@ class Encoder:
         self.start = self.size = self.score = self.loss = np.zeros(0, np.int64)
 
     def _learn(self, keys: list[int], words: list[str]) -> None:
-        solved = self.pieces.solve(words)
-        size = np.array([len(x[0]) for x in solved], np.int64)
+        ids, size, score, loss = self.pieces.solved(words)
         n = len(self.start)
         self.known.update(zip(keys, range(n, n + len(keys)), strict=True))
         self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
-        self.ids = np.concatenate([self.ids, np.array([i for x in solved for i in x[0]], np.int32)])
-        self.size = np.concatenate([self.size, size])
-        self.score = np.concatenate([self.score, np.array([x[1] for x in solved], np.int64)])
-        self.loss = np.concatenate([self.loss, np.array([x[2] for x in solved], np.int64)])
+        self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
+        self.size, self.score, self.loss = (np.concatenate(x) for x in ((self.size, size), (self.score, score), (self.loss, loss)))
 
     def _list(self, key: int, word: str, n: int) -> tuple[list[tuple[int, int, bytes]], bool, bool]:
         """A word's n best as (loss, rank by ids, ids), whether the second has the greater ids, and whether all spell the same."""
@@ -330,12 +340,16 @@ class Encoder:
         keys, ref, doc = keys[order], ref[order], doc[order]
         unique, index, inverse = np.unique(keys, return_index=True, return_inverse=True)
 
+        text = data.tobytes().decode("utf-8", "surrogatepass").replace(MARK, OWN_MARK)
+        char = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])  # characters before each byte
+        heads, tails, lead = char[words.start].tolist(), char[words.end].tolist(), many.tolist()
+        firsts = ref[index].tolist()
+
         def spell(u: int) -> str:
-            r = ref[index[u]]
+            r = firsts[u]
             if r < 0:
                 return MARK * (int(unique[u]) >> 8) or "\n"
-            text = data[words.start[r]:words.end[r]].tobytes().decode("utf-8", "surrogatepass").replace(MARK, OWN_MARK)
-            return MARK * int(many[r]) + text
+            return MARK * lead[r] + text[heads[r]:tails[r]]
 
         if len(self.known) > CACHED:
             self.reset()
@@ -360,8 +374,10 @@ class Encoder:
             head = np.searchsorted(doc[can], doc[can])
             last = np.minimum(head + n - 2, np.searchsorted(doc[can], doc[can], side="right") - 1)
             can = can[loss[can] <= loss[can[last]]]  # with all that lose as much as the last one needed
-            kinds, kind = np.unique(inverse[can], return_inverse=True)
-            up = np.array([self._list(listed[u], spell(u), n)[1] for u in kinds.tolist()], bool)[kind] if len(can) else np.zeros(0, bool)
+            up = loss[can] == 0  # the best has the least ids of its score
+            tied = np.flatnonzero(~up)
+            kinds, kind = np.unique(inverse[can[tied]], return_inverse=True)
+            up[tied] = np.array([self._list(listed[u], spell(u), n)[1] for u in kinds.tolist()], bool)[kind]
             # of equal losses, lesser ids first: an early place for a word that they make less, a late one for others
             can = can[np.lexsort((np.where(up, -can, can), up, loss[can], doc[can]))]
             rank = np.arange(len(can)) - np.searchsorted(doc[can], doc[can])

@@ -124,9 +124,9 @@ def test_long_runs_of_equal_scores(model):
     assert time.time() - began < 20 and len(found) == 3
     assert all(model.decode(ids) == word[1:] for _, ids in found)
     for w in (pieces.MARK + "=" * 300, pieces.MARK + "thatthing" * 40, "xyzzy" * 50):
-        (ids, score, loss), = model._solve([w], len(w))
+        ids, size, score, loss = model._solve([w], len(w))
         two = model.nbest(w, 2)
-        assert (score, ids) == two[0] and loss == two[0][0] - two[1][0]
+        assert (score[0], ids.tolist()) == two[0] and loss[0] == two[0][0] - two[1][0] and size[0] == len(ids)
 
 
 def test_pipeline_rows_rebuild_the_corpus(spark):
