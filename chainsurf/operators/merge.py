@@ -7,6 +7,8 @@ swapped in, one partition at a time.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,10 +27,10 @@ def coerce_chain(df: DataFrame) -> DataFrame:
 
 
 def in_order(*batches: DataFrame) -> DataFrame:
-    """The batches united, with their place in ``_seq``."""
+    """The batches united, with their place in ``_seq``: the batch, and within it the row as it is read, so that ties have an order."""
     out = None
     for i, b in enumerate(batches):
-        b = b.withColumn(SEQ, F.lit(i))
+        b = b.withColumn(SEQ, F.struct(F.lit(i).alias("batch"), F.monotonically_increasing_id().alias("row")))
         out = b if out is None else out.unionByName(b, allowMissingColumns=True)
     return out
 
@@ -40,9 +42,14 @@ def merge_keep_last(rows: DataFrame, keys: list[str]) -> DataFrame:
     return last.select(*[F.col(c) if c in keys else F.col(f"_v.{c}") for c in rows.columns if c != SEQ])
 
 
-def _exists(spark: SparkSession, root: str) -> bool:
+def _path(spark: SparkSession, root: str):
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _exists(spark: SparkSession, root: str) -> bool:
+    path, store = _path(spark, root)
+    return store.exists(path)
 
 
 def _overwrite(df: DataFrame, root: str, parts: list[str], order: list[str]) -> None:
@@ -53,21 +60,27 @@ def _overwrite(df: DataFrame, root: str, parts: list[str], order: list[str]) ->
 def upsert_chain(batch: DataFrame, root: str) -> DataFrame:
     """Merge a batch into the chain store; (ticker, year, n) of the partitions after the merge.
 
-    Only partitions that the batch touches are read and rewritten.
+    Only partitions that the batch touches are read and rewritten.  The batch is evaluated
+    once: it is staged beside the partitions under a name that readers skip, as are the
+    counts of each merge.
     """
     spark = batch.sparkSession
-    new = coerce_chain(batch).withColumn("year", F.year("trade_date"))
-    if _exists(spark, root):
-        touched = new.select("ticker", "year").distinct()
+    there, mark = _exists(spark, root), uuid.uuid4().hex
+    staged = f"{root}/_batch-{mark}"
+    coerce_chain(batch).withColumn("year", F.year("trade_date")).write.parquet(staged)
+    new = spark.read.schema(PARTITIONED).parquet(staged)
+    sides = [new.select(*PARTITIONED.names)]
+    touched = new.select("ticker", "year").distinct()
+    if there:
         old = spark.read.schema(PARTITIONED).parquet(root).join(touched, ["ticker", "year"], "left_semi")
-        merged = merge_keep_last(in_order(old.select(*PARTITIONED.names), new.select(*PARTITIONED.names)), CONTRACT_KEY)
-    else:
-        touched = None
-        merged = merge_keep_last(in_order(new.select(*PARTITIONED.names)), CONTRACT_KEY)
-    _overwrite(merged, root, ["ticker", "year"], ["trade_date", "expiration", "strike", "option_type"])
-    after = spark.read.schema(PARTITIONED).parquet(root)
-    after = after if touched is None else after.join(touched, ["ticker", "year"], "left_semi")
-    return after.groupBy("ticker", "year").agg(F.count(F.lit(1)).alias("n"))
+        sides = [old.select(*PARTITIONED.names), *sides]
+    _overwrite(merge_keep_last(in_order(*sides), CONTRACT_KEY), root, ["ticker", "year"], ["trade_date", "expiration", "strike", "option_type"])
+    after = spark.read.schema(PARTITIONED).parquet(root).join(touched, ["ticker", "year"], "left_semi")
+    counts = after.groupBy("ticker", "year").agg(F.count(F.lit(1)).alias("n"))
+    counts.write.parquet(f"{root}/_merges/{mark}")
+    path, store = _path(spark, staged)
+    store.delete(path, True)
+    return spark.read.schema(counts.schema).parquet(f"{root}/_merges/{mark}")
 
 
 def upsert_ohlc(batch: DataFrame, root: str) -> None:

@@ -32,6 +32,27 @@ def test_keep_last_follows_the_order_of_batches(spark):
     assert merge.merge_keep_last(merge.in_order(first, third, second), merge.CONTRACT_KEY).first().open_interest == 2
 
 
+def test_within_a_batch_the_last_row_wins(spark):
+    rows = contracts(spark, [(*A1[:5], n) for n in (3, 1, 4, 1, 5)]).coalesce(1)
+    assert merge.merge_keep_last(merge.in_order(contracts(spark, [A1]), rows), merge.CONTRACT_KEY).collect()[0][5] == 5
+
+
+def test_a_batch_is_evaluated_once(spark, tmp_path):
+    root, seen = str(tmp_path / "chain"), spark.sparkContext.accumulator(0)
+
+    def count(rows):
+        for x in rows:
+            seen.add(len(x))
+            yield x
+
+    batch = contracts(spark, [A1, A2, B1])
+    for _ in range(2):
+        seen.value = 0
+        assert merge.upsert_chain(batch.mapInPandas(count, batch.schema), root).count() == 3
+        assert seen.value == 3
+    assert not list((tmp_path / "chain").glob("_batch*"))
+
+
 def test_upsert_chain(spark, tmp_path):
     root = str(tmp_path / "chain")
     counts = {(x.ticker, x.year): x.n for x in merge.upsert_chain(contracts(spark, [A1, A2, B1]), root).collect()}
