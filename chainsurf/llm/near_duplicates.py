@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import maybe_present, presence, stored, text_hash
+from .shared import discard, maybe_present, presence, stored, text_hash
 from .tokens import Words, combine, mix, slices
 
 SKETCH, RARE, ENOUGH, OVERLAPS, DEVIATIONS = 64, 40, 54, 2, 6
@@ -196,8 +196,10 @@ def components(edges: DataFrame, what: str = "components") -> DataFrame:
         near = labels.join(near, "node").select("node", F.col("least").alias("was"), F.least("least", "near").alias("least"))
         jump = labels.select(F.col("node").alias("least"), F.col("least").alias("on"))
         new = stored(near.join(jump, "least").select("node", "was", F.least("least", "on").alias("least")), what)
+        discard(labels)
         labels = new.drop("was")
         if new.filter("least <> was").isEmpty():
+            discard(both)
             return labels
 
 
@@ -210,7 +212,9 @@ def _lists(rows: DataFrame, what: str) -> DataFrame:
     """(node, key, c) of the lists that two nodes or more share, with their lengths."""
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     shared = stored(shared, what + "-keys")  # a table of its own: a hot key's side of the join can be split
-    return stored(rows.join(shared, "key"), what)
+    out = stored(rows.join(shared, "key"), what)
+    discard(shared)
+    return out
 
 
 def _overlapping(members: DataFrame) -> DataFrame:
@@ -329,6 +333,7 @@ def _linked(docs: DataFrame, nodes: DataFrame, key: str, text: str, size: int, p
     family = stored(family.select("node", "least", "n", "slack", F.coalesce("part", "node").alias("part")), "near-family")
     tasks = _chunks(stored(apart, "near-apart"), nodes).union(_blocks(family, percent))
     more = _verified(tasks, sets, percent, "near-more-links")
+    discard(members, every, sets, short, needed, first, pairs)
     return components(joined.select(F.col("least").alias("x"), F.col("node").alias("y")).filter("x <> y").union(more), "near-components")
 
 
