@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from chainsurf.llm import decontaminate, near_duplicates, pieces, quality_rules, substrings
-from chainsurf.llm.shared import stored, table
+from chainsurf.llm.shared import discard, stored, table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        discard(*before)  # the next stage reads this one's table alone
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
