@@ -6,7 +6,7 @@ lattice search and item-sized windows are tested against brute force instead.
 
 from __future__ import annotations
 
-from . import licenses, quality_rules, sharding, url_filters
+from . import licenses, quality_rules, sharding, twins, url_filters
 
 _PLAIN = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 _WORD = r"'[^\x20\x09-\x0D]+'"
@@ -123,4 +123,7 @@ ORACLES: dict[str, str] = {
     "op8_url_filters": _urls(),
     "op9_warc": _WARC,
     "op10_rendezvous_sharding": _shards(),
+    "op11_conversation_repair": twins.CONVERSATIONS,
+    "op12_host_suffix_arrays": twins.MAIN_TEXT,
+    "op13_centroid_clustering": twins.centroids(),
 }

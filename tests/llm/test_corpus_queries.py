@@ -11,7 +11,7 @@ from chainsurf.llm.oracles import ORACLES
 from chainsurf.llm.queries import QUERIES
 
 DATA = "/root/testdata/sf0.001"
-TABLES = ["documents", "pages", "labels", "benchmark"]
+TABLES = ["documents", "pages", "labels", "benchmark", "conversations", "embeddings"]
 needs_data = pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables")
 
 
