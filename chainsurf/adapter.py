@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .schemas import CONTRACT_KEY, OHLC, OI
+from .schemas import CONTRACT_KEY, OHLC, OI, OI_FIELD
 
 TICKERS = ("A", "N", "R")
 
@@ -86,9 +86,9 @@ def payloads(rows: DataFrame, shape: str) -> DataFrame:
         F.when(k == 82.5, "2024-02-30").otherwise(when).alias("expiration"),
         F.when(k == 87.5, "n/a").otherwise(k.cast("string")).alias("strike"),
         F.when(k == 80, "X").otherwise(right).alias("right"),
-        F.when(k == 85, 0).otherwise(F.col(OI)).alias(OI),
+        F.when(k == 85, 0).otherwise(F.col(OI)).alias(OI_FIELD),
     )
-    names = ["expiration", "strike", "right", OI]
+    names = ["expiration", "strike", "right", OI_FIELD]
     if shape == "header":
         body = F.to_json(F.struct(F.struct(F.array(*map(F.lit, names)).alias("format")).alias("header"), F.collect_list(F.array(*[F.col(n).cast("string") for n in names])).alias("response")))
     elif shape == "columnar":

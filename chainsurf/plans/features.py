@@ -24,14 +24,15 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) if k in ("double", "float") else F.col(c) for c, k in df.dtypes])
 
 
-def daily_features(chain: DataFrame, ohlc: DataFrame, start=None, end=None) -> DataFrame:
+def daily_features(chain: DataFrame, ohlc: DataFrame, start=None, end=None, listed: DataFrame | None = None) -> DataFrame:
     """One row of all features per (ticker, trade_date) of the chain.
 
     With ``start``, only [start, end] comes back, computed from ``BUFFER_DAYS`` earlier on;
     prices are cut at ``end`` too, so forward returns near it may be null.  Expirations
-    count as listed over the full history.  Tickers need both chain and price rows.
+    count as listed over the full history, which ``listed`` (ticker, expiration) may give
+    in place of the chain.  Tickers need both chain and price rows.
     """
-    listed = chain
+    listed = chain if listed is None else listed
     if start is not None:
         start = date.fromisoformat(str(start)[:10])
         end = date.fromisoformat(str(end)[:10]) if end is not None else date.today()

@@ -2,26 +2,37 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.calendar import refresh_window
+from ..operators.calendar import BUFFER_DAYS, refresh_window
 from ..operators.merge import replace_features, upsert_chain, upsert_ohlc
 from ..sources.payloads import ingest_history, ingest_snapshot, normalise_ohlc
-from ..sources.store import read_chain, read_ohlc
+from ..sources.store import read_chain, read_expirations, read_ohlc
 from .features import daily_features
 
 
+def range_features(spark: SparkSession, root: str, start=None, end=None, tickers: list[str] | None = None) -> DataFrame:
+    """The features of the stores below ``root``, all or those of a range.
+
+    A range opens the chain and price partitions of its years and its buffer's only; what
+    was ever listed comes from the table that the chain store keeps.
+    """
+    since = None if start is None else date.fromisoformat(str(start)[:10]) - timedelta(days=BUFFER_DAYS)
+    chain, ohlc, listed = read_chain(spark, f"{root}/chain", since, end), read_ohlc(spark, f"{root}/ohlc", since, end), read_expirations(spark, f"{root}/chain")
+    if tickers is not None:
+        names = [t.upper() for t in tickers]
+        chain, ohlc, listed = (x.filter(F.col("ticker").isin(names)) for x in (chain, ohlc, listed))
+    return daily_features(chain, ohlc, start, end, listed)
+
+
 def rebuild(spark: SparkSession, root: str, start=None, end=None, tickers: list[str] | None = None) -> None:
     """Compute and store features from ``root``/chain and ``root``/ohlc, all tickers in one job."""
-    chain, ohlc = read_chain(spark, f"{root}/chain"), read_ohlc(spark, f"{root}/ohlc")
-    if tickers is not None:
-        chain, ohlc = (x.filter(F.col("ticker").isin([t.upper() for t in tickers])) for x in (chain, ohlc))
     if start is not None and end is None:
         end = date.today()
-    replace_features(daily_features(chain, ohlc, start, end), f"{root}/features", start, end)
+    replace_features(range_features(spark, root, start, end, tickers), f"{root}/features", start, end)
 
 
 def daily_refresh(spark: SparkSession, root: str, as_of: date, prices: DataFrame, history: DataFrame, snapshot: DataFrame, calendar: DataFrame) -> None:

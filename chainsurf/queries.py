@@ -511,7 +511,7 @@ def rebuild_jobs(chain, ohlc):
     merge.upsert_ohlc(ohlc, f"{root}/ohlc")
     jobs.rebuild(spark, root)
     jobs.rebuild(spark, root, FROM, TO)
-    return spark.read.schema(FEATURES).parquet(f"{root}/features").select(*DAY_KEY, *_KEPT)
+    return store.read_features(spark, f"{root}/features").select(*DAY_KEY, *_KEPT)
 
 
 @query(FEATURE_SQL + PRICE_SQL + f" SELECT {', '.join(FEATURE_COLUMNS)} FROM oif LEFT JOIN pf USING (ticker, trade_date)")
@@ -522,7 +522,7 @@ def rebuild_full(chain, ohlc):
     merge.upsert_chain(chain, f"{root}/chain")
     merge.upsert_ohlc(ohlc, f"{root}/ohlc")
     jobs.rebuild(spark, root)
-    return rounded(spark.read.schema(FEATURES).parquet(f"{root}/features").select(*FEATURE_COLUMNS), "zscore_", "rv_")
+    return rounded(store.read_features(spark, f"{root}/features").select(*FEATURE_COLUMNS), "zscore_", "rv_")
 
 
 AS_OF = date.fromisoformat(TO)
@@ -558,7 +558,7 @@ def daily_refresh_chain(chain, ohlc):
 FROM refreshed WHERE trade_date BETWEEN DATE '{AS_OF}' - 45 AND DATE '{AS_OF}' + 1 GROUP BY ticker, trade_date"""
 )
 def daily_refresh_features(chain, ohlc):
-    rows = chain.sparkSession.read.schema(FEATURES).parquet(_refreshed(chain, ohlc) + "/features")
+    rows = store.read_features(chain.sparkSession, _refreshed(chain, ohlc) + "/features")
     return rows.select(*DAY_KEY, "total_oi", "call_oi", "put_oi")
 
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql.types import DateType, DoubleType, LongType, ShortType, StringType, StructField, StructType
 
-#: The stored column of a contract's interest, and the field of landed payloads: a fixed value.
-OI = "open_interest"
+#: The column of a contract's interest in all tables, and (a fixed value) its field in landed payloads.
+OI = "oi"
+OI_FIELD = "open_interest"
 CONTRACT_KEY = ["ticker", "trade_date", "expiration", "strike", "option_type"]
 DAY_KEY = ["ticker", "trade_date"]
 

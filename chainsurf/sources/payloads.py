@@ -12,13 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import finite_or_null, norm_ticker, normalise_right, parse_ymd
-from ..schemas import OHLC, OI
+from ..schemas import OHLC, OI, OI_FIELD
 
-FIELDS = ["expiration", "strike", "right", OI, "date"]
+#: Columns and the fields of a payload that they come from.
+FIELDS = {"expiration": "expiration", "strike": "strike", "right": "right", OI: OI_FIELD, "date": "date"}
 
 
 def _record(at) -> Column:
-    return F.struct(*[at(f).alias(f) for f in FIELDS])
+    return F.struct(*[at(f).alias(c) for c, f in FIELDS.items()])
 
 
 def _is_header(members: Column) -> Column:
@@ -48,7 +49,7 @@ def _columnar_records(members: Column) -> Column:
     is_list = lambda v: v.startswith("[")
     first = F.get(F.filter(F.map_values(members), is_list), F.lit(0))
     n = F.size(F.from_json(first, "array<string>"))
-    lists = F.struct(*[F.from_json(F.when(is_list(members[f]), members[f]), "array<string>").alias(f) for f in FIELDS])
+    lists = F.struct(*[F.from_json(F.when(is_list(members[f]), members[f]), "array<string>").alias(f) for f in FIELDS.values()])
     at = lambda held, i: _record(lambda f: F.when(is_list(members[f]), F.get(held[f], i)).otherwise(members[f]))
     return F.when(n > 0, F.flatten(F.transform(F.array(lists), lambda held: F.transform(F.sequence(F.lit(0), n - 1), lambda i: at(held, i)))))
 

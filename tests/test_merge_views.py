@@ -1,3 +1,4 @@
+import json
 from datetime import date
 
 import pytest
@@ -5,7 +6,7 @@ from pyspark.errors import PySparkException
 
 from chainsurf.operators import merge, quality, views
 from chainsurf.plans import jobs
-from chainsurf.schemas import CHAIN, FEATURES, OHLC
+from chainsurf.schemas import CHAIN, FEATURES, OHLC, OI_FIELD
 from chainsurf.sources import store
 from chainsurf.streaming import merge_landing, read_landing
 
@@ -29,7 +30,7 @@ def held(spark, root):
 
 def test_keep_last_follows_the_order_of_batches(spark):
     first, second, third = (contracts(spark, [(*A1[:5], n)]) for n in (1, 2, 3))
-    assert merge.merge_keep_last(merge.in_order(first, third, second), merge.CONTRACT_KEY).first().open_interest == 2
+    assert merge.merge_keep_last(merge.in_order(first, third, second), merge.CONTRACT_KEY).first().oi == 2
 
 
 def test_within_a_batch_the_last_row_wins(spark):
@@ -50,7 +51,7 @@ def test_a_batch_is_evaluated_once(spark, tmp_path):
         seen.value = 0
         assert merge.upsert_chain(batch.mapInPandas(count, batch.schema), root).count() == 3
         assert seen.value == 3
-    assert not list((tmp_path / "chain").glob("_batch*"))
+    assert not list((tmp_path / "chain" / "_staged").iterdir())
 
 
 def test_upsert_chain(spark, tmp_path):
@@ -85,11 +86,11 @@ def test_older_layout(spark, tmp_path):
         (tmp_path / name).parent.mkdir(exist_ok=True)
         rows.to_parquet(tmp_path / name)
     got = store.read_chain_files(spark, str(tmp_path)).collect()
-    assert [(x.ticker, x.year, x.open_interest) for x in got] == [("SPY", 2024, 6)]
+    assert [(x.ticker, x.year, x.oi) for x in got] == [("SPY", 2024, 6)]
 
 
 def test_coerce(spark):
-    loose = spark.createDataFrame([("A", "2024-01-02", "2024-01-19", "n/a", "C", 1)], "ticker string, trade_date string, expiration string, strike string, option_type string, open_interest int")
+    loose = spark.createDataFrame([("A", "2024-01-02", "2024-01-19", "n/a", "C", 1)], "ticker string, trade_date string, expiration string, strike string, option_type string, oi int")
     row = merge.coerce_chain(loose).first()
     assert row.strike is None and row.trade_date == d("2024-01-02")
     with pytest.raises(PySparkException):
@@ -114,7 +115,7 @@ def features(spark, rows):
 
 def test_replace_features(spark, tmp_path):
     root = str(tmp_path / "features")
-    read = lambda: sorted((x.ticker, str(x.trade_date), x.total_oi) for x in spark.read.schema(FEATURES).parquet(root).collect())
+    read = lambda: sorted((x.ticker, str(x.trade_date), x.total_oi) for x in store.read_features(spark, root).collect())
     merge.replace_features(features(spark, [("A", "2024-01-02", 1), ("A", "2024-01-03", 2), ("A", "2024-01-09", 3), ("B", "2024-01-03", 4)]), root)
     merge.replace_features(features(spark, [("A", "2024-01-04", 9)]), root, "2024-01-03", "2024-01-05")
     assert read() == [("A", "2024-01-02", 1), ("A", "2024-01-04", 9), ("A", "2024-01-09", 3), ("B", "2024-01-03", 4)]
@@ -128,13 +129,13 @@ def test_replace_features(spark, tmp_path):
 def test_daily_refresh_and_late_correction(spark, tmp_path):
     root = str(tmp_path)
     schema = "ticker string, {} date, payload string"
-    body = lambda oi: '[{"expiration":"2024-02-16","strike":100,"right":"C","open_interest":%d}]' % oi
+    body = lambda oi: json.dumps([{"expiration": "2024-02-16", "strike": 100, "right": "C", OI_FIELD: oi}])
     calendar = spark.createDataFrame([(d(f"2024-01-{n:02}"),) for n in (2, 3, 4)], "trade_date date")
     ohlc = prices(spark, [("A", "2024-01-02", 99.0, 100.0), ("A", "2024-01-03", 101.0, 102.0)])
     history = spark.createDataFrame([("A", d("2024-01-02"), body(10))], schema.format("requested_date"))
     snapshot = spark.createDataFrame([("A", d("2024-01-03"), body(20))], schema.format("taken_on"))
     jobs.daily_refresh(spark, root, d("2024-01-03"), ohlc, history, snapshot, calendar)
-    read = lambda: {str(x.trade_date): (x.total_oi, x.spot_pc) for x in spark.read.schema(FEATURES).parquet(root + "/features").collect()}
+    read = lambda: {str(x.trade_date): (x.total_oi, x.spot_pc) for x in store.read_features(spark, root + "/features").collect()}
     assert read() == {"2024-01-02": (10, None), "2024-01-03": (20, 100.0)}
     late = spark.createDataFrame([("A", d("2024-01-03"), body(21))], schema.format("requested_date"))
     newer = spark.createDataFrame([("A", d("2024-01-04"), body(30))], schema.format("taken_on"))
@@ -146,7 +147,7 @@ def test_daily_refresh_and_late_correction(spark, tmp_path):
 
 def test_file_stream(spark, tmp_path):
     landing, root = tmp_path / "landing", str(tmp_path / "chain")
-    body = '[{"expiration":"2024-02-16","strike":100,"right":"C","open_interest":10}]'
+    body = json.dumps([{"expiration": "2024-02-16", "strike": 100, "right": "C", OI_FIELD: 10}])
     rows = spark.createDataFrame([("A", d("2024-01-02"), body)], "ticker string, requested_date date, payload string")
     rows.write.json(str(landing))
     merge_landing(read_landing(spark, str(landing)), root, str(tmp_path / "cp")).awaitTermination()
@@ -163,7 +164,7 @@ def test_export_and_reconcile(spark, tmp_path):
 def test_checks(spark):
     rows = contracts(spark, [A1, A1, (*B1[:4], "X", None)])
     assert quality.check_unique(rows, merge.CONTRACT_KEY).first().n == 2
-    assert {x.column: x.n_null for x in quality.check_not_null(rows, ["ticker", "open_interest"]).collect()} == {"ticker": 0, "open_interest": 1}
+    assert {x.column: x.n_null for x in quality.check_not_null(rows, ["ticker", "oi"]).collect()} == {"ticker": 0, "oi": 1}
     assert tuple(quality.check_domain(rows, "option_type", ["C", "P"]).first()) == ("X", 1)
 
 

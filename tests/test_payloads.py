@@ -1,15 +1,16 @@
 import json
 from datetime import date
 
+from chainsurf.schemas import OI_FIELD
 from chainsurf.sources import payloads
 
 DAY = date(2024, 3, 1)
 HEADER = {
-    "header": {"format": ["expiration", "strike", "right", "open_interest"]},
+    "header": {"format": ["expiration", "strike", "right", OI_FIELD]},
     "response": [["2024-03-15", 100.0, "C", 7], [], ["2024-02-30", 100.0, "C", 7], ["2024-03-15", "n/a", "C", 7], ["2024-03-15", 100.0, "X", 7], ["2024-03-15", 100.0, "C", 0], ["2024-03-15", 100.0, "C", 5], ["2024-03-15", 105.0, "put", None], ["2024-03-15", 105.0, "put"]],
 }
-COLUMNAR = {"expiration": ["20240315", "20240419", "abc"], "strike": [100.0, 105.0, 1.0], "right": ["call", "put", "C"], "open_interest": [7, 9], "date": "20240229"}
-RECORDS = [{"expiration": 20240315, "strike": "100.0", "right": " Put ", "open_interest": 7}, 3, "x", None, [1], {"expiration": 20240315, "strike": 90, "right": "c", "open_interest": -4}]
+COLUMNAR = {"expiration": ["20240315", "20240419", "abc"], "strike": [100.0, 105.0, 1.0], "right": ["call", "put", "C"], OI_FIELD: [7, 9], "date": "20240229"}
+RECORDS = [{"expiration": 20240315, "strike": "100.0", "right": " Put ", OI_FIELD: 7}, 3, "x", None, [1], {"expiration": 20240315, "strike": 90, "right": "c", OI_FIELD: -4}]
 
 
 def landed(spark, *items):
@@ -18,7 +19,7 @@ def landed(spark, *items):
 
 
 def keys(df):
-    return sorted((x.ticker, x.trade_date, x.expiration, x.strike, x.option_type, x.open_interest) for x in df.collect())
+    return sorted((x.ticker, x.trade_date, x.expiration, x.strike, x.option_type, x.oi) for x in df.collect())
 
 
 def test_three_shapes(spark):
@@ -30,8 +31,8 @@ def test_three_shapes(spark):
 
 def test_repeated_and_missing_names(spark):
     """A name may stand twice (the last place within the row counts), be null or unknown; the payload and its neighbours stay."""
-    twice = {"header": {"format": ["strike", "right", None, "strike", "expiration", "open_interest", "x"]}, "response": [[1.0, "C", 9, 100.0, "2024-03-15", 7, 0], [50.0, "P", 9], ["2", "C", None, 105.0, 20240419, 3]]}
-    got = payloads.normalise_payload(landed(spark, twice, HEADER)).filter("strike IS NOT NULL").select("expiration", "strike", "right", "open_interest").collect()
+    twice = {"header": {"format": ["strike", "right", None, "strike", "expiration", OI_FIELD, "x"]}, "response": [[1.0, "C", 9, 100.0, "2024-03-15", 7, 0], [50.0, "P", 9], ["2", "C", None, 105.0, 20240419, 3]]}
+    got = payloads.normalise_payload(landed(spark, twice, HEADER)).filter("strike IS NOT NULL").select("expiration", "strike", "right", "oi").collect()
     assert [tuple(x) for x in got[:3]] == [("2024-03-15", "100.0", "C", "7"), (None, "50.0", "P", None), ("20240419", "105.0", "C", "3")]
     f, a = date(2024, 3, 15), date(2024, 4, 19)
     assert keys(payloads.ingest_history(landed(spark, twice, HEADER))) == [("SPY", DAY, f, 100.0, "C", 19), ("SPY", DAY, a, 105.0, "C", 3)]
