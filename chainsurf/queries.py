@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -9,15 +10,16 @@ from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, DoubleType, IntegerType, StringType, StructField, StructType
 
-from . import adapter
+from . import adapter, streaming
 from .adapter import CHAIN_SQL, CLEAN_SQL, OHLC_SQL
 from .functions import days_to_expiry, finite_or_null, moneyness, parse_ymd, third_friday
 from .operators import asof, calendar, day_features, merge, ohlc_features, quality, views
-from .plans import jobs
+from .plans import carry, jobs
 from .plans.features import daily_features
-from .schemas import DAY_KEY, FEATURE_COLUMNS, FEATURES, OI, SPOTS
-from .sources import payloads, store
+from .schemas import CHAIN, DAY_KEY, FEATURE_COLUMNS, FEATURES, OI, SPOTS
+from .sources import payloads, store, versions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -213,6 +215,51 @@ def upsert_chain(chain, ohlc):
     return store.read_chain(spark, root).drop("year")
 
 
+@query("SELECT * REPLACE (CAST(CASE WHEN option_type = 'C' AND strike > 110 THEN oi * 40 WHEN strike > 100 THEN oi * 30 WHEN option_type = 'C' THEN oi * 20 ELSE oi * 10 END AS BIGINT) AS oi) FROM chain")
+def upsert_chain_in_order(chain, ohlc):
+    """One batch of several files, of falling and then rising size, that repeat keys: the row of the last file wins."""
+    spark = chain.sparkSession
+    root, landed = new_root(spark, "chain"), new_root(spark, "landed")
+    few = chain.filter("option_type = 'C' AND strike > 110")
+    for i, part in enumerate((chain, chain.filter("option_type = 'C'"), few, chain.filter("strike > 100"), few)):
+        part.withColumn(OI, F.col(OI) * (10, 20, 1, 30, 40)[i]).coalesce(1).write.parquet(f"{landed}/{i}")
+    merge.upsert_chain(chain.withColumn(OI, F.lit(0).cast("bigint")), root)
+    merge.upsert_chain(merge.read_in_order(spark, *[f"{landed}/{i}" for i in range(5)], schema=CHAIN), root)
+    return store.read_chain(spark, root).drop("year")
+
+
+@query(
+    """SELECT ticker, trade_date, close, CASE WHEN year(trade_date) >= 1997 THEN adj_close END AS adj_close, CASE WHEN year(trade_date) IN (1995, 1996) THEN high - low END AS spread,
+CASE WHEN year(trade_date) >= 1995 THEN 'v' || CASE WHEN year(trade_date) < 1997 THEN 2 ELSE 3 END END AS source FROM ohlc"""
+)
+def schema_versions(chain, ohlc):
+    """Three versions of a price table read as one: a column that was dropped and added again is null where it is older, and so is one that came later."""
+    spark = chain.sparkSession
+    root, year = new_root(spark, "evolved"), F.year("trade_date")
+    prices = ohlc.select(*DAY_KEY, "close", "adj_close", year.alias("year"), (F.col("high") - F.col("low")).alias("spread"))
+    versions.commit(prices.filter("year < 1995").drop("spread"), root, ["year"], DAY_KEY)
+    field = lambda name, kind: StructField(name, kind())
+    versions.evolve(spark, root, add=[field("spread", DoubleType), field("source", StringType)], drop=["adj_close"])
+    versions.commit(prices.filter("year BETWEEN 1995 AND 1996").drop("adj_close").withColumn("source", F.lit("v2")), root, ["year"], DAY_KEY)
+    versions.evolve(spark, root, add=[field("adj_close", DoubleType)])
+    versions.commit(prices.filter("year >= 1997").drop("spread").withColumn("source", F.lit("v3")), root, ["year"], DAY_KEY)
+    schema = StructType([field("ticker", StringType), field("trade_date", DateType), field("close", DoubleType), field("adj_close", DoubleType), field("spread", DoubleType), field("source", StringType), field("year", IntegerType)])
+    return versions.read(spark, root, schema, ["year"]).drop("year")
+
+
+@query("SELECT ticker, expiration FROM chain WHERE year(trade_date) <> 1997 OR option_type = 'C' GROUP BY ALL")
+def kept_expirations(chain, ohlc):
+    """What was ever listed, as the store keeps it: merges add expirations, and those that a replaced year has lost are gone."""
+    spark = chain.sparkSession
+    root = new_root(spark, "chain")
+    merge.upsert_chain(chain.filter("year(trade_date) < 1997"), root)
+    merge.upsert_chain(chain.filter("year(trade_date) >= 1997"), root)
+    now = versions.version(spark, root)
+    calls = store.read_chain(spark, root).filter("year = 1997 AND option_type = 'C'")
+    versions.commit(calls, root, store.BY_TICKER_YEAR, ["trade_date"], gone=[k for k in now.live if k[1] == "1997"], beside=merge.listed_by_year)
+    return store.read_expirations(spark, root)
+
+
 @query(ORACLES["upsert_ohlc"].split("\n")[-1])
 def upsert_ohlc_sink(chain, ohlc):
     """Two batches through the partitioned price store."""
@@ -562,6 +609,45 @@ def daily_refresh_features(chain, ohlc):
     return rows.select(*DAY_KEY, "total_oi", "call_oi", "put_oi")
 
 
+@query(REFRESHED_SQL + " SELECT * FROM refreshed")
+def stream_refresh(chain, ohlc):
+    """The same two refreshes as payload files in one stream, the later run first and each file a micro-batch; then all of it again."""
+    spark, day = chain.sparkSession, F.col("trade_date")
+    root, ago, next_day = new_root(spark, "stream"), AS_OF - timedelta(days=10), AS_OF + timedelta(days=1)
+    merge.upsert_chain(chain.filter(day < ago), f"{root}/chain")
+    landed = lambda rows, shape, kind, run: adapter.payloads(rows, shape).select("ticker", "requested_date", F.lit(kind).alias("kind"), F.lit(run).alias("run_date"), "payload")
+    late = landed(store.filter_range(chain, AS_OF, next_day).filter("option_type = 'C'"), "columnar", "history", next_day)
+    taken = landed(chain.filter(day == AS_OF).withColumn(OI, F.col(OI) * 2), "records", "snapshot", AS_OF)
+    first = landed(store.filter_range(chain, ago, AS_OF - timedelta(days=1)), "header", "history", AS_OF)
+    for i, rows in enumerate((late, taken, first)):
+        rows.coalesce(1).write.mode("append").json(f"{root}/landing")
+    days = chain.select("trade_date").distinct()
+    for again in range(2):
+        arrivals = streaming.read_landing(spark, f"{root}/landing", 1, streaming.ARRIVALS)
+        streaming.merge_arrivals(arrivals, f"{root}/chain", days, f"{root}/progress-{again}").awaitTermination()
+    return store.read_chain(spark, f"{root}/chain").drop("year")
+
+
+_UNTIL = f"trade_date <= DATE '{AS_OF}'"
+
+
+@query(
+    f", cut_c AS (SELECT * FROM chain WHERE {_UNTIL}), cut_o AS (SELECT * FROM ohlc WHERE {_UNTIL})"
+    + re.sub(r"\b(FROM|JOIN) (chain|ohlc)\b", lambda m: f"{m[1]} cut_{m[2][0]}", FEATURE_SQL + PRICE_SQL)
+    + f" SELECT {', '.join(FEATURE_COLUMNS)} FROM oif LEFT JOIN pf USING (ticker, trade_date) WHERE trade_date >= DATE '{AS_OF}' - 45"
+)
+def added_days(chain, ohlc):
+    """Three new days on top of a store that was built without them; the days before them get their new returns."""
+    spark, day, last = chain.sparkSession, F.col("trade_date"), AS_OF - timedelta(days=3)
+    root = new_root(spark, "added")
+    for until in (last, AS_OF):
+        since = F.lit(True) if until == last else day > last
+        merge.upsert_chain(chain.filter((day <= until) & since), f"{root}/chain")
+        merge.upsert_ohlc(ohlc.filter((day <= until) & since), f"{root}/ohlc")
+        jobs.rebuild(spark, root) if until == last else carry.add_days(spark, root, last + timedelta(days=1), AS_OF)
+    return rounded(store.read_features(spark, f"{root}/features", AS_OF - timedelta(days=45)).select(*FEATURE_COLUMNS), "zscore_", "rv_")
+
+
 # ---- views -------------------------------------------------------------------------------
 
 SURFACE_SQL = ", surface AS (SELECT c.*, CAST(expiration - c.trade_date AS SMALLINT) AS dte, o.close AS spot_close, CASE WHEN o.close > 0 THEN strike / o.close - 1 END AS moneyness FROM chain c LEFT JOIN ohlc o ON o.ticker = c.ticker AND o.trade_date = c.trade_date), latest AS (SELECT * FROM surface s WHERE trade_date = (SELECT max(trade_date) FROM surface x WHERE x.ticker = s.ticker))"

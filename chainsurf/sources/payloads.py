@@ -121,8 +121,8 @@ KEYS = ["ticker", "trade_date", "expiration", "strike", "option_type"]
 
 
 def dedupe_sum(df: DataFrame) -> DataFrame:
-    """One row per contract and day: interest of repeated rows is summed."""
-    return df.groupBy(*KEYS).agg(F.sum(OI).alias(OI))
+    """One row per contract and day (and rank, where rows have one): interest of repeated rows is summed."""
+    return df.groupBy(*KEYS, *[c for c in ("rank",) if c in df.columns]).agg(F.sum(OI).alias(OI))
 
 
 def dup_report(df: DataFrame) -> DataFrame:

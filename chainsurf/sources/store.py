@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable
 from datetime import date, timedelta
-from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,10 +58,10 @@ def older_files(spark: SparkSession, root: str, tickers: Iterable[str] | None =
     years = None if years is None else set(years)
     out = []
     for s in store.globStatus(pattern) or []:
-        path = s.getPath().toUri().toString()
+        path = s.getPath().toString()
         found = re.search(r"([^/]+)/([+-]?\d+)\.parquet$", path)
         if found:
-            ticker, year = unquote(found[1]).strip().upper(), int(found[2])
+            ticker, year = found[1].strip().upper(), int(found[2])
             if (tickers is None or ticker in tickers) and (years is None or year in years):
                 out.append((ticker, year, path))
     return sorted(out)
