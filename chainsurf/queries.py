@@ -628,24 +628,25 @@ def stream_refresh(chain, ohlc):
     return store.read_chain(spark, f"{root}/chain").drop("year")
 
 
-_UNTIL = f"trade_date <= DATE '{AS_OF}'"
+_SINCE = AS_OF - timedelta(days=2)
+_KNOWN = f"trade_date BETWEEN DATE '{_SINCE}' - 130 AND DATE '{AS_OF}'"
 
 
 @query(
-    f", cut_c AS (SELECT * FROM chain WHERE {_UNTIL}), cut_o AS (SELECT * FROM ohlc WHERE {_UNTIL})"
-    + re.sub(r"\b(FROM|JOIN) (chain|ohlc)\b", lambda m: f"{m[1]} cut_{m[2][0]}", FEATURE_SQL + PRICE_SQL)
-    + f" SELECT {', '.join(FEATURE_COLUMNS)} FROM oif LEFT JOIN pf USING (ticker, trade_date) WHERE trade_date >= DATE '{AS_OF}' - 45"
+    f", known AS (SELECT * FROM chain WHERE trade_date <= DATE '{AS_OF}'), cut AS (SELECT * FROM chain WHERE {_KNOWN}), cut_ohlc AS (SELECT * FROM ohlc WHERE {_KNOWN})"
+    + re.sub(r"\bFROM chain\b", "FROM known", _cut(FEATURE_SQL + PRICE_SQL))
+    + f" SELECT {', '.join(FEATURE_COLUMNS)} FROM oif LEFT JOIN pf USING (ticker, trade_date) WHERE trade_date >= DATE '{_SINCE}'"
 )
 def added_days(chain, ohlc):
-    """Three new days on top of a store that was built without them; the days before them get their new returns."""
-    spark, day, last = chain.sparkSession, F.col("trade_date"), AS_OF - timedelta(days=3)
+    """Three new days on top of a store that was built without them: as a range rebuild of these days has them."""
+    spark, day, last = chain.sparkSession, F.col("trade_date"), _SINCE - timedelta(days=1)
     root = new_root(spark, "added")
     for until in (last, AS_OF):
         since = F.lit(True) if until == last else day > last
         merge.upsert_chain(chain.filter((day <= until) & since), f"{root}/chain")
         merge.upsert_ohlc(ohlc.filter((day <= until) & since), f"{root}/ohlc")
-        jobs.rebuild(spark, root) if until == last else carry.add_days(spark, root, last + timedelta(days=1), AS_OF)
-    return rounded(store.read_features(spark, f"{root}/features", AS_OF - timedelta(days=45)).select(*FEATURE_COLUMNS), "zscore_", "rv_")
+        jobs.rebuild(spark, root) if until == last else carry.add_days(spark, root, _SINCE, AS_OF)
+    return rounded(store.read_features(spark, f"{root}/features", _SINCE).select(*FEATURE_COLUMNS), "zscore_", "rv_")
 
 
 # ---- views -------------------------------------------------------------------------------
