@@ -26,9 +26,10 @@ proportion to its size, whatever that is.
 
 Defined cases: texts without words and null texts are empty sets, linked with nothing;
 a text of fewer words than a shingle is one shingle; rows that repeat an id are judged
-by their own text; a null id never names a component that has another id; exactly one
-row of each component is kept, also of null and of repeated ids; extra columns are ignored by ``groups`` and kept
-by ``one_of_each``; an empty table gives an empty result.
+by their own text; a null id never names a component that has another id; ``groups`` calls
+every row kept whose id is its component's, and ``one_of_each`` keeps exactly one row of
+each component, also of null and of repeated ids; extra columns are ignored by ``groups``
+and kept by ``one_of_each``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -359,10 +360,10 @@ def _judged(docs: DataFrame, key: str, text: str, size: int, percent: int) -> Da
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, percent: int = 85) -> DataFrame:
-    """(key, n_shingles, component_id, kept) for each row of ``docs``."""
+    """(key, n_shingles, component_id, kept) for each row of ``docs``; kept is key = component_id, so true of every row with that id and null without one."""
     judged = _judged(docs, key, text, size, percent)
     each = judged.withColumn("i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("m"))))
-    return each.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), "component_id", (F.col("kept") & ((F.col("i") == 1) | (F.col("n") == 0))).alias("kept"))
+    return each.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
