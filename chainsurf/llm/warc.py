@@ -14,7 +14,7 @@ bytes, and parses the records they hold.
 
 Defined cases: a null html is an empty payload; a null url an empty target; a null id is
 smaller than any other; rows that share the largest id of a payload are all responses;
-urls are escaped where a header can't hold them; an empty table gives empty archives
+of urls, per cent signs, spaces and control characters are escaped, each as its own byte, and come back as they were; an empty table gives empty archives
 and results; extra columns are ignored.
 """
 
@@ -23,6 +23,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -47,7 +48,10 @@ def base32_sha1(data: Column) -> Column:
 def _records(rows: DataFrame, revisit: bool) -> DataFrame:
     """(record) of rows (id, url, digest and html or last), without the blank lines after a record."""
     line = lambda name, value: F.concat(F.lit(name + ": "), value, F.lit("\r\n"))
-    target = F.regexp_replace(F.regexp_replace("url", "%", "%25"), r"[\x00-\x20\x7F]", "%20")
+    target = plain = F.replace(F.replace(F.col("url"), F.lit("%"), F.lit("%25")), F.lit(" "), F.lit("%20"))
+    for c in (*range(32), 127):
+        target = F.replace(target, F.lit(chr(c)), F.lit(f"%{c:02X}"))
+    target = F.when(F.col("url").rlike(r"[\x00-\x1F\x7F]"), target).otherwise(plain)  # few urls have any of these
     page = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(">"))
     body = F.lit("") if revisit else F.concat(F.lit(HTTP), F.col("html"))
     refers = [line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To", page("last"))] if revisit else []
@@ -127,7 +131,7 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     length = body - at + int(head["Content-Length"])
                     revisit = head["WARC-Type"] == "revisit"
                     payload = 0 if revisit else int(head["Content-Length"]) - len(HTTP)
-                    out.append((path, at, length, _page(head["WARC-Record-ID"]), head["WARC-Target-URI"].replace("%20", " ").replace("%25", "%"), head["WARC-Type"], _page(head["WARC-Refers-To"]) if revisit else None, head["WARC-Payload-Digest"].removeprefix("sha1:"), length - payload, payload))
+                    out.append((path, at, length, _page(head["WARC-Record-ID"]), unquote(head["WARC-Target-URI"]), head["WARC-Type"], _page(head["WARC-Refers-To"]) if revisit else None, head["WARC-Payload-Digest"].removeprefix("sha1:"), length - payload, payload))
                     at += length + len(END)
                     if at - held_at >= len(held):  # the body reaches beyond what is held: go on behind it
                         f.seek(at)

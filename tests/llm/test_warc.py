@@ -7,7 +7,7 @@ PAGES = [
     (1, "http://a.example/", "<p>one</p>"),
     (2, "http://a.example/2", "<p>one</p>"),
     (3, None, None),
-    (4, "http://b.example/a b%20\r\nX: y", "tail\r\n\r\nWARC/1.1\r\n\r\n"),
+    (4, "http://b.example/a b%20\r\nX: y\t\x00\x7fé%", "tail\r\n\r\nWARC/1.1\r\n\r\n"),
     (5, "http://b.example/", "é" * 5000),
     (6, "x", ""),
     (6, "y", ""),
@@ -39,6 +39,7 @@ def test_smallest_and_index(spark):
     warc.write(pages, path, smallest=100, per_file=3)
     rows = {(x.page_id, x.url): x for x in warc.index(spark, path).collect()}
     assert all(x.record_type == "response" for x in rows.values()) and len(rows) == 10 - 1
+    assert set(rows) == {(k, u or "") for k, u, _ in PAGES}
     some = warc.read(warc.index(spark, path).filter("page_id in (2, 5)")).collect()
     assert {x.page_id: x.payload.decode() for x in some} == {2: "<p>one</p>", 5: "é" * 5000}
 
