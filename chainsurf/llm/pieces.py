@@ -487,8 +487,9 @@ def encode_digest(docs: DataFrame, key: str = "doc_id", text: str = "text", n: i
 
 
 def decode(encoded: DataFrame, ids: str = "ids", out: str = "text", model: str = MODEL) -> DataFrame:
-    """``encoded`` with the text of its ids; null ids give a null text."""
+    """``encoded`` with the text of its ids, in place of a column of that name; null ids give a null text."""
     shared = encoded.sparkSession.sparkContext.broadcast(Pieces.load(model))
+    encoded = encoded if out == ids else encoded.drop(out)
     schema = StructType([*encoded.schema.fields, StructField(out, StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
