@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.calendar import BUFFER_DAYS, refresh_window
 from ..operators.merge import replace_features, upsert_chain, upsert_ohlc
+from ..sources import versions
 from ..sources.payloads import ingest_history, ingest_snapshot, normalise_ohlc
 from ..sources.store import read_chain, read_expirations, read_ohlc
 from .features import daily_features
@@ -35,13 +36,17 @@ def rebuild(spark: SparkSession, root: str, start=None, end=None, tickers: list[
     replace_features(range_features(spark, root, start, end, tickers), f"{root}/features", start, end)
 
 
-def daily_refresh(spark: SparkSession, root: str, as_of: date, prices: DataFrame, history: DataFrame, snapshot: DataFrame, calendar: DataFrame) -> None:
+def daily_refresh(spark: SparkSession, root: str, as_of: date, prices: DataFrame, history: DataFrame, snapshot: DataFrame, calendar: DataFrame, keep: int | None = None) -> None:
     """Merge prices, then history, then the snapshot (which so wins), then rebuild the last days.
 
-    The next day's history overwrites today's snapshot of the same contracts.
+    The next day's history overwrites today's snapshot of the same contracts.  With
+    ``keep``, only so many versions of each store stay readable; without, all do.
     """
     upsert_ohlc(normalise_ohlc(prices), f"{root}/ohlc")
     upsert_chain(ingest_history(history), f"{root}/chain")
     upsert_chain(ingest_snapshot(snapshot, calendar), f"{root}/chain")
     start, end = refresh_window(as_of)["features"]
     rebuild(spark, root, start, end)
+    if keep is not None:
+        for name in ("ohlc", "chain", "features"):
+            versions.vacuum(spark, f"{root}/{name}", keep)

@@ -287,6 +287,20 @@ def store_read_last_year(chain, ohlc):
     return store.read_year(held, "n", store.list_years(held, "n").agg(F.max("year")).first()[0])
 
 
+@query("SELECT *, CAST(year(trade_date) AS INTEGER) AS year FROM chain WHERE ticker = 'N' AND year(trade_date) IN (1996, 1997)")
+def read_chain_files(chain, ohlc):
+    """Two years of one ticker from the older layout, a file for each: other files stay shut."""
+    spark = chain.sparkSession
+    hive, root = new_root(spark, "hive"), new_root(spark, "older")
+    chain.withColumn("year", F.year("trade_date")).repartition("ticker", "year").write.partitionBy("ticker", "year").parquet(hive)
+    pattern, files = versions.file_at(spark, f"{hive}/*/*/*.parquet")
+    for s in files.globStatus(pattern):
+        ticker, year = (p.split("=")[1] for p in s.getPath().toString().split("/")[-3:-1])
+        files.mkdirs(versions.file_at(spark, f"{root}/{ticker.lower()}")[0])
+        files.rename(s.getPath(), versions.file_at(spark, f"{root}/{ticker.lower()}/{year}.parquet")[0])
+    return store.read_chain_files(spark, root, tickers=["n"], years=[1996, 1997])
+
+
 @query("SELECT ticker, CAST(year(trade_date) AS INTEGER) AS year, count(*) AS n_source, count(*) AS n_stored, true AS matches FROM chain GROUP BY ALL")
 def export_by_year(chain, ohlc):
     """A raw table moved into the store, then both counted."""
@@ -746,3 +760,10 @@ def check_domain(chain, ohlc):
 @query(f"SELECT ticker, trade_date, {', '.join(f'CAST(NULL AS ' + ('BIGINT' if f.dataType.typeName() == 'long' else 'DOUBLE') + f') AS {f.name}' for f in FEATURES.fields[2:])} FROM ohlc")
 def align_schema(chain, ohlc):
     return quality.align_schema(ohlc, FEATURES)
+
+
+@query("SELECT ticker, trade_date, expiration, strike, CAST(NULL AS VARCHAR) AS option_type, oi FROM chain")
+def align_schema_casts(chain, ohlc):
+    """Columns in another order and of other types are cast, unknown ones dropped, a missing one is null."""
+    loose = chain.select(F.col(OI).cast("string").alias(OI), F.lit(1).alias("unknown"), F.col("strike").cast("string").alias("strike"), F.col("trade_date").cast("timestamp").alias("trade_date"), F.col("expiration").cast("string").alias("expiration"), "ticker")
+    return quality.align_schema(loose, CHAIN)

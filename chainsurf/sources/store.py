@@ -53,7 +53,7 @@ def read_features(spark: SparkSession, root: str, start: date | str | None = Non
 
 def older_files(spark: SparkSession, root: str, tickers: Iterable[str] | None = None, years: Iterable[int] | None = None) -> list[tuple[str, int, str]]:
     """(ticker, year, path) of the files ``<ticker>/<year>.parquet``; names that are no year are passed over.  Lists folders, opens nothing."""
-    pattern, store = versions._file(spark, f"{root}/*/*.parquet")
+    pattern, store = versions.file_at(spark, f"{root}/*/*.parquet")
     tickers = None if tickers is None else {t.strip().upper() for t in tickers}
     years = None if years is None else set(years)
     out = []

@@ -139,7 +139,8 @@ def test_daily_refresh_and_late_correction(spark, tmp_path):
     assert read() == {"2024-01-02": (10, None), "2024-01-03": (20, 100.0)}
     late = spark.createDataFrame([("A", d("2024-01-03"), body(21))], schema.format("requested_date"))
     newer = spark.createDataFrame([("A", d("2024-01-04"), body(30))], schema.format("taken_on"))
-    jobs.daily_refresh(spark, root, d("2024-01-04"), ohlc, late, newer, calendar)
+    jobs.daily_refresh(spark, root, d("2024-01-04"), ohlc, late, newer, calendar, keep=2)
+    assert all(len([f for f in (tmp_path / t / "_log").iterdir() if f.name.isdigit()]) == 2 for t in ("chain", "ohlc", "features"))
     assert read() == {"2024-01-02": (10, None), "2024-01-03": (21, 100.0), "2024-01-04": (30, 102.0)}
     jobs.rebuild(spark, root)
     assert read() == {"2024-01-02": (10, None), "2024-01-03": (21, 100.0), "2024-01-04": (30, 102.0)}

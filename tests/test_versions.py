@@ -178,7 +178,7 @@ def years_of(files):
     return {int(f.split("year=")[1].split("/")[0]) for f in files if "year=" in f}
 
 
-def test_a_refresh_reads_its_buffer_and_writes_its_years(spark, tmp_path):
+def test_a_refresh_reads_its_buffer_and_writes_its_years(spark, tmp_path, monkeypatch):
     root, last = str(tmp_path), date(2024, 6, 28)
     ten_years(spark, root)
     before = versions.version(spark, f"{root}/features")
@@ -190,6 +190,10 @@ def test_a_refresh_reads_its_buffer_and_writes_its_years(spark, tmp_path):
     jobs.rebuild(spark, root, start, end)
     after = versions.version(spark, f"{root}/features")
     assert {k for k in after.live if after.live[k] != before.live[k]} == {("A", "2024"), ("B", "2024")}
+    assert sorted(after.wrote.values()) == [2, 22] and store.read_features(spark, f"{root}/features").count() == 1040
+    paths = []
+    monkeypatch.setattr(type(spark.read), "parquet", lambda self, *p, f=type(spark.read).parquet: (paths.append(p), f(self, *p))[1])
+    assert versions.read(spark, f"{root}/chain", store.PARTITIONED, store.BY_TICKER_YEAR).count() == 3120 and len(paths[0]) == 1  # one commit, wanted whole
     late = date(2024, 1, 20)  # across a year's end: two years
     opened = jobs.range_features(spark, root, late - timedelta(days=45), late).inputFiles()
     assert years_of(f for f in opened if "/chain/c=" in f) == {2023, 2024}
