@@ -24,6 +24,8 @@ from .quality import align_schema
 
 SEQ, ROW, RANK = "_seq", "_row", "rank"
 _YEAR = StructField("year", IntegerType())
+#: The chain as stored, with the rank of rows that came with one.
+STORED_CHAIN = StructType([*PARTITIONED.fields, StructField(RANK, LongType())])
 
 
 def coerce_chain(df: DataFrame, *more: StructField) -> DataFrame:
@@ -95,8 +97,7 @@ def _merge_chain(batch: DataFrame, root: str, place: Column | None) -> DataFrame
     spark = batch.sparkSession
     with staged(batch, root) as new:
         onto, touched = versions.version(spark, root), _touched(new, BY_TICKER_YEAR)
-        schema = StructType([*PARTITIONED.fields, StructField(RANK, LongType())])
-        old = versions.read(spark, root, schema, BY_TICKER_YEAR, only=touched.__contains__, at=onto)
+        old = versions.read(spark, root, STORED_CHAIN, BY_TICKER_YEAR, only=touched.__contains__, at=onto)
         if place is None:
             rows = in_order(old, new)
         else:

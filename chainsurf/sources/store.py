@@ -42,7 +42,12 @@ def read_expirations(spark: SparkSession, root: str) -> DataFrame:
     """(ticker, expiration) of all that was ever listed, as the chain store keeps it up to date; no chain partition is opened."""
     if not versions.is_versioned(spark, root):
         return listed_expirations(read_chain(spark, root))
-    return versions.read_beside(spark, root, EXPIRATIONS, BY_TICKER_YEAR).select("ticker", "expiration").distinct()
+    at = versions.version(spark, root)
+    kept = versions.read_beside(spark, root, EXPIRATIONS, BY_TICKER_YEAR, at).select("ticker", "expiration")
+    plain = {k for k, (folder, _) in at.live.items() if not folder.startswith("c=")}  # adopted, and not yet written again
+    if plain:
+        kept = kept.unionByName(versions.read(spark, root, EXPIRATIONS, BY_TICKER_YEAR, only=plain.__contains__, at=at).select("ticker", "expiration"))
+    return kept.distinct()
 
 
 def read_features(spark: SparkSession, root: str, start: date | str | None = None, end: date | str | None = None) -> DataFrame:

@@ -97,6 +97,20 @@ def test_columns_come_and_go(spark, tmp_path):
         versions.evolve(spark, root, drop=["no such"])
 
 
+def test_a_plain_store_is_adopted(spark, tmp_path):
+    root = str(tmp_path / "chain")
+    old = [("A", "2023-12-29", "2024-01-19", 1, "C", 1), ("A", "2024-01-02", "2024-02-16", 1, "C", 1), ("0 7", "2024-01-02", "2024-03-15", 1, "C", 1)]
+    contracts(spark, old).withColumn("year", F.year("trade_date")).write.partitionBy("ticker", "year").parquet(root)
+    later = contracts(spark, [("A", "2024-01-02", "2024-02-16", 1, "C", 9), ("B", "2024-01-02", "2024-01-19", 1, "C", 2)])
+    with pytest.raises(ValueError, match="adopt"):
+        merge.upsert_chain(later, root)
+    assert store.read_chain(spark, root).count() == 3
+    versions.adopt(spark, root, merge.STORED_CHAIN, store.BY_TICKER_YEAR)
+    merge.upsert_chain(later, root)
+    assert sorted((x.ticker, x.year, x[OI]) for x in store.read_chain(spark, root).collect()) == [("0 7", 2024, 1), ("A", 2023, 1), ("A", 2024, 9), ("B", 2024, 2)]
+    assert {(x.ticker, str(x.expiration)) for x in store.read_expirations(spark, root).collect()} == {("A", "2024-01-19"), ("A", "2024-02-16"), ("0 7", "2024-03-15"), ("B", "2024-01-19")}
+
+
 # ---- order within a batch ------------------------------------------------------------------
 
 
