@@ -1,6 +1,8 @@
 """Time what grows with a store: features by number of tickers; a full, a range and a day's rebuild.
 
-MEASURE_SF_DIR (default /root/testdata/sf0.01) and MEASURE_CPUS (default 8); prints one JSON line.
+MEASURE_SF_DIR (default /root/testdata/sf0.01), MEASURE_CPUS (default 8) and MEASURE_COPIES
+(default 1,10,100: each ticker so many times) set the input; prints one JSON line a figure.
+The stores are those of the first number of copies.
 """
 
 from __future__ import annotations
@@ -41,24 +43,28 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    chain, ohlc, out = adapter.chain(spark, sf_dir), adapter.ohlc(spark, sf_dir), {}
+    chain, ohlc = adapter.chain(spark, sf_dir), adapter.ohlc(spark, sf_dir)
+    all_copies = [int(n) for n in os.environ.get("MEASURE_COPIES", "1,10,100").split(",")]
+
+    def say(name: str, work) -> None:
+        print(json.dumps({"sf": os.path.basename(sf_dir), "cpus": cpus, "metric": name, "seconds": seconds(work)}), flush=True)
+
     daily_features(chain, ohlc).write.format("noop").mode("overwrite").save()  # the first run compiles
-    for copies in (1, 10, 100):
+    for copies in all_copies:
         many = [x.crossJoin(F.broadcast(spark.range(copies))).withColumn("ticker", F.concat("ticker", F.col("id").cast("string"))).drop("id") for x in (chain, ohlc)]
         for name, df in zip(("chain", "ohlc"), many, strict=True):
             df.write.parquet(f"file://{folder}/{copies}/{name}")
         tables = [spark.read.parquet(f"file://{folder}/{copies}/{name}") for name in ("chain", "ohlc")]
-        out[f"features_{3 * copies}_tickers"] = seconds(lambda t=tables: daily_features(*t).write.format("noop").mode("overwrite").save())
+        say(f"features of {3 * copies} tickers", lambda t=tables: daily_features(*t).write.format("noop").mode("overwrite").save())
     root = f"file://{folder}/store"
-    chain, ohlc = (spark.read.parquet(f"file://{folder}/10/{name}") for name in ("chain", "ohlc"))
+    chain, ohlc = (spark.read.parquet(f"file://{folder}/{all_copies[0]}/{name}") for name in ("chain", "ohlc"))
     merge.upsert_chain(chain, f"{root}/chain")
     merge.upsert_ohlc(ohlc, f"{root}/ohlc")
     last = store.read_chain(spark, f"{root}/chain").agg(F.max("trade_date")).first()[0]
-    out["merge_one_day"] = seconds(lambda: merge.upsert_chain(chain.filter(F.col("trade_date") == F.lit(last)), f"{root}/chain"))
-    out["rebuild_full"] = seconds(lambda: jobs.rebuild(spark, root))
-    out["rebuild_45_days"] = seconds(lambda: jobs.rebuild(spark, root, last - timedelta(days=45), last))
-    out["add_one_day"] = seconds(lambda: carry.add_days(spark, root, last, last))
-    print(json.dumps({"sf": os.path.basename(sf_dir), "cpus": cpus, "seconds": out}))
+    say("merge one day", lambda: merge.upsert_chain(chain.filter(F.col("trade_date") == F.lit(last)), f"{root}/chain"))
+    say("rebuild full", lambda: jobs.rebuild(spark, root))
+    say("rebuild 45 days", lambda: jobs.rebuild(spark, root, last - timedelta(days=45), last))
+    say("add one day", lambda: carry.add_days(spark, root, last, last))
     spark.stop()
 
 
