@@ -1,14 +1,17 @@
 """Exact removal of long repeated word passages, by recompression.
 
-Rounds of run naming and pair naming turn each text into a few symbols.  A name is a
-64-bit fingerprint of its parts (a run: symbol and length; a pair: left and right), and
-whether two neighbours pair is a bit of each name; so every task gives equal word
-sequences the same interior symbols, without any table of names.  Each symbol knows its
-context: the words that settle it.  A 50-word window that contains the context of a
+Rounds of run naming and pair naming turn each text into a few symbols, once for each
+text.  A name is a 64-bit fingerprint of its parts (a run: symbol and length; a pair: left
+and right), and whether two neighbours pair is a bit of each name; so every task gives
+equal word sequences the same interior symbols, without any table of names.  Runs are
+named between the rounds of pairs and after them, so that a group of words that a text
+repeats folds to one symbol too.  Each symbol knows its context: the words that settle it.  A 50-word window that contains the context of a
 symbol contains that symbol in every text; hence a window can repeat only if all its
 symbols occur in several documents.  Spark groups the top symbols of all documents
 (one round over names), which reveals the candidate passages; their windows are then
-compared by 128-bit names, grouped by Spark again, which verifies them.  Windows that
+compared by two 64-bit names, grouped by Spark again, which verifies them; the two come
+from independent names of the words, so equal pairs are equal windows but for a chance of
+2^-128 or so.  Windows that
 contain no settled symbol (long runs) are always candidates, so nothing is lost.
 
 A whole text whose word sequence equals that of a smaller document is one symbol and is
@@ -35,10 +38,11 @@ from .shared import discard, maybe_present, presence, stored
 from .tokens import Words, combine, mix, slices
 
 WINDOW = 50
-STEPS, CAP = "RPPPPPPP", 14
+STEPS, CAP = "RPPPRPPPR", 14
 FILTER = 1 << 18  # rows of the filter over shared symbols
 _FAR = 1 << 40
 _SAT = 4095
+_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
 
@@ -126,17 +130,16 @@ def chains(packed: np.ndarray) -> list[tuple[int, int]]:
     return [(int(a), int(b)) for a, b in zip(lo[head] - gp[head] + 1, lo[tail] + gn[tail] - 1, strict=True)]
 
 
-def window_names(names: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit names of each window of the word names (polynomial, by prefix sums)."""
-    out = []
-    for seed, base in ((0, 0x9E3779B97F4A7C15), (1, 0xD1342543DE82EF95)):
-        n = len(names)
-        value = mix(names ^ np.uint64(seed * 0x5851F42D4C957F2D))
-        up = np.multiply.accumulate(np.full(n, np.uint64(base)))
-        down = np.multiply.accumulate(np.full(n, np.uint64(pow(base, -1, 1 << 64))))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value * up, dtype=np.uint64)])
-        out.append(mix((sums[window:] - sums[:-window]) * down[: max(0, n - window + 1)]) if n >= window else np.zeros(0, np.uint64))
-    return out[0], out[1]
+def window_names(words: Words, window: int, which: int = 0) -> np.ndarray:
+    """A 64-bit name of each window of the words (polynomial, by prefix sums); names 0 and 1 have independent names of words."""
+    names = words.hashes(which)
+    n = len(names)
+    if n < window:
+        return np.zeros(0, np.uint64)
+    up = np.multiply.accumulate(np.full(n, np.uint64(_BASES[which])))
+    down = np.multiply.accumulate(np.full(n, np.uint64(pow(_BASES[which], -1, 1 << 64))))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(names * up, dtype=np.uint64)])
+    return mix((sums[window:] - sums[:-window]) * down[: n - window + 1])
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -151,12 +154,12 @@ def _lists(values: np.ndarray, owner: np.ndarray, n: int) -> pa.Array:
 
 
 def _base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, doc_id, n_words, a, b, sha, open) of each text: its 128-bit name and open gaps."""
+    """(row, doc_id, n_words, a, b, sha, open, symbols, packed) of each text: its 128-bit name, open gaps and settled symbols."""
     for batch in batches:
         for at, to, data, offsets in slices(batch.column(2)):
             words = Words(data, offsets)
             names = words.hashes()
-            *_, gd, gf, gt = settled(names, words, WINDOW)
+            name, d, packed, gd, gf, gt = settled(names, words, WINDOW)
             a, b, sha = [], [], []
             for k in range(words.n):
                 own = data[offsets[k]:offsets[k + 1]].tobytes().split()
@@ -165,20 +168,11 @@ def _base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 a.append(int.from_bytes(digest.digest()[:8], "big", signed=True))
                 b.append(int.from_bytes(digest.digest()[8:16], "big", signed=True))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(at, to - at), batch.column(1).slice(at, to - at), pa.array(words.count), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sha, pa.string()), _lists((gf << 32) | gt, gd, words.n)],
-                ["row", "doc_id", "n_words", "a", "b", "sha", "open"],
+                [batch.column(0).slice(at, to - at), batch.column(1).slice(at, to - at), pa.array(words.count), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sha, pa.string()), _lists((gf << 32) | gt, gd, words.n), _lists(_signed(name), d, words.n), _lists(packed, d, words.n)],
+                ["row", "doc_id", "n_words", "a", "b", "sha", "open", "symbols", "packed"],
             )
 
 
-def _symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        for at, _, data, offsets in slices(batch.column(2)):
-            words = Words(data, offsets)
-            name, d, packed, *_ = settled(words.hashes(), words, WINDOW)
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(name)), pa.array(ids[at + d]), pa.array(rows[at + d]), pa.array(packed)], ["symbol", "doc_id", "row", "packed"])
-
-
 def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(row, doc_id, ranges) of the texts that have candidate windows."""
     for batch in batches:
@@ -201,7 +195,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranges = batch.column(2)
         for at, to, data, offsets in slices(batch.column(3)):
             words = Words(data, offsets)
-            h1, h2 = window_names(words.hashes(), WINDOW)
+            h1, h2 = window_names(words, WINDOW), window_names(words, WINDOW, 1)
             delta = np.zeros(len(words.doc) + 2, np.int64)
             for k in range(at, to):
                 packed = ranges[k].values.to_numpy(zero_copy_only=False)
@@ -224,8 +218,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for at, to, data, offsets in slices(batch.column(3)):
             words = Words(data, offsets)
-            h1, _ = window_names(words.hashes(), WINDOW)
-            h1 = _signed(h1)
+            h1 = _signed(window_names(words, WINDOW))
             for k in range(at, to):
                 first, n = words.first[k - at], words.count[k - at]
                 own = h1[first:max(first, first + n - WINDOW + 1)]
@@ -249,15 +242,16 @@ def _found(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """
     name = ["row", "doc_id"]
     rows = docs.select(F.xxhash64(key, text).alias("row"), F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    plain = stored(rows.mapInArrow(_base, "row long, doc_id long, n_words long, a long, b long, sha string, open array<long>"), "substring-base")
+    plain = stored(rows.mapInArrow(_base, "row long, doc_id long, n_words long, a long, b long, sha string, open array<long>, symbols array<long>, packed array<long>"), "substring-base")
     least = plain.filter(f"n_words >= {WINDOW} AND doc_id IS NOT NULL").groupBy("a", "b").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").drop("most")
     least = stored(least, "substring-least")  # a table of its own, like those below: a hot key's side of its join can be split
-    base = plain.join(least, ["a", "b"], "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False))).drop("a", "b", "least")
+    base = plain.join(least, ["a", "b"], "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False))).drop("a", "b", "least", "symbols", "packed")
     base = stored(base, "substring-copies")
 
     known = rows.filter("doc_id IS NOT NULL")
-    symbols = known.mapInArrow(_symbols, "symbol long, doc_id long, row long, packed long")
-    shared = symbols.groupBy("symbol").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("symbol")
+    named = plain.filter("doc_id IS NOT NULL")
+    symbols = named.select(*name, F.inline(F.arrays_zip(F.col("symbols").alias("symbol"), F.col("packed").alias("packed"))))
+    shared = named.select("doc_id", F.explode("symbols").alias("symbol")).groupBy("symbol").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("symbol")
     shared = stored(shared, "substring-shared")
     some = maybe_present(symbols, "symbol", presence(shared, FILTER), FILTER)  # most symbols occur once: they need no shuffle
     hits = some.join(shared, "symbol").groupBy(*name).agg(F.collect_set("packed").alias("hits"))

@@ -35,7 +35,7 @@ def texts(seed):
     long_one = [r.choice(big) for _ in range(400)]
     out = []
     for i in range(40):
-        kind = r.randrange(8)
+        kind = r.randrange(9)
         body = [r.choice(big) for _ in range(r.randrange(0, 120))]
         if kind == 0:
             body = [r.choice(vocab)] * r.randrange(40, 130)
@@ -51,6 +51,8 @@ def texts(seed):
             body[r.randrange(400)] = "edited"
         elif kind == 5:
             body = [r.choice(vocab[:2]) for _ in range(150)]
+        elif kind == 8:
+            body = big[: r.randrange(3, 10)] * r.randrange(10, 40) + body[:30]
         elif kind == 6 and out:
             body = out[r.randrange(len(out))][1].split()
         out.append((r.randrange(30) if r.random() < 0.2 else 100 + i, r.choice([" ", "\n", "\t "]).join(body)))
@@ -86,3 +88,28 @@ def test_equal_words_get_equal_symbols():
         name, lo, hi, _ = substrings.recompress(names, np.zeros(len(names), np.int64))
         seen.append({(int(n), int(a)) for n, a, b in zip(name, lo, hi) if a >= 30 and b <= 110})
     assert seen[0] == seen[1] and len(seen[0]) >= 3
+
+
+def symbols_of(text):
+    import numpy as np
+
+    from chainsurf.llm.tokens import Words
+
+    data = np.frombuffer(text.encode(), np.uint8)
+    words = Words(data, np.array([0, len(data)]))
+    return words, substrings.recompress(words.hashes(), words.doc)[0]
+
+
+def test_repeated_groups_of_words_fold():
+    for group in (["x"], ["a", "b"], ["a", "b", "c"], list("abcdefg")):
+        words, top = symbols_of(" ".join(group * 200))
+        assert len(words.start) == 200 * len(group) and len(top) <= 12
+
+
+def test_window_names_are_those_of_the_words():
+    words, _ = symbols_of(" ".join(["q"] + [f"w{i % 30}" for i in range(200)]))
+    for which in (0, 1):
+        h = substrings.window_names(words, W, which).tolist()
+        assert len(h) == 152 and len(set(h)) == 31 and h[1] == h[31] == h[61]
+    short, _ = symbols_of("one two")
+    assert len(substrings.window_names(short, W)) == 0
