@@ -14,8 +14,10 @@ Word lattices of a slice are solved together: forward and backward Viterbi score
 each word's best path and the loss of its second (the best path through any edge off
 the best one).  ``nbest`` then finds the N best of those few words by a backward A-star
 search whose heuristic, the forward Viterbi score of a node, is exact; a node is extended
-N times at most, so equal scores cost no more than others.  Their ids are put into the
-best path, which gives all N segmentations of the text.
+N times at most, so equal scores cost no more than others.  The N - 1 cheapest ways to
+leave one best path bound the losses that the search keeps, and its nodes and tails are
+numbers in arrays: some tens of bytes for each character of a word, however long.  Their ids
+are put into the best path, which gives all N segmentations of the text.
 
 Decoding joins the pieces' bytes and drops the leading space; it gives the very text,
 also for texts that hold the mark U+2581 (encoded as bytes) or control characters.
@@ -28,6 +30,7 @@ empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import heapq
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -96,6 +99,7 @@ class Pieces:
         for t in texts:
             for k in range(1, len(t) + 1):
                 prefixes[k].add(t[:k])
+        self.heads = frozenset().union(*prefixes)
         for k in range(1, self.longest + 1):  # by length: hashes of all prefixes, with id and score where one is a piece
             group = sorted(prefixes[k])
             h = np.zeros(len(group), np.uint64)
@@ -130,8 +134,8 @@ class Pieces:
         at, found = 0, []
         while at < len(order):
             if len(words[order[at]]) > LONG:  # a column for each of its characters would hold one number
-                two = self.nbest(words[order[at]], 2)
-                found.append((np.array(two[0][1]), np.array([len(two[0][1])]), np.array([two[0][0]]), np.array([two[0][0] - two[1][0] if len(two) > 1 else -1])))
+                two = self.paths(words[order[at]], 2)
+                found.append((two[0][1], np.array([len(two[0][1])]), np.array([two[0][0]]), np.array([two[0][0] - two[1][0] if len(two) > 1 else -1])))
                 at += 1
                 continue
             to, room = at, 0
@@ -229,49 +233,94 @@ class Pieces:
         return ids, np.bincount(of, minlength=m), best, np.where(loss < 1 << 60, loss, -1)
 
     def nbest(self, word: str, n: int) -> list[tuple[int, list[int]]]:
-        """The n best segmentations (score, ids) of a word or text with marks, best first, equal scores by their ids.  Scores are times ``scale``.
+        """The n best segmentations (score, ids) of a word or text with marks, best first, equal scores by their ids.  Scores are times ``scale``."""
+        return [(score, ids.tolist()) for score, ids in self.paths(word, n)]
+
+    def _into(self, word: str, e: int) -> Iterator[tuple[int, int, int]]:
+        """(start, id, score) of the edges that end at place e."""
+        for s in range(max(0, e - self.longest), e):
+            if found := self.texts.get(word[s:e]):
+                yield s, *found
+            elif s == e - 1:
+                yield s, self.byte_ids[_fallback(word[s])[0]], self.unknown
+
+    def _forward(self, word: str) -> array:
+        """The best score of a path to each place."""
+        size = len(word)
+        best = array("q", [NONE]) * (size + 1)
+        best[0] = 0
+        for s in range(size):
+            here = best[s]
+            for e in range(s + 1, min(size, s + self.longest) + 1):
+                text = word[s:e]
+                found = self.texts.get(text)
+                if found or e == s + 1:
+                    v = here + (found[1] if found else self.unknown)
+                    if v > best[e]:
+                        best[e] = v
+                if text not in self.heads:
+                    break
+        return best
+
+    def _bound(self, word: str, n: int, best: array) -> int:
+        """A loss that n segmentations do not exceed: a best path and the n - 1 least losses of those that first leave it, from the end, by some other edge."""
+        least: list[int] = []  # negative, the greatest loss first
+        e = len(word)
+        while e:
+            back = -1
+            for s, _, v in self._into(word, e):
+                loss = best[e] - best[s] - v
+                if back < 0 and not loss:
+                    back = s
+                elif len(least) < n - 1:
+                    heapq.heappush(least, -loss)
+                elif least and loss < -least[0]:
+                    heapq.heapreplace(least, -loss)
+            e = back
+        return -least[0] if least and len(least) == n - 1 else 0 if n == 1 else 1 << 62
+
+    def paths(self, word: str, n: int) -> list[tuple[int, np.ndarray]]:
+        """``nbest`` with ids as arrays.
 
         Forward Viterbi scores are the exact cost of what lies before a node; so a search from
         the end that always extends the tail with the least loss meets the segmentations in
         order.  Of equal losses the tail that begins further back goes first, then that with the
         lesser ids; so a node meets its tails in their final order, and the n first are enough.
         """
-        size = len(word)
-        best, edges = [0] + [NONE] * size, [[] for _ in range(size + 1)]
-        texts, longest = self.texts, self.longest
-        for s in range(size):
-            here = best[s]
-            for e in range(s + 1, min(size, s + longest) + 1):
-                found = texts.get(word[s:e])
-                if found or e == s + 1:
-                    i, v = found or (self.byte_ids[_fallback(word[s])[0]], self.unknown)
-                    edges[e].append((s, i, v))
-                    if here + v > best[e]:
-                        best[e] = here + v
-        tails: list[list[tuple[int, int, int, int]]] = [[] for _ in range(size + 1)]
-        heap = [(0, -size, -1, 0, 0, 0)]  # (loss, minus node, first id, rank of the rest, node of the rest, score)
-        while heap:
-            _, node, first, rank, then, score = heapq.heappop(heap)
-            node = -node
-            mine = tails[node]
-            if len(mine) >= n:
+        size, best = len(word), self._forward(word)
+        bound = self._bound(word, n, best)
+        tails = array("i", [0]) * (size + 1)  # their number at each node
+        begin, first, rest = array("i"), array("i"), array("i")  # of each tail: its node, first id and the tail after that
+        heap = [(0, -size, -1, 0, 0, -1)]  # (loss, minus node, first id, rank of the rest, node of the rest, the rest)
+        ends = []
+        while heap and len(ends) < n:
+            loss, node, i, _, _, after = heapq.heappop(heap)
+            node, rank = -node, tails[-node]
+            if rank >= n:
                 continue
-            mine.append((score, first, then, rank))
+            mine = len(rest)
+            tails[node] += 1
+            begin.append(node)
+            first.append(i)
+            rest.append(after)
             if not node:
-                if len(mine) == n:
-                    break
+                ends.append((mine, loss))
                 continue
-            for s, i, v in edges[node]:
-                if len(tails[s]) < n:
-                    heapq.heappush(heap, (best[size] - best[s] - score - v, -s, i, len(mine) - 1, node, score + v))
+            for s, i, v in self._into(word, node):
+                more = loss + best[node] - best[s] - v
+                if more <= bound and tails[s] < n:
+                    heapq.heappush(heap, (more, -s, i, rank, node, mine))
         out = []
-        for score, first, then, rank in tails[0]:
-            ids: list[int] = []
-            s = 0
-            while s < size:
-                ids += [first] if word[s:then] in texts else [self.byte_ids[x] for x in _fallback(word[s])]
-                s, (_, first, then, rank) = then, tails[then][rank]
-            out.append((score, ids))
+        for tail, loss in ends:
+            ids = array("i")
+            while rest[tail] >= 0:
+                s, e = begin[tail], begin[rest[tail]]
+                if word[s:e] in self.texts:
+                    ids.append(first[tail])
+                else:
+                    ids.extend(self.byte_ids[x] for x in _fallback(word[s]))
+                tail = rest[tail]
+            out.append((best[size] - loss, np.array(ids, np.int32)))
         return out
 
     def decode(self, ids) -> str:
@@ -304,10 +353,11 @@ class Encoder:
         if (key, n) not in self.lists:
             if len(self.lists) > LISTS:
                 self.lists.clear()
-            found = self.pieces.nbest(word, n)
-            rank = {i: r for r, i in enumerate(sorted(range(len(found)), key=lambda i: found[i][1]))}
+            found = self.pieces.paths(word, n)
+            order = [ids.astype(">i4").tobytes() for _, ids in found]  # sorts as the ids
+            rank = {i: r for r, i in enumerate(sorted(range(len(found)), key=order.__getitem__))}
             same = len({b"".join(self.pieces.spelled[i] for i in ids) for _, ids in found}) == 1
-            self.lists[key, n] = [(found[0][0] - s, rank[i], np.array(ids, "<i4").tobytes()) for i, (s, ids) in enumerate(found)], found[1][1] > found[0][1], same
+            self.lists[key, n] = [(found[0][0] - s, rank[i], ids.astype("<i4").tobytes()) for i, (s, ids) in enumerate(found)], order[1] > order[0], same
         return self.lists[key, n]
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, n: int):

@@ -136,3 +136,28 @@ def test_pipeline_rows_rebuild_the_corpus(spark):
     out = corpus_pipeline.encoded(spark, docs, "")
     assert {x.doc_id: x.text for x in pieces.decode(out).collect()} == {i: t or "" for i, t in enumerate(TEXTS)}
     assert all(x.round_trip for x in out.collect())
+
+
+def test_long_unspaced_text_needs_bounded_memory(model):
+    import tracemalloc
+
+    r = random.Random(8)
+    word = pieces.MARK + "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(40_000))
+    tracemalloc.start()
+    found = model.paths(word, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 * len(word)
+    assert [s for s, _ in found] == sorted((s for s, _ in found), reverse=True) and len({ids.tobytes() for _, ids in found}) == 3
+    assert all(model.decode(ids.tolist()) == word[1:] for _, ids in found)
+    ids, score, loss = model.solve([word])[0]
+    assert (score, score - loss) == (found[0][0], found[1][0]) and ids == found[0][1].tolist()
+
+
+def test_searches_under_a_bound_lose_nothing(model):
+    r = random.Random(21)
+    for _ in range(150):
+        word = "".join(r.choice(["a", "b", "=", "an", "th", "\x01", "é"]) for _ in range(r.randrange(0, 9)))[:9]
+        want = sorted(every(model, word), key=lambda x: (-x[0], x[1]))
+        for n in (1, 2, 3, 30):
+            assert model.nbest(word, n) == want[:n]
