@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import maybe_present, presence, stored, text_hash
+from .shared import maybe_present, presence, scratch, stored, text_hash
 from .tokens import NOT_PLAIN, Words, combine, mix, slices
 
 SIZE, SIMILARITY, BITS, RADIUS = 5, (4, 5), 512, 187
@@ -226,19 +226,20 @@ def _found(docs: DataFrame, items: DataFrame, key: str, text: str, item_key: str
     """``find`` with the id as k and the hash of the text as h."""
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).cast("string").alias("_text"), text_hash(text).alias("h"))
-    named = items.select(F.col(item_key).cast("bigint").alias("i"), F.col(item_text).cast("string").alias("t")).distinct()
-    named = stored(named.withColumn("item", F.xxhash64("i", "t")), "leak-items")
-    rare = stored(rare_grams(named.select("item", "t")), "leak-rare")
-    sizes = sorted({SIZE, *(r[0] for r in rare.filter(f"words < {SIZE}").select("words").distinct().collect())})
-    bits = spark.sparkContext.broadcast(_filter(rare.select("gram")))
-    hits = stored(rows.mapInArrow(_hits(bits, sizes), "k long, h long, gram long"), "leak-hits")
-    pairs = stored(hits.join(rare.select("gram", "item"), "gram").select("k", "h", "item").distinct(), "leak-pairs")
-    # a document with many items is searched in several tasks, each with some LISTED of them
-    many = pairs.groupBy("k", "h").agg(F.ceil(F.count(F.lit(1)) / LISTED).cast("long").alias("parts"))
-    same = F.col("a.k").eqNullSafe(F.col("b.k")) & (F.col("a.h") == F.col("b.h"))
-    dealt = pairs.alias("a").join(many.alias("b"), same).select("a.k", "a.h", "a.item", F.pmod(F.col("a.item"), F.col("b.parts")).alias("part"))
-    listed = dealt.join(named, "item").groupBy("k", "h", "part").agg(F.collect_list(F.struct("i", "t")).alias("items"))
-    listed = stored(listed.select("k", "h", "items"), "leak-listed")
+    with scratch(spark) as keep:
+        named = items.select(F.col(item_key).cast("bigint").alias("i"), F.col(item_text).cast("string").alias("t")).distinct()
+        named = stored(named.withColumn("item", F.xxhash64("i", "t")), "leak-items")
+        rare = stored(rare_grams(named.select("item", "t")), "leak-rare")
+        sizes = sorted({SIZE, *(r[0] for r in rare.filter(f"words < {SIZE}").select("words").distinct().collect())})
+        bits = spark.sparkContext.broadcast(_filter(rare.select("gram")))
+        hits = stored(rows.mapInArrow(_hits(bits, sizes), "k long, h long, gram long"), "leak-hits")
+        pairs = stored(hits.join(rare.select("gram", "item"), "gram").select("k", "h", "item").distinct(), "leak-pairs")
+        # a document with many items is searched in several tasks, each with some LISTED of them
+        many = pairs.groupBy("k", "h").agg(F.ceil(F.count(F.lit(1)) / LISTED).cast("long").alias("parts"))
+        same = F.col("a.k").eqNullSafe(F.col("b.k")) & (F.col("a.h") == F.col("b.h"))
+        dealt = pairs.alias("a").join(many.alias("b"), same).select("a.k", "a.h", "a.item", F.pmod(F.col("a.item"), F.col("b.parts")).alias("part"))
+        listed = dealt.join(named, "item").groupBy("k", "h", "part").agg(F.collect_list(F.struct("i", "t")).alias("items"))
+        listed = keep(stored(listed.select("k", "h", "items"), "leak-listed"))
     held = maybe_present(rows, "h", presence(listed.select("h")))
     both = held.alias("a").join(listed.alias("b"), same).select("a.k", "a.h", "a._text", "b.items")
     return both.mapInArrow(_searched, "k long, h long, item_id long, similarity double, start long, words long")

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import discard, maybe_present, presence, stored, text_hash
+from .shared import discard, maybe_present, presence, scratch, stored, text_hash
 from .tokens import Words, combine, mix, slices
 
 SKETCH, RARE, ENOUGH, OVERLAPS, DEVIATIONS = 64, 40, 54, 2, 6
@@ -191,16 +191,17 @@ def components(edges: DataFrame, what: str = "components") -> DataFrame:
     end when no label changes.  All rounds are joins and aggregations of distributed tables.
     """
     both = stored(edges.select("x", "y").union(edges.select("y", "x")).distinct(), what + "-edges")
-    labels = stored(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.first("x")).alias("least")), what)
+    labels = held = stored(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.first("x")).alias("least")), what)
     while True:
         near = both.join(labels.withColumnRenamed("node", "y"), "y").groupBy(F.col("x").alias("node")).agg(F.min("least").alias("near"))
         near = labels.join(near, "node").select("node", F.col("least").alias("was"), F.least("least", "near").alias("least"))
         jump = labels.select(F.col("node").alias("least"), F.col("least").alias("on"))
         new = stored(near.join(jump, "least").select("node", "was", F.least("least", "on").alias("least")), what)
-        discard(labels)
-        labels = new.drop("was")
+        discard(held)
+        held, labels = new, new.drop("was")
         if new.filter("least <> was").isEmpty():
             discard(both)
+            labels._folder = new._folder
             return labels
 
 
@@ -343,7 +344,8 @@ def _judged(docs: DataFrame, key: str, text: str, size: int, percent: int) -> Da
     sketched = _sketched(docs, key, text, size)
     nodes = sketched.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("id"), F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "h")).alias("row"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     nodes = stored(nodes, "near-nodes")
-    linked = _linked(docs, nodes, key, text, size, percent)
+    with scratch(docs.sparkSession) as keep:
+        linked = keep(_linked(docs, nodes, key, text, size, percent))
     ids = nodes.select("node", "id", "row").join(linked, "node", "left").select("node", "id", "row", F.coalesce("least", "node").alias("part"))
     part_ids = ids.groupBy("part").agg(F.min("id").alias("component_id"), F.min("row").alias("row"))
     named = ids.select("node", "part").join(part_ids, "part").select("node", "component_id", "row")

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,19 +30,57 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+#: Folders of the tables stored inside the innermost ``scratch``; None outside of any.
+_SCRATCH: ContextVar[list[str] | None] = ContextVar("_SCRATCH", default=None)
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it: this cuts its lineage."""
     path = new_path(df.sparkSession, what)
+    if _SCRATCH.get() is not None:
+        _SCRATCH.get().append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._folder = path
+    return out
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def discard(*tables: DataFrame) -> None:
     """Delete tables of ``stored`` that nothing reads any more, so that a run holds few of them at once."""
     for df in tables:
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        delete(df.sparkSession, df._folder)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables stored inside go at the end, also of a failed run, but for those handed to what it yields.
+
+    What is kept belongs to the scratch around this one, if there is one.
+    """
+    held, kept = [], set()
+    outer = _SCRATCH.set(held)
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._folder)
+        return df
+
+    try:
+        yield keep
+    except BaseException:
+        kept.clear()
+        raise
+    finally:
+        _SCRATCH.reset(outer)
+        for folder in held:
+            if folder not in kept:
+                delete(spark, folder)
+        if _SCRATCH.get() is not None:
+            _SCRATCH.get().extend(kept)
 
 
 def let(value, body):

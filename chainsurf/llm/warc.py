@@ -30,7 +30,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import maybe_present, new_path, presence, stored
+from .shared import delete, maybe_present, new_path, presence, scratch, stored
 
 GAP, CHUNK, PER_FILE = 1 << 16, 1 << 23, 20_000
 END = "\r\n\r\n"
@@ -97,7 +97,8 @@ def records(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
 
 
 def write(pages: DataFrame, path: str, per_file: int = PER_FILE, **names) -> None:
-    records(pages, **names).write.option("lineSep", END).option("maxRecordsPerFile", per_file).text(path)
+    with scratch(pages.sparkSession):
+        records(pages, **names).write.option("lineSep", END).option("maxRecordsPerFile", per_file).text(path)
 
 
 def _open(path: str):
@@ -152,8 +153,9 @@ def index(spark: SparkSession, path: str) -> DataFrame:
     """The index of all archives under ``path``, stored as a table: one row per record, one task per archive."""
     files = spark.read.format("binaryFile").load(path).select("path", "length")
     many = max(1, files.count())
-    files = stored(files.filter("length > 0"), "warc-files")
-    return stored(files.select("path").repartition(min(many, 4096)).mapInArrow(_index, INDEX), "warc-index")
+    with scratch(spark) as keep:
+        files = stored(files.filter("length > 0"), "warc-files")
+        return keep(stored(files.select("path").repartition(min(many, 4096)).mapInArrow(_index, INDEX), "warc-index"))
 
 
 def ranges(rows: list[tuple[int, int]], gap: int = GAP, chunk: int = CHUNK) -> list[tuple[int, int, list[int]]]:
@@ -232,9 +234,13 @@ def round_trip(pages: DataFrame, **names) -> DataFrame:
     """
     spark = pages.sparkSession
     path = new_path(spark, "warc")
-    write(pages, path, **names)
-    got = read(index(spark, path)).select("page_id", F.length("payload").cast("bigint").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to")
-    got = stored(got, "warc-read")
+    try:
+        with scratch(spark) as keep:
+            write(pages, path, **names)
+            got = read(index(spark, path)).select("page_id", F.length("payload").cast("bigint").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to")
+            got = keep(stored(got, "warc-read"))
+    finally:  # what was read back is a table of its own
+        delete(spark, path)
     own, revisit = got.filter("record_type = 'response'"), got.filter("record_type = 'revisit'").drop("payload_bytes")
     # rows may share an id: the digest in the revisit's own header picks the response
     first = own.filter("page_id IS NOT NULL").select(F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest").distinct()
