@@ -5,40 +5,46 @@ something else than the article (menus, footers, forms, adverts, comments, ...),
 stands in a marked article or main part, and whether most of it is links.  The pages of a
 host are then laid end to end as one stream of words and block bounds, and the sorted
 suffixes of the stream (prefix doubling, down to ``DEPTH`` tokens) bring equal strings of
-``DEPTH`` tokens together.  Strings that many distinct pages of the host hold are its
+``DEPTH`` tokens together.  Strings that many distinct articles of the host come with are its
 boilerplate: outside a marked article the words they cover are taken out and the unique
-runs stay; inside, only blocks that are covered whole, and by strings of most pages, go.
+runs stay; inside, only blocks that are covered whole, and by strings of most articles, go.
 Blocks that their markup names go in any case, as do blocks beside a marked article.
 
-Pages are exchanged once, by host.  A task holds one section at a time: the next pages of
-a host, in the order of a hash of their urls, up to ``SECTION`` bytes.  A host with more
-than a 4,096th of all bytes (and ``PART`` at least) is first dealt into parts by the same
-hash; these hosts are 4,096 at most, so their table may be broadcast.  Shares of pages are
-taken within a section.
-
-Pages with the same article count as one page.  A page that is covered for the most part
-is a copy, not boilerplate, and loses nothing inside its article.  Null html and pages
-without any text give an empty text; null urls share one host.  Equal pages give equal
-texts; extra columns are left out.
+Strings are counted over the whole host, however large it or the table is.  Of pages with
+the same article one counts, that of the smallest hash.  Pages are exchanged once, by host
+and, for hosts with more than a 4,096th of all bytes (4,096 at most, so their table may be
+broadcast), by a hash of the article, so that equal articles meet.  Three passes read that
+exchange.  The first sorts suffixes section by section (``SECTION`` bytes of pages that
+count) and reports strings of a fifth of a section's articles: a string of a fifth of the
+host's is reported by one section at least, and what sections don't report is bounded, so
+that few candidates stay.  The second counts these in every section, the third takes the
+boilerplate out.  How a host is dealt and cut decides who counts, not what comes out.
+Between sections a string goes by 64 bits.
+
+A page that is covered for the most part is a copy, not boilerplate, and loses nothing
+inside its article.  Null html and pages without any text give an empty text; null urls
+share one host.  Equal pages of a host give equal texts; extra columns are left out.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import discard, stored
 
 DEPTH = 8
 SECTION, PART, HOSTS = 1 << 20, 1 << 18, 4096
-#: (least pages, least share of a section's pages) that make a string boilerplate, beside and in a marked article.
+#: (least articles, least share of a host's articles) that make a string boilerplate, beside and in a marked article.
 OUTSIDE, INSIDE = (3, 0.2), (4, 0.6)
 
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -260,30 +266,94 @@ def covered(starts: np.ndarray, depth: int = DEPTH) -> np.ndarray:
     return np.cumsum(edge)[:len(starts)] > 0
 
 
-def section_texts(pages: list[tuple[str, str]]) -> list[str]:
-    """The main texts of the pages of one section; a page is its block texts and their marks, one line and one character a block."""
-    split = [(t.split("\n") if m else [], [ord(c) - 48 for c in m]) for t, m in pages]
-    names: dict[str, int] = {"\n": 0}
-    contents: dict[str, int] = {}
-    tokens: list[int] = []
-    page: list[np.ndarray] = []
-    content, roots = [], []
-    for i, (texts, marks) in enumerate(split):
-        root = _root(texts, marks)
-        roots.append(root)
-        article = "\n".join(t for t, m in zip(texts, marks, strict=True) if m >> 2 >= root and not m & 2)
-        content.append(contents.setdefault(article, len(contents)))
-        before = len(tokens)
-        for t in texts:
-            tokens.append(0)
-            tokens.extend([names.setdefault(w, len(names)) for w in t.split(" ")])
-        page.append(np.full(len(tokens) - before, i, dtype=np.int64))
-    pages_of = np.concatenate(page) if page else np.zeros(0, np.int64)
-    spread = host_spread(np.array(tokens, dtype=np.int64), pages_of, np.array(content, dtype=np.int64)[pages_of])
-    outside, inside = (covered(spread >= max(least, share * len(contents))) for least, share in (OUTSIDE, INSIDE))
+class Laid:
+    """Pages as one stream of tokens; a page is its block texts and their marks, one line and one character a block."""
+
+    def __init__(self, pages: list[tuple[str, str]]):
+        self.split = [(t.split("\n") if m else [], [ord(c) - 48 for c in m]) for t, m in pages]
+        self.names: dict[str, int] = {"\n": 0}
+        names, tokens, page = self.names, [], []
+        for i, (texts, _) in enumerate(self.split):
+            before = len(tokens)
+            for t in texts:
+                tokens.append(0)
+                tokens.extend([names.setdefault(w, len(names)) for w in t.split(" ")])
+            page.append(np.full(len(tokens) - before, i, dtype=np.int64))
+        self.tokens = np.array(tokens, dtype=np.int64)
+        self.page = np.concatenate(page) if page else np.zeros(0, np.int64)
+
+    def strings(self) -> tuple[np.ndarray, np.ndarray]:
+        """The places of strings of ``DEPTH`` tokens that stay in their page, and their 64-bit names: the same in all tasks."""
+        n = max(len(self.tokens) - DEPTH + 1, 0)
+        word = np.array([_name(w) for w in self.names], dtype=np.int64).view(np.uint64)[self.tokens]
+        name = np.zeros(n, dtype=np.uint64)
+        for i in range(DEPTH):
+            name = name * np.uint64(0x9E3779B97F4A7C15) + word[i:n + i]
+        at = np.flatnonzero(self.page[:n] == self.page[DEPTH - 1:]) if n else np.zeros(0, np.int64)
+        return at, name[at].view(np.int64)
+
+
+def _name(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def article(texts: list[str], marks: list[int]) -> str:
+    """The blocks of a page's article, before boilerplate is taken out."""
+    root = _root(texts, marks)
+    return "\n".join(t for t, m in zip(texts, marks, strict=True) if m >> 2 >= root and not m & 2)
+
+
+def section_strings(pages: list[tuple[str, str]], whole: bool = False) -> tuple[np.ndarray, np.ndarray, int]:
+    """(names, in how many pages, least number of pages) of the strings that a section of distinct articles reports.
+
+    These are its share of what may be boilerplate of the host; a section that is the
+    ``whole`` host leaves out what can't be.
+    """
+    laid = Laid(pages)
+    least = max(math.ceil(OUTSIDE[1] * len(pages) - 1e-9), OUTSIDE[0] if whole else 1)
+    at, names = laid.strings()
+    spread = host_spread(laid.tokens, laid.page, laid.page)[at]
+    found, first = np.unique(names[spread >= least], return_index=True)
+    return found, spread[spread >= least][first], least
+
+
+def section_counts(pages: list[tuple[str, str]], wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the sorted ``wanted`` names that occur, with the number of pages that hold them."""
+    laid = Laid(pages)
+    at, names = laid.strings()
+    here = _within(names, wanted)
+    name, page = names[here], laid.page[at[here]]
+    order = np.lexsort((page, name))
+    name, page = name[order], page[order]
+    fresh = np.ones(len(name), dtype=bool)
+    fresh[1:] = (name[1:] != name[:-1]) | (page[1:] != page[:-1])
+    return np.unique(name[fresh], return_counts=True)
+
+
+def _within(names: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Which names are in a sorted table?"""
+    if not len(table):
+        return np.zeros(len(names), dtype=bool)
+    return table[np.minimum(np.searchsorted(table, names), len(table) - 1)] == names
+
+
+def section_texts(pages: list[tuple[str, str]], boilerplate: tuple[np.ndarray, np.ndarray] | None = None) -> list[str]:
+    """The main texts of pages, by the sorted names of the host's boilerplate beside and in a marked article; if not given, the pages are a host."""
+    laid = Laid(pages)
+    if boilerplate is None:
+        contents: dict[str, int] = {}
+        content = np.array([contents.setdefault(article(*x), len(contents)) for x in laid.split], dtype=np.int64)
+        spread = host_spread(laid.tokens, laid.page, content[laid.page])
+        outside, inside = (covered(spread >= max(least, share * len(contents))) for least, share in (OUTSIDE, INSIDE))
+    else:
+        at, names = laid.strings()
+        outside, inside = (np.zeros(len(laid.tokens), dtype=bool) for _ in boilerplate)
+        for starts, table in zip((outside, inside), boilerplate, strict=True):
+            starts[at] = _within(names, table)
+        outside, inside = covered(outside), covered(inside)
     out, at = [], 0
-    for (texts, marks), root in zip(split, roots, strict=True):
-        kept, whole, mine, theirs = [], [], 0, 0
+    for texts, marks in laid.split:
+        root, kept, whole, mine, theirs = _root(texts, marks), [], [], 0, 0
         for t, m in zip(texts, marks, strict=True):
             words = t.split(" ")
             here = slice(at + 1, at + 1 + len(words))
@@ -323,23 +393,24 @@ def _host(url: str):
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """(page_id, url, host, texts, marks) of each page; one line of ``texts`` and one character of ``marks`` is a block."""
+    """(page_id, url, host, texts, marks, content) of each page; one line of ``texts`` and one character of ``marks`` is a block, ``content`` a hash of the article."""
     rows = pages.select("page_id", "url", _host("url").alias("host"), "html")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, marks = [], []
+            texts, marks, contents = [], [], []
             for page in batch.column("html"):
                 found = list(blocks(page.as_py() or ""))
                 texts.append("\n".join(b[0] for b in found))
                 marks.append("".join(chr(48 + 4 * level + 2 * named + links) for _, level, named, links in found))
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), batch.column("host"), pa.array(texts, pa.string()), pa.array(marks, pa.string())], ["page_id", "url", "host", "texts", "marks"])
+                contents.append(_name(article([b[0] for b in found], [4 * level + 2 * named + links for _, level, named, links in found])))
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), batch.column("host"), pa.array(texts, pa.string()), pa.array(marks, pa.string()), pa.array(contents, pa.int64())], ["page_id", "url", "host", "texts", "marks", "content"])
 
-    return rows.mapInArrow(read, f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, host string, texts string, marks string")
+    return rows.mapInArrow(read, f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, host string, texts string, marks string, content long")
 
 
 def _crowded(pages: DataFrame) -> DataFrame:
-    """(host, n_parts) of the hosts with more than a share of all bytes; at most ``HOSTS`` rows."""
+    """(host, n_parts) of the hosts with more than a share of all bytes, at most ``HOSTS`` rows: how the work is dealt, no matter for its results."""
     sizes = stored(pages.select(_host("url").alias("host"), F.octet_length(F.coalesce("html", F.lit(""))).alias("n")).groupBy("host").agg(F.sum("n").alias("n")), "hosts")
     total = sizes.agg(F.sum("n")).first()[0] or 0
     most = max(PART, total // HOSTS)
@@ -348,31 +419,97 @@ def _crowded(pages: DataFrame) -> DataFrame:
     return pages.sparkSession.createDataFrame(found, "host string, n_parts long")
 
 
+def _frequent(counts: DataFrame) -> DataFrame:
+    """(host, name, n, articles) of strings in at least the least share of a host's articles, from sections' counts.
+
+    A section says (host, name, n, least): a string is in n of its articles, and strings
+    that it doesn't name in fewer than ``least``.  Its row without a name counts its articles.
+    """
+    rows = counts.groupBy("host", "name").agg(F.sum("n").alias("n"), F.sum(F.col("least") - 1).alias("unsaid"))
+    host, total = Window.partitionBy("host"), F.col("name").isNull()
+    rows = rows.withColumns({"articles": F.max(F.when(total, F.col("n"))).over(host), "slack": F.max(F.when(total, F.col("unsaid"))).over(host)})
+    most = F.col("n") - F.col("unsaid") + F.col("slack")
+    return rows.filter(~total & (most >= F.greatest(F.lit(OUTSIDE[0]), OUTSIDE[1] * F.col("articles")))).select("host", "name", "n", "articles")
+
+
+def _sections(batches: Iterator[pa.RecordBatch], all_pages: bool) -> Iterator[tuple[dict, list[dict], bool]]:
+    """(first row of the part, the next rows, are these all of the part?) in sections of ``SECTION`` bytes; either all pages or the first of each article."""
+    key, head, held, size, content, cut = None, None, [], 0, None, False
+    for batch in batches:
+        for row in batch.to_pylist():
+            if key != (row["host"], row["_part"]):
+                if held:
+                    yield head, held, not cut
+                key, head, held, size, content, cut = (row["host"], row["_part"]), row, [], 0, None, False
+            if not all_pages and row["content"] == content:
+                continue
+            if held and size > SECTION:
+                cut = True
+                yield head, held, False
+                held, size = [], 0
+            content = row["content"]
+            held.append(row)
+            size += len(row["texts"])
+    if held:
+        yield head, held, not cut
+
+
+_COUNTS = pa.schema([("host", pa.string()), ("name", pa.int64()), ("n", pa.int64()), ("least", pa.int64())])
+
+
+def _said(host: str, names: np.ndarray, counts: np.ndarray, n_pages: int, least: int) -> pa.RecordBatch:
+    """A section's counts, and last that of its articles."""
+    rows = len(names) + 1
+    return pa.RecordBatch.from_arrays([pa.array([host] * rows, pa.string()), pa.array([*names.tolist(), None], pa.int64()), pa.array([*counts.tolist(), n_pages], pa.int64()), pa.array([least] * rows, pa.int64())], schema=_COUNTS)
+
+
+def _reported(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for head, rows, alone in _sections(batches, False):
+        names, counts, least = section_strings([(r["texts"], r["marks"]) for r in rows], alone and head["n_parts"] == 1)
+        yield _said(head["host"], names, counts, len(rows), least)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for head, rows, _ in _sections(batches, False):
+        wanted = np.sort(np.array(head["beside"] or [], dtype=np.int64))
+        names, counts = section_counts([(r["texts"], r["marks"]) for r in rows], wanted) if len(wanted) else (wanted, wanted)
+        yield _said(head["host"], names, counts, len(rows), 1)
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars): the main text of every page, its blocks joined by an empty line."""
-    name = F.xxhash64("url", "page_id")
-    dealt = parsed(pages).join(F.broadcast(_crowded(pages)), "host", "left").withColumn("_name", name)
-    dealt = dealt.withColumn("_part", F.pmod("_name", F.coalesce("n_parts", F.lit(1)))).repartition("host", "_part")
-    rows = dealt.sortWithinPartitions("host", "_part", "_name", "page_id", "texts").select("host", "_part", "page_id", "url", "texts", "marks")
+    crowded = F.broadcast(_crowded(pages))
+    part, order = ["host", "_part"], ["content", "_name", "page_id", "texts", "marks"]
+    dealt = parsed(pages).join(crowded, "host", "left").withColumns({"_name": F.xxhash64("url", "page_id"), "n_parts": F.coalesce("n_parts", F.lit(1))})
+    dealt = dealt.withColumn("_part", F.pmod("content", "n_parts")).repartition(*part)
+    rows = dealt.withColumn("_first", F.row_number().over(Window.partitionBy(*part).orderBy(*order)) == 1)
+
+    def told(names: DataFrame) -> DataFrame:
+        """The rows, the first of each part with the names of its host: of one string in ``beside``, and in ``within`` if most articles have it."""
+        most = F.col("n") >= F.greatest(F.lit(INSIDE[0]), INSIDE[1] * F.col("articles"))
+        by_host = names.groupBy("host").agg(F.collect_list("name").alias("beside"), F.collect_list(F.when(most, F.col("name"))).alias("within"))
+        spread = by_host.join(crowded, "host", "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("n_parts", F.lit(1)) - 1)))
+        spread = spread.select(F.col("host").alias("_h"), F.col("_part").alias("_p"), "beside", "within")
+        same = (F.col("host") == F.col("_h")) & (F.col("_part") == F.col("_p")) & F.col("_first")
+        return rows.join(spread.hint("merge"), same, "left").drop("_h", "_p").sortWithinPartitions(*part, F.desc("_first"), *order)
+
+    maybe = _frequent(rows.sortWithinPartitions(*part, *order).mapInArrow(_reported, "host string, name long, n long, least long"))
+    sure = _frequent(told(maybe).mapInArrow(_counted, "host string, name long, n long, least long"))
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        group, size, kind = None, 0, None
-
-        def flush() -> pa.RecordBatch:
-            texts = section_texts([(t, m) for _, _, t, m in held])
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in held], kind), pa.array([x[1] for x in held], pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
-
-        for batch in batches:
-            kind = batch.schema.field("page_id").type
-            for host, part, page_id, url, texts, marks in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if held and (group != (host, part) or size > SECTION):
-                    yield flush()
-                    held, size = [], 0
-                group = (host, part)
-                held.append((page_id, url, texts, marks))
-                size += len(texts)
-        if held:
-            yield flush()
-
-    return rows.mapInArrow(clean, f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")
+        kind = None
+
+        def seen() -> Iterator[pa.RecordBatch]:
+            nonlocal kind
+            for batch in batches:
+                kind = batch.schema.field("page_id").type
+                yield batch
+
+        for head, held, _ in _sections(seen(), True):
+            boilerplate = tuple(np.sort(np.array(head[c] or [], dtype=np.int64)) for c in ("beside", "within"))
+            distinct = list({(r["texts"], r["marks"]): None for r in held})
+            found = dict(zip(distinct, section_texts(distinct, boilerplate), strict=True))
+            texts = [found[r["texts"], r["marks"]] for r in held]
+            yield pa.RecordBatch.from_arrays([pa.array([r["page_id"] for r in held], kind), pa.array([r["url"] for r in held], pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+
+    return told(sure).mapInArrow(clean, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")

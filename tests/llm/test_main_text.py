@@ -94,3 +94,30 @@ def test_crowded_host_and_long_page(spark):
     got = {x.page_id: x.text for x in m.extract(df).collect()}
     assert got[1] == text and got[2] == "t2\n\nsame text" and len(got) == 399
     assert m.extract(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_a_host_is_counted_whole_however_it_is_dealt_and_cut(spark, monkeypatch):
+    r = random.Random(8)
+    body = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    banners = [body(12) for _ in range(4)]  # on 24, 12, 8 and 6 of 25 distinct pages; below a fifth of them on fewer than 5
+    rare, same = body(12), body(14)
+    rows = []
+    for i in range(25):
+        tops = [b for k, b in enumerate(banners, 1) if i and i % k == 0] + [rare] * (i < 4)
+        rows.append((i, f"http://h.example.com/{i}", "".join(f"<div>{t}</div>" for t in tops) + f"<div>{body(30)}</div>"))
+    rows += [(100 + i, f"http://h.example.com/again/{i}", rows[i % 3][2]) for i in range(40)]  # copies count once
+    rows += [(200 + i, f"http://m.example.com/{i}", f"<article><p>{body(20)}<p>{same if i < 7 else body(14)}<p>{body(9)}</article>") for i in range(11)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = None
+    for part, section in ((m.PART, m.SECTION), (500, m.SECTION), (2_000, 1), (m.PART, 700), (300, 900)):
+        monkeypatch.setattr(m, "PART", part)
+        assert (m._crowded(df).count() > 0) == (part < 1 << 18)
+        monkeypatch.setattr(m, "SECTION", section)
+        got = {x.page_id: x.text for x in m.extract(df.repartition(3)).collect()}
+        want = got if want is None else want
+        assert got == want
+    assert not any(b in t for b in banners for t in want.values()) and sum(rare in want[i] for i in range(25)) == 4
+    assert all(want[100 + i] == want[i % 3] for i in range(40)) and not any(same in t for t in want.values())
+    # other hosts, however large, change nothing
+    more = spark.createDataFrame([(1000 + i, f"http://other{i}.example.com/", "<p>" + body(40)) for i in range(50)], SCHEMA)
+    assert {x.page_id: x.text for x in m.extract(df.unionByName(more)).collect() if x.page_id < 1000} == want
