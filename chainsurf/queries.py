@@ -217,12 +217,12 @@ def upsert_chain(chain, ohlc):
 
 @query("SELECT * REPLACE (CAST(CASE WHEN option_type = 'C' AND strike > 110 THEN oi * 40 WHEN strike > 100 THEN oi * 30 WHEN option_type = 'C' THEN oi * 20 ELSE oi * 10 END AS BIGINT) AS oi) FROM chain")
 def upsert_chain_in_order(chain, ohlc):
-    """One batch of several files, of falling and then rising size, that repeat keys: the row of the last file wins."""
+    """One batch of several folders of files, of falling and then rising size, that repeat keys: the row of the last folder wins."""
     spark = chain.sparkSession
     root, landed = new_root(spark, "chain"), new_root(spark, "landed")
     few = chain.filter("option_type = 'C' AND strike > 110")
     for i, part in enumerate((chain, chain.filter("option_type = 'C'"), few, chain.filter("strike > 100"), few)):
-        part.withColumn(OI, F.col(OI) * (10, 20, 1, 30, 40)[i]).coalesce(1).write.parquet(f"{landed}/{i}")
+        part.withColumn(OI, F.col(OI) * (10, 20, 1, 30, 40)[i]).write.parquet(f"{landed}/{i}")
     merge.upsert_chain(chain.withColumn(OI, F.lit(0).cast("bigint")), root)
     merge.upsert_chain(merge.read_in_order(spark, *[f"{landed}/{i}" for i in range(5)], schema=CHAIN), root)
     return store.read_chain(spark, root).drop("year")
@@ -634,7 +634,7 @@ def stream_refresh(chain, ohlc):
     taken = landed(chain.filter(day == AS_OF).withColumn(OI, F.col(OI) * 2), "records", "snapshot", AS_OF)
     first = landed(store.filter_range(chain, ago, AS_OF - timedelta(days=1)), "header", "history", AS_OF)
     for i, rows in enumerate((late, taken, first)):
-        rows.coalesce(1).write.mode("append").json(f"{root}/landing")
+        rows.repartition(1).write.mode("append").json(f"{root}/landing")
     days = chain.select("trade_date").distinct()
     for again in range(2):
         arrivals = streaming.read_landing(spark, f"{root}/landing", 1, streaming.ARRIVALS)

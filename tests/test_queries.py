@@ -5,7 +5,9 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from chainsurf import queries
 from chainsurf.queries import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -35,3 +37,14 @@ def test_entry(spark):
 
     assert set(QUERIES) <= set(__spark_entry__.queries()) and set(ORACLES) <= set(__spark_entry__.oracle_sql())
     assert len(__spark_entry__.entry(spark).columns) == 98
+
+
+def test_no_task_lands_a_whole_batch(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(queries, "new_root", lambda spark, what: f"file://{tmp_path}/{what}")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        n = QUERIES["upsert_chain_in_order"](spark, DATA).count()
+        sizes = [r["count"] for r in spark.read.parquet(f"file://{tmp_path}/landed/0").groupBy(F.input_file_name()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(sizes) == n and len(sizes) > 1 and max(sizes) < n / 2
