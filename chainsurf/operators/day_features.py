@@ -31,7 +31,8 @@ def with_dte(chain: DataFrame) -> DataFrame:
 
 def joined(chain: DataFrame, days: DataFrame) -> DataFrame:
     """The chain with dte, spots, next_monthly and front (is this the day's nearest live expiry?)."""
-    rows = with_dte(chain.select(*DAY_KEY, "expiration", "strike", "option_type", OI)).join(days, DAY_KEY)
+    rows = with_dte(chain.select(*DAY_KEY, "expiration", "strike", "option_type", OI))
+    rows = rows.join(days.hint("merge"), DAY_KEY)  # files of a chain are small for their rows: broadcast, it would leave all rows to the few tasks of the days
     nearest = F.min(F.when(F.col("dte") >= 0, F.col("expiration"))).over(Window.partitionBy(*DAY_KEY))
     return rows.withColumn("front", F.coalesce(F.col("expiration") == nearest, F.lit(False)))
 

@@ -127,3 +127,11 @@ def test_exchanges(spark):
     finally:
         for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled"):
             spark.conf.unset(k)
+
+
+def test_the_chain_is_dealt_by_day_however_small_its_files(spark):
+    table, series = chain(spark, [(n, 10, 100, "C", 5) for n in range(5)]), prices(spark, [(0, 1.0, 1.0)])
+    rows = day_features.joined(table, day_features.day_dim(table, series))
+    rows.collect()
+    plan = plan_of(rows)
+    assert "SortMergeJoin [ticker" in plan and "BuildLeft" not in plan
