@@ -592,13 +592,20 @@ REFRESHED_SQL = f""", refreshed AS (SELECT ticker, trade_date, expiration, strik
 WHERE trade_date < DATE '{AS_OF}' - 10 OR strike NOT IN (80, 82.5, 85, 87.5) AND (trade_date <= DATE '{AS_OF}' OR trade_date = DATE '{AS_OF}' + 1 AND option_type = 'C'))"""
 
 
+def _calendar(chain: DataFrame, root: str) -> DataFrame:
+    """The chain's days as a small table of its own, so that no refresh or micro-batch folds the whole chain for them again."""
+    days = chain.select("trade_date").distinct()
+    days.write.parquet(f"{root}/calendar")
+    return chain.sparkSession.read.schema(days.schema).parquet(f"{root}/calendar")
+
+
 def _refreshed(chain: DataFrame, ohlc: DataFrame) -> str:
     """A store of older rows, a daily refresh, and the next day's: its late history overwrites the calls of the snapshot."""
     spark, day = chain.sparkSession, F.col("trade_date")
     root, ago, next_day = new_root(spark, "daily"), AS_OF - timedelta(days=10), AS_OF + timedelta(days=1)
     merge.upsert_chain(chain.filter(day < ago), f"{root}/chain")
     merge.upsert_ohlc(ohlc.filter(day < ago), f"{root}/ohlc")
-    days = chain.select("trade_date").distinct()
+    days = _calendar(chain, root)
     prices = store.filter_range(ohlc, ago, next_day)
     landed = adapter.payloads(store.filter_range(chain, ago, AS_OF - timedelta(days=1)), "header")
     snapshot = adapter.payloads(chain.filter(day == AS_OF).withColumn(OI, F.col(OI) * 2), "records").withColumnRenamed("requested_date", "taken_on")
@@ -635,7 +642,7 @@ def stream_refresh(chain, ohlc):
     first = landed(store.filter_range(chain, ago, AS_OF - timedelta(days=1)), "header", "history", AS_OF)
     for i, rows in enumerate((late, taken, first)):
         rows.repartition(1).write.mode("append").json(f"{root}/landing")
-    days = chain.select("trade_date").distinct()
+    days = _calendar(chain, root)
     for again in range(2):
         arrivals = streaming.read_landing(spark, f"{root}/landing", 1, streaming.ARRIVALS)
         streaming.merge_arrivals(arrivals, f"{root}/chain", days, f"{root}/progress-{again}").awaitTermination()

@@ -48,3 +48,12 @@ def test_no_task_lands_a_whole_batch(spark, tmp_path, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert sum(sizes) == n and len(sizes) > 1 and max(sizes) < n / 2
+
+
+def test_a_refresh_takes_its_calendar_from_a_table_of_days(spark, monkeypatch):
+    calendars = []
+    monkeypatch.setattr(queries.jobs, "daily_refresh", lambda *a, **k: calendars.append(a[6]))
+    tables = queries.adapter.chain(spark, DATA), queries.adapter.ohlc(spark, DATA)
+    queries._refreshed(*tables)
+    assert len(calendars) == 2 and calendars[0].count() == tables[0].select("trade_date").distinct().count()
+    assert all(files and all("/calendar/" in f for f in files) for files in (c.inputFiles() for c in calendars))
